@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm.neardup import near_duplicates
+from tidemill.llm.secrets import BASE, find_secrets
 from tidemill.llm.toxicity import toxicity
 
 
@@ -20,5 +22,25 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup}
+def of_kinds(spans: Column, *kinds: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+def told(spans: Column) -> Column:
+    """kind:start:end of each span, joined with commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """From (doc_id, spans): how many there are of each base kind, the base spans' hash, all spans as text."""
+    spans = F.col("spans")
+    counts = [F.size(of_kinds(spans, kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(told(of_kinds(spans, *kinds)), 256).alias("base_sha256"), told(spans).alias("spans"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(table(spark, sf_dir, "documents")), BASE)
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
