@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.decontam import contaminated
 from tidemill.llm.neardup import near_duplicates
 from tidemill.llm.secrets import BASE, find_secrets
 from tidemill.llm.toxicity import toxicity
@@ -22,6 +23,10 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def of_kinds(spans: Column, *kinds: str) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
@@ -42,5 +47,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")), BASE)
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op10_secrets": op10_secrets}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op6_decontamination": op6_decontamination, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
