@@ -129,6 +129,27 @@ def words(texts: pa.Array, separator: np.ndarray = SPACES, prefixes: tuple[int,
     return (*out, np.cumsum(counts))
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """How many words each row has."""
+    data, at = buffers(texts)
+    counts = np.zeros(len(at) - 1, np.int64)
+    for row, last, a, b in _pieces(data, at, SPACES):
+        if a == b:
+            continue
+        gap = SPACES[data[a:b]]
+        before = np.empty_like(gap)
+        before[0], before[1:] = True, gap[:-1]
+        inner = at[row : last + 1]
+        inner = inner[(inner >= a) & (inner < b)] - a
+        before[inner] = True
+        starts = np.flatnonzero(~gap & before)
+        if last == row + 1:
+            counts[row] += len(starts)
+        else:
+            counts[row:last] = np.diff(np.searchsorted(starts, at[row : last + 1] - a))
+    return counts
+
+
 def shingles(hashes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """For each row its distinct hashes of SHINGLE words, sorted; of fewer words, the whole sequence as one; of none, an empty array."""
     n = len(hashes)

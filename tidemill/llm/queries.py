@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.decontam import contaminated
+from tidemill.llm.mixing import mix_sources
 from tidemill.llm.neardup import near_duplicates
 from tidemill.llm.secrets import BASE, find_secrets
 from tidemill.llm.toxicity import toxicity
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,5 +52,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")), BASE)
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op6_decontamination": op6_decontamination, "op10_secrets": op10_secrets}
+QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op6_decontamination": op6_decontamination, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
