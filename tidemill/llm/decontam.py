@@ -177,42 +177,56 @@ def _shingle_set(hashes: np.ndarray) -> np.ndarray:
     return kernel.shingles(hashes, np.array([0, len(hashes)]))[0]
 
 
-def _search(index: Index, owner: np.ndarray, items: list[Item]):
+def matches(texts: pa.Array, index: Index, owner: np.ndarray, items: list[Item]) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(score, question overlap, answer overlap) of each row and item found in it, by their numbers; the best passage counts."""
+    hashes, starts = tokens(texts)
+    at, term = index.find(hashes)
+    row = np.searchsorted(starts, at, side="right") - 1
+    step = (at - starts[row]) // STEP
+    base = np.zeros(len(starts), np.int64)  # passages are numbered through the batch; a row has one for each step it begins
+    np.cumsum(-(-np.diff(starts) // STEP), out=base[1:])
+    most = max(1, len(index.terms))
+    rare = index.essential[term]
+    rare_row, rare_step, rare_term = row[rare], step[rare], term[rare]
+    passage = np.concatenate([base[rare_row] + rare_step, (base[rare_row] + rare_step - 1)[rare_step > 0]])
+    pairs = np.unique(passage * most + np.concatenate([rare_term, rare_term[rare_step > 0]]))
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for p in index.within_reach(pairs // most, pairs % most, THRESHOLD).tolist():
+        i = int(np.searchsorted(base, p, side="right")) - 1
+        a = int(starts[i]) + (p - int(base[i])) * STEP
+        inside = slice(*np.searchsorted(at, [a, min(a + 2 * STEP, int(starts[i + 1]))]))
+        hits = index.retrieve(np.unique(term[inside]).tolist(), THRESHOLD)
+        for item in {int(owner[s]) for s, _ in hits}:
+            it = items[item]
+            score = max(x for s, x in hits if owner[s] == item)
+            near = hashes[max(int(starts[i]), a - it.words) : min(int(starts[i + 1]), a + 2 * STEP + it.words)]
+            question, answer = _share(it.question, _shingle_set(near) if it.shingled else near), _share(it.answer, near)
+            if question >= QUESTION and answer >= ANSWER:
+                best[i, item] = max(best.get((i, item), (0.0, 0.0, 0.0)), (score, question, answer))
+    return best
+
+
+def _search(*test):
+    items = test[-1]
+
     def search(batches):
         for batch in batches:
-            hashes, starts = tokens(batch.column(1))
-            at, term = index.find(hashes)
-            row = np.searchsorted(starts, at, side="right") - 1
-            step = (at - starts[row]) // STEP
-            base = np.zeros(len(starts), np.int64)  # passages are numbered through the batch; a row has one for each step it begins
-            np.cumsum(-(-np.diff(starts) // STEP), out=base[1:])
-            most = max(1, len(index.terms))
-            rare = index.essential[term] if len(term) else np.zeros(0, dtype=bool)
-            rare_row, rare_step, rare_term = row[rare], step[rare], term[rare]
-            passage = np.concatenate([base[rare_row] + rare_step, (base[rare_row] + rare_step - 1)[rare_step > 0]])
-            pairs = np.unique(passage * most + np.concatenate([rare_term, rare_term[rare_step > 0]]))
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for p in index.within_reach(pairs // most, pairs % most, THRESHOLD).tolist():
-                i = int(np.searchsorted(base, p, side="right")) - 1
-                a = int(starts[i]) + (p - int(base[i])) * STEP
-                inside = slice(*np.searchsorted(at, [a, min(a + 2 * STEP, int(starts[i + 1]))]))
-                hits = index.retrieve(np.unique(term[inside]).tolist(), THRESHOLD)
-                if not hits:
-                    continue
-                for item in {int(owner[s]) for s, _ in hits}:
-                    it = items[item]
-                    score = max(x for s, x in hits if owner[s] == item)
-                    near = hashes[max(int(starts[i]), a - it.words) : min(int(starts[i + 1]), a + 2 * STEP + it.words)]
-                    question, answer = _share(it.question, _shingle_set(near) if it.shingled else near), _share(it.answer, near)
-                    if question >= QUESTION and answer >= ANSWER:
-                        best[i, item] = max(best.get((i, item), (0.0, 0.0, 0.0)), (score, question, answer))
             ids = batch.column(0).to_pylist()
-            rows = [{"id": ids[i], "item_id": items[k].id, "score": s, "question": q, "answer": w} for (i, k), (s, q, w) in sorted(best.items())]
+            rows = [{"id": ids[i], "item_id": items[k].id, "score": s, "question": q, "answer": w} for (i, k), (s, q, w) in sorted(matches(batch.column(1), *test).items())]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", batch.schema.field(0).type), ("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
     return search
 
 
+def _clean(*test):
+    def clean(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), dtype=bool)
+        out[[i for i, _ in matches(texts, *test)]] = False
+        return pa.array(out)
+
+    return clean
+
+
 def _indexes(items: DataFrame):
     """Of items (item, text, answer), one row each: (index, owners of its segments, items) for each shard of the items; a shard's size is bounded, the statistics are those of all."""
     postings = settled(items.select("item", F.concat_ws(" ", "text", "answer").alias("text")).mapInArrow(_postings, "item bigint, segment int, term bigint, tf int, length int"))
@@ -256,16 +270,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of the documents is shuffled: the index, of bounded size, goes to the tasks.
     """
     given = own_columns(docs, {"id": id_col, "text": text_col})
-    items = own_columns(benchmark, {"item": item_col, "text": item_text, **({"answer": answer_col} if answer_col else {})})
-    if not answer_col:
-        items = items.withColumn("answer", F.lit(None).cast("string"))
-    items = items.where("item IS NOT NULL").groupBy(F.col("item").cast("bigint").alias("item")).agg(F.max_by("text", F.struct("text", "answer")).alias("text"), F.max_by("answer", F.struct("text", "answer")).alias("answer"))
     kind = given.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item_id bigint, score double, question double, answer double"
-    found = None
-    for index, owner, known in _indexes(settled(items)):
-        part = given.mapInArrow(_search(index, owner, known), schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = given.sparkSession.createDataFrame([], schema)
+    found = given.sparkSession.createDataFrame([], schema)
+    for test in _indexes(_items(benchmark, item_col, item_text, answer_col)):
+        found = found.union(given.mapInArrow(_search(*test), schema))
     return found.select(F.col("id").alias(id_col), "item_id", "score", F.col("question").alias("question_overlap"), F.col("answer").alias("answer_overlap"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
+    """docs without the rows in which an item is found; all columns stay, and rows with null or empty texts."""
+    for test in _indexes(_items(benchmark, item_col, item_text, answer_col)):
+        docs = docs.where(F.arrow_udf(_clean(*test), "boolean")(F.col(f"`{text_col}`")))
+    return docs
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text: str, answer_col: str | None) -> DataFrame:
+    items = own_columns(benchmark, {"item": item_col, "text": item_text, **({"answer": answer_col} if answer_col else {})})
+    if not answer_col:
+        items = items.withColumn("answer", F.lit(None).cast("string"))
+    one = F.struct("text", "answer")
+    return settled(items.where("item IS NOT NULL").groupBy(F.col("item").cast("bigint").alias("item")).agg(F.max_by("text", one).alias("text"), F.max_by("answer", one).alias("answer")))

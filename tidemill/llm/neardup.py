@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.llm import kernel
 from tidemill.llm.components import components
@@ -177,6 +178,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """docs with one document of each group of near duplicates, that with the smallest id; all columns stay.
+
+    Of rows that repeat an id, the one with the smallest text stays. Rows without
+    an id and empty texts stay.
+    """
+    flags = near_duplicates(docs, id_col, text_col, percent).select(F.col(id_col).alias("id"), "kept").where("id IS NOT NULL")
+    flags = settled(flags.groupBy("id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1"))
+    marked = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"))
+    once = marked.join(small(flags.select("id"), BROADCAST_ROWS), "id", "left_anti").select("row.*")
+    again = marked.join(small(flags.where("kept").select("id"), BROADCAST_ROWS), "id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.col(f"row.`{text_col}`")))
+    return once.union(again.withColumn("place", first).where("place = 1").select("row.*"))
+
+
 def classes_of(usable: DataFrame) -> DataFrame:
     """The smallest id of each set of shingles."""
     return usable.groupBy("print").agg(F.min("id").alias("rep"))

@@ -161,15 +161,24 @@ def held_out(doc_id):
 
 
 def _scorer(model):
-    def score(batches):
+    def score(texts: pa.Array) -> pa.Array:
         vocabulary, bias, w, v = model
-        known = Vocabulary(vocabulary)
-        for batch in batches:
-            rows, terms = known.find(batch.column(1))
-            raw, _ = raw_scores(rows, terms, batch.num_rows, bias, w, v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(raw, -700, 700))))], ["id", "score"])
+        rows, terms = Vocabulary(vocabulary).find(texts)
+        raw, _ = raw_scores(rows, terms, len(texts), bias, w, v)
+        return pa.array(1 / (1 + np.exp(-np.clip(raw, -700, 700))))
+
+    return F.arrow_udf(score, "double")
+
+
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int):
+    texts = own_columns(docs, {"id": id_col, "text": text_col}).withColumn("id", F.col("id").cast("bigint"))
+    return train(texts, own_columns(labels, {"id": id_col, "y": label_col}).withColumn("id", F.col("id").cast("bigint")), train_rows)
 
-    return score
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs without the rows that toxicity() predicts 1 for; all columns stay, and nothing is shuffled but for training."""
+    score = _scorer(_model(docs, labels, id_col, text_col, label_col, train_rows))
+    return docs.where(score(F.col(f"`{text_col}`")) < 0.5)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -181,7 +190,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     held out. Other columns are not read; an empty table gives an empty result,
     and with no labels to learn from all scores are low.
     """
-    texts = own_columns(docs, {"id": id_col, "text": text_col}).withColumn("id", F.col("id").cast("bigint"))
-    model = train(texts, own_columns(labels, {"id": id_col, "y": label_col}).withColumn("id", F.col("id").cast("bigint")), train_rows)
-    scored = texts.mapInArrow(_scorer(model), "id bigint, score double")
+    score = _scorer(_model(docs, labels, id_col, text_col, label_col, train_rows))
+    scored = own_columns(docs, {"id": id_col, "text": text_col}).select("id", score("text").alias("score"))
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
