@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm import pii, secrets
 from tidemill.llm.decontam import contaminated
 from tidemill.llm.mixing import mix_sources
 from tidemill.llm.neardup import near_duplicates
-from tidemill.llm.secrets import BASE, find_secrets
 from tidemill.llm.toxicity import toxicity
 
 
@@ -48,9 +48,13 @@ def digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(told(of_kinds(spans, *kinds)), 256).alias("base_sha256"), told(spans).alias("spans"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(find_secrets(table(spark, sf_dir, "documents")), BASE)
+    return digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
 
 
-QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op6_decontamination": op6_decontamination, "op10_secrets": op10_secrets}
+QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op6_decontamination": op6_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
