@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import pii, secrets
+from tidemill.llm import pii, secrets, urls
 from tidemill.llm.decontam import contaminated
 from tidemill.llm.mixing import mix_sources
 from tidemill.llm.neardup import near_duplicates
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -56,5 +61,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
 
 
-QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op6_decontamination": op6_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_source_mixing": op2_source_mixing, "op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op6_decontamination": op6_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.sql()}
