@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, pii, secrets, urls
+from tidemill.llm import chat, pii, secrets, urls, warc
 from tidemill.llm.decontam import contaminated
 from tidemill.llm.mixing import mix_sources
 from tidemill.llm.neardup import near_duplicates
@@ -44,6 +44,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.fold_events(chat.as_events(turns.union(more)), edits=False))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.new_archive_path(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path)
+
+
 def of_kinds(spans: Column, *kinds: str) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
@@ -68,5 +74,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_source_mixing": op2_source_mixing, "op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op6_decontamination": op6_decontamination, "op7_chat_format": op7_chat_format, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.sql()}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_source_mixing": op2_source_mixing, "op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op6_decontamination": op6_decontamination, "op7_chat_format": op7_chat_format, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.sql(), "op8_warc": warc.SQL}
