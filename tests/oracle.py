@@ -1,0 +1,25 @@
+"""Runs a query's SQL in DuckDB and compares the rows with Spark's, whatever their order."""
+
+from pathlib import Path
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def database(folder):
+    db = duckdb.connect()
+    for name in TABLES:
+        path = Path(folder, f"{name}.parquet")
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}{'/*.parquet' if path.is_dir() else ''}'")
+    return db
+
+
+def rows(columns, found):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(columns), sorted((tuple(r[i] for i in order) for r in found), key=repr)
+
+
+def assert_same(df, sql, folder):
+    expected = database(folder).sql(sql)
+    assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())

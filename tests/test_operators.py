@@ -1,0 +1,42 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+from tidemill import operators as op
+from tidemill import streaming
+from tidemill.functions import json_number
+from tidemill.sources import stream_table, with_event_time
+
+
+def test_top_n_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 1), (None, 4, None)], "k string, id int, v int")
+    found = op.top_n(df, ["k"], [F.desc("v"), F.asc("id")], 2).orderBy("id").collect()
+    assert [(r.k, r.id, r.place) for r in found] == [("a", 1, 1), ("a", 2, 2), (None, 4, 1)]
+    assert op.top_n(df.where("false"), ["k"], [F.desc("v")], 2).count() == 0
+
+
+def test_anti_and_semi_joins_keep_repeated_rows_and_null_keys(spark):
+    left = spark.createDataFrame([(1,), (1,), (2,), (None,)], "a int")
+    right = spark.createDataFrame([(1,), (1,), (None,)], "b int")
+    assert sorted(r.a or 0 for r in op.without(left, right, left.a == right.b).collect()) == [0, 2]
+    assert [r.a for r in op.having(left, right, left.a == right.b).collect()] == [1, 1]
+
+
+def test_subtotals_tell_totals_from_null_keys(spark):
+    df = spark.createDataFrame([("x", 1), (None, 2)], "k string, v int")
+    found = {(r.k, r.level): r.s for r in op.subtotals(df, ["k"], [F.sum("v").alias("s")]).collect()}
+    assert found == {("x", 0): 1, (None, 0): 2, (None, 1): 3}
+
+
+def test_json_number_of_what_is_no_number(spark):
+    df = spark.createDataFrame([('{"k": 3}',), ('{"k": "x"}',), ("no json",), (None,)], "p string")
+    assert [r.k for r in df.select(json_number("p", "$.k").alias("k")).collect()] == [3, None, None, None]
+
+
+def test_stream_leaves_out_rows_behind_the_watermark(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    files = [[day + dt.timedelta(minutes=5), day + dt.timedelta(hours=3)], [day + dt.timedelta(minutes=6), day + dt.timedelta(hours=5)]]
+    for times in files:  # the second file's first row is late
+        spark.createDataFrame([(t, "e") for t in times], "ts timestamp_ntz, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    rows = with_event_time(stream_table(spark, str(tmp_path), "events"))
+    found = streaming.run_to_table(streaming.windowed_counts(rows, "kind").select(F.hour("w.start").alias("h"), "n"), spark)
+    assert sorted((r.h, r.n) for r in found.collect()) == [(0, 1), (3, 1)]

@@ -1,4 +1,114 @@
-"""Whole queries over the star schema and the events, with their SQL."""
+"""Whole queries over the star schema and the events, each with its SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill import operators as op
+from tidemill import streaming
+from tidemill.functions import clock, exact, json_number, revenue
+from tidemill.sources import read_table, stream_table, with_event_time
+
+_SQL_REVENUE = "sum(l_extendedprice::DECIMAL(18,4) * (1::DECIMAL(5,0) - l_discount::DECIMAL(6,4)))::DOUBLE"
+_STAR = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+def star(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items with their order, customer, nation and region. Spark broadcasts the sides that are small."""
+    line, orders, customer, nation, region = (read_table(spark, folder, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
+    places = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    buyers = customer.join(places, customer.c_nationkey == places.n_nationkey)
+    return line.join(orders, line.l_orderkey == orders.o_orderkey).join(buyers, orders.o_custkey == buyers.c_custkey)
+
+
+def region_year_revenue(spark: SparkSession, folder: str) -> DataFrame:
+    by = star(spark, folder).groupBy("r_name", F.year("o_orderdate").cast("bigint").alias("year"))
+    return by.agg(F.count("*").alias("lines"), F.sum(revenue()).cast("double").alias("revenue"))
+
+
+def customers_without_orders(spark: SparkSession, folder: str) -> DataFrame:
+    customer, orders = read_table(spark, folder, "customer"), read_table(spark, folder, "orders")
+    return op.without(customer, orders, customer.c_custkey == orders.o_custkey).select("c_custkey", "c_name", "c_mktsegment")
+
+
+def orders_without_lines(spark: SparkSession, folder: str) -> DataFrame:
+    orders, line = read_table(spark, folder, "orders"), read_table(spark, folder, "lineitem")
+    return op.without(orders, line, orders.o_orderkey == line.l_orderkey).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+def customers_with_urgent_orders(spark: SparkSession, folder: str) -> DataFrame:
+    customer, orders = read_table(spark, folder, "customer"), read_table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'")
+    return op.having(customer, orders, customer.c_custkey == orders.o_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
+
+
+def revenue_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return op.subtotals(star(spark, folder), ["r_name", "n_name"], [F.count("*").alias("lines"), F.sum(revenue()).cast("double").alias("revenue")])
+
+
+def flag_cube(spark: SparkSession, folder: str) -> DataFrame:
+    totals = [F.count("*").alias("lines"), F.sum(exact("l_quantity")).cast("double").alias("quantity")]
+    return op.subtotals(read_table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], totals, every=True)
+
+
+def top_orders(spark: SparkSession, folder: str) -> DataFrame:
+    orders, customer = read_table(spark, folder, "orders"), read_table(spark, folder, "customer")
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).select("c_nationkey", "o_orderkey", "o_totalprice")
+    return op.top_n(joined, ["c_nationkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
+def running_value(spark: SparkSession, folder: str) -> DataFrame:
+    events = read_table(spark, folder, "events")
+    total = op.running_total(events, ["user_id"], [F.asc("ts"), F.asc("event_id")], exact("value"))
+    return total.select("event_id", "user_id", F.col("running").cast("double").alias("running"))
+
+
+def event_properties(spark: SparkSession, folder: str) -> DataFrame:
+    k = json_number("props", "$.k")
+    return read_table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("sum_k"), F.max(k).alias("max_k"))
+
+
+def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
+    hours = read_table(spark, folder, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return hours.select(clock(F.col("w.start")).alias("hour"), "event_type", "n")
+
+
+def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    found = op.sessions(with_event_time(read_table(spark, folder, "events")), ["user_id"], "ts", "30 minutes", [F.count("*").alias("events"), F.min("ts").alias("first"), F.max("ts").alias("last")])
+    return found.select("user_id", clock(F.col("first")).alias("first"), clock(F.col("last")).alias("last"), "events")
+
+
+def stream_hourly_events(spark: SparkSession, folder: str) -> DataFrame:
+    counts = streaming.windowed_counts(with_event_time(stream_table(spark, folder, "events")), "event_type")
+    return streaming.run_to_table(counts.select(clock(F.col("w.start")).alias("hour"), "event_type", "n"), spark)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        region_year_revenue, customers_without_orders, orders_without_lines, customers_with_urgent_orders, revenue_rollup, flag_cube,
+        top_orders, running_value, event_properties, hourly_events, user_sessions, stream_hourly_events,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "region_year_revenue": f"SELECT r_name, year(o_orderdate)::BIGINT AS year, count(*) AS lines, {_SQL_REVENUE} AS revenue FROM {_STAR} GROUP BY ALL",
+    "customers_without_orders": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "orders_without_lines": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
+    "customers_with_urgent_orders": "SELECT c_mktsegment, count(*) AS customers FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY 1",
+    "revenue_rollup": f"SELECT r_name, n_name, count(*) AS lines, {_SQL_REVENUE} AS revenue, grouping(r_name, n_name)::BIGINT AS level FROM {_STAR} GROUP BY ROLLUP (r_name, n_name)",
+    "flag_cube": "SELECT l_returnflag, l_linestatus, count(*) AS lines, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS quantity, grouping(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "top_orders": "SELECT c_nationkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY place <= 3",
+    "running_value": "SELECT event_id, user_id, (sum(value::DECIMAL(18,4)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS running FROM events",
+    "event_properties": "SELECT event_type, count(*) AS events, sum((props->>'$.k')::BIGINT)::BIGINT AS sum_k, max((props->>'$.k')::BIGINT) AS max_k FROM events GROUP BY 1",
+    "hourly_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "user_sessions": """
+WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS events FROM numbered GROUP BY user_id, k""",
+    "stream_hourly_events": """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""",
+}
