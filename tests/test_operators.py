@@ -34,8 +34,8 @@ def test_json_number_of_what_is_no_number(spark):
 
 def test_stream_leaves_out_rows_behind_the_watermark(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
-    files = [[day + dt.timedelta(minutes=5), day + dt.timedelta(hours=3)], [day + dt.timedelta(minutes=6), day + dt.timedelta(hours=5)]]
-    for times in files:  # the second file's first row is late
+    at = lambda *x: [day + dt.timedelta(minutes=m) for m in x]
+    for times in (at(5, 180), at(300), at(6, 310)):  # one file each; the last one's first row comes after its window closed
         spark.createDataFrame([(t, "e") for t in times], "ts timestamp_ntz, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     rows = with_event_time(stream_table(spark, str(tmp_path), "events"))
     found = streaming.run_to_table(streaming.windowed_counts(rows, "kind").select(F.hour("w.start").alias("h"), "n"), spark)
