@@ -179,6 +179,10 @@ def _shingle_set(hashes: np.ndarray) -> np.ndarray:
 
 def matches(texts: pa.Array, index: Index, owner: np.ndarray, items: list[Item]) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(score, question overlap, answer overlap) of each row and item found in it, by their numbers; the best passage counts."""
+    return {(a + i, k): found for a, b in kernel.runs(texts) for (i, k), found in _matches(texts[a:b], index, owner, items).items()}
+
+
+def _matches(texts: pa.Array, index: Index, owner: np.ndarray, items: list[Item]) -> dict[tuple[int, int], tuple[float, float, float]]:
     hashes, starts = tokens(texts)
     at, term = index.find(hashes)
     row = np.searchsorted(starts, at, side="right") - 1

@@ -64,6 +64,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
+def runs(texts: pa.Array, limit: int = 4 << 20):
+    """Ranges of rows with so many bytes at most, or one longer row: what is worked on at once, however large Spark's batches are."""
+    at, row = buffers(texts)[1], 0
+    while row < len(texts):
+        last = min(len(texts), max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1))
+        yield row, last
+        row = last
+
+
 def _pieces(data: np.ndarray, at: np.ndarray, separator: np.ndarray):
     """(first row, last row + 1, from byte, to byte): whole rows up to CHUNK bytes, or parts of one long row that end at a separator."""
     row, n = 0, len(at) - 1

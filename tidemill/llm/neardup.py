@@ -37,9 +37,15 @@ BLOCK = 512
 BROADCAST_ROWS = 200_000
 
 
-def _sketches(batches):
+def _each(batches):
+    """The batches in parts of bounded size, with the sets of shingles of their rows."""
     for batch in batches:
-        sets = kernel.shingles(*kernel.words(batch.column(1)))
+        for a, b in kernel.runs(batch.column(1)):
+            yield batch.slice(a, b - a), kernel.shingles(*kernel.words(batch.column(1)[a:b]))
+
+
+def _sketches(batches):
+    for batch, sets in _each(batches):
         heads = [s[:SKETCH].view(np.int64) for s in sets]
         starts = np.zeros(len(sets) + 1, np.int32)
         np.cumsum([len(h) for h in heads], out=starts[1:])
@@ -55,8 +61,7 @@ def _sketches(batches):
 
 
 def _sets(batches):
-    for batch in batches:
-        sets = kernel.shingles(*kernel.words(batch.column(1)))
+    for batch, sets in _each(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "part", "blocks", "shingles"])
 
 

@@ -99,7 +99,7 @@ def raw_scores(rows: np.ndarray, terms: np.ndarray, n: int, bias: np.ndarray, w:
 
 
 def _count(batches):
-    for batch in batches:
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b in kernel.runs(whole.column(0))):
         rows, terms = document_terms(batch.column(0))
         y = batch.column(1).to_numpy(zero_copy_only=False)[rows]
         found, k = np.unique(terms, return_inverse=True)
@@ -110,7 +110,7 @@ def _count(batches):
 def _numbered(vocabulary: np.ndarray):
     def number(batches):
         known = Vocabulary(vocabulary)
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in kernel.runs(whole.column(0))):
             rows, terms = known.find(batch.column(0))
             ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             lists = [terms[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -163,9 +163,10 @@ def held_out(doc_id):
 def _scorer(model):
     def score(texts: pa.Array) -> pa.Array:
         vocabulary, bias, w, v = model
-        rows, terms = Vocabulary(vocabulary).find(texts)
-        raw, _ = raw_scores(rows, terms, len(texts), bias, w, v)
-        return pa.array(1 / (1 + np.exp(-np.clip(raw, -700, 700))))
+        known, raw = Vocabulary(vocabulary), [np.zeros(0)]
+        for a, b in kernel.runs(texts):
+            raw.append(raw_scores(*known.find(texts[a:b]), b - a, bias, w, v)[0])
+        return pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(raw), -700, 700))))
 
     return F.arrow_udf(score, "double")
 
