@@ -1,0 +1,55 @@
+import re
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from tidemill.llm import pii
+
+
+def luhn(digits):
+    return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(digits)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
+
+
+def base(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(df).collect()}
+
+
+PIECES = st.sampled_from(["a", "b.c", "@", ".", "..", "%", "+", "-", " ", "1", "22", "255", "256", "0007", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "x@y.org", "10.0.0.1", "é", "😀", "(", ")", "\n", "000000000000000000000001"])
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(PIECES, max_size=16).map("".join), min_size=150, max_size=200))
+def test_base_spans_are_those_of_the_plain_patterns(spark, texts):
+    found = spans(spark, texts)
+    assert {i: [s[:3] for s in found[i] if s[0] in pii.BASE] for i in found} == {i: base(t) for i, t in enumerate(texts)}
+
+
+def test_checksums_and_context(spark):
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "IBAN GB83 WEST 1234 5698 7654 32.", "DE89370400440532013000", "ssn 123-45-6789", "123-45-6789", "version 1.2.3.4", "server 1.2.3.4", "1.2.3.4"]
+    found = spans(spark, texts)
+    kinds = {i: [s[0] for s in found[i]] for i in found}
+    assert kinds == {0: ["iban"], 1: [], 2: ["iban"], 3: ["ssn"], 4: [], 5: ["ip"], 6: ["ip"], 7: ["ip"]}
+    assert found[5][0][3] < found[7][0][3] < found[6][0][3]
+
+
+def test_long_and_empty_texts(spark):
+    texts = [None, "", "5" * 200_000, "a" * 200_000 + "@", "1.2." * 50_000, "x@y" + ".z" * 50_000, "1 " * 60_000, "é" * 100_000 + " me@x.org"]
+    found = spans(spark, texts)
+    assert [len(found[i]) for i in range(8)] == [0, 0, 0, 0, 25_000, 1, 0, 1]
+    assert found[7][0][1:3] == (100_001, 100_009) and found[4][-1][1:3] == (199_992, 199_999)
+
+
+def test_odd_rows(odd_docs, no_docs):
+    found = pii.find_pii(odd_docs).collect()
+    assert len(found) == 13 and all(r.spans == [] for r in found)
+    assert pii.find_pii(no_docs).count() == 0
