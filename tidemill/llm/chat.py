@@ -148,11 +148,11 @@ def as_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     hash of the text; repeated rows are turns of their own.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(body) / DELTA_CHARS).cast("int") - 1))
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / DELTA_CHARS).cast("int") - 1))
     rows = turns.select(
         F.col(f"`{conv}`").cast("bigint").alias("conv"), F.col(f"`{turn}`").cast("bigint").alias("seq"),
-        F.col(f"`{role}`").alias("role"), body.alias("text"), F.monotonically_increasing_id().alias("row"), F.explode(cuts).alias("part"),
-    )
+        F.col(f"`{role}`").alias("role"), body.alias("text"), F.monotonically_increasing_id().alias("row"),
+    ).withColumn("part", F.explode(cuts))
     # the message's name orders turns alike in conversation and turn, and tells repeated rows apart
     return rows.select(
         "conv", "seq", "part", F.when(F.col("part") == 0, OPEN).otherwise(DELTA).alias("kind"),
