@@ -197,3 +197,23 @@ def read_back(pieces: DataFrame) -> DataFrame:
     """One row per conversation from what fold_events returns: what its formatted text says again when parsed."""
     return pieces.mapInArrow(_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
+
+def _added(text: str) -> str:
+    """SQL for how many characters escape() adds to a text: one for each backslash and for each place where a control string begins."""
+    literals = ["\\", "<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "[/ANS]"]
+    literals += [a + b + c for b in ("SYS", "ROLE") for a, c in (("<<", ""), ("<</", ""), ("<", ">"), ("</", ">"))]
+    counts = [f"(length({text}) - length(replace({text}, '{x}', ''))) // {len(x)}" for x in literals]
+    return " + ".join([*counts, f"len(regexp_extract_all({text}, '>')) - len(regexp_extract_all({text}, '>+'))"])
+
+
+_SAID = "</s>[INST] ok [/INST]"
+_MARKED = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in MARKS.items())
+#: The query in DuckDB's SQL.
+SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
+m AS (SELECT *, length(text) + {_added("text")} + CASE role {_MARKED} ELSE {sum(map(len, OTHER))} + length(role) + {_added("role")} END AS formatted FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(formatted)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id"""

@@ -206,3 +206,16 @@ def classes_of(usable: DataFrame) -> DataFrame:
 def chance_of_missing(threshold: float = 0.85) -> float:
     """That a pair at the threshold shares fewer than SHARED of the SKETCH smallest values of its union."""
     return sum(math.comb(SKETCH, i) * threshold**i * (1 - threshold) ** (SKETCH - i) for i in range(SHARED))
+
+
+#: The query in DuckDB's SQL: all pairs that share a shingle, then all that links reach.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))
+  WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id AS id, doc_id AS root FROM n UNION SELECT y, root FROM reached JOIN both_ways ON x = id)
+SELECT doc_id, any_value(n)::BIGINT AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM n JOIN reached ON id = doc_id GROUP BY doc_id"""
