@@ -161,6 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = sketched.where("n > 0 AND id IS NOT NULL")
 
     classes = usable.groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = settled(classes)
     entries = classes.select("rep", need(F.col("n"), percent).cast("int").alias("need"), F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     ranked = entries.join(shared, "v").groupBy("rep", "need").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))  # SKETCH values at most
@@ -177,7 +178,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = dealt.groupBy("part", "i", "j").applyInPandas(_link_group(percent), "a bigint, b bigint")
     roots = components(links)
 
-    member = sketched.select("id", "n", "print").join(classes_of(usable), "print", "left")
+    # classes are a table of their own here, so that AQE can split the copies of one text
+    member = sketched.select("id", "n", "print").join(classes.select("print", "rep"), "print", "left")
     out = member.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
@@ -198,11 +200,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return once.union(again.withColumn("place", first).where("place = 1").select("row.*"))
 
 
-def classes_of(usable: DataFrame) -> DataFrame:
-    """The smallest id of each set of shingles."""
-    return usable.groupBy("print").agg(F.min("id").alias("rep"))
-
-
 def chance_of_missing(threshold: float = 0.85) -> float:
     """That a pair at the threshold shares fewer than SHARED of the SKETCH smallest values of its union."""
     return sum(math.comb(SKETCH, i) * threshold**i * (1 - threshold) ** (SKETCH - i) for i in range(SHARED))
