@@ -95,14 +95,11 @@ def _targets(weights, repeats):
 
 
 def _plan(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["size", "part"], kind="stable")
     total, target = int(frame["total"].iloc[0]), float(frame["target"].iloc[0])
     whole = int(target // total) if total else 0
-    counts = frame.groupby("size")["n"].sum()
-    more = fit_budget({int(k): int(n) for k, n in counts.items()}, min(total, round(target - whole * total)))
-    want = frame["size"].map(lambda s: more.get(int(s), 0))
-    before = frame.groupby("size")["n"].cumsum() - frame["n"]
-    return frame[["key", "size", "part"]].assign(whole=np.int32(whole), more=np.clip(want - before, 0, frame["n"]).astype("int64"))
+    counts = dict(zip(frame["size"].tolist(), frame["n"].tolist(), strict=True))
+    more = fit_budget(counts, min(total, round(target - whole * total)))
+    return frame[["key", "size"]].assign(whole=np.int32(whole), more=[more.get(s, 0) for s in frame["size"].tolist()])
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
@@ -125,7 +122,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = settled(sized.groupBy("key", "size", "part").agg(F.count("*").alias("n")))
     totals = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
     targets = settled(totals.groupBy().applyInPandas(_targets(weights, repeats), "key string, total bigint, target double"))
-    plan = settled(counts.join(targets, "key").groupBy("key").applyInPandas(_plan, "key string, size bigint, part int, whole int, more bigint"))
+    lengths = counts.groupBy("key", "size").agg(F.sum("n").alias("n"))  # all that one source's task sees
+    fitted = lengths.join(targets, "key").groupBy("key").applyInPandas(_plan, "key string, size bigint, whole int, more bigint")
+    before = F.sum("n").over(Window.partitionBy("key", "size").orderBy("part")) - F.col("n")  # over PARTS rows at most
+    share = F.least(F.col("n"), F.greatest(F.lit(0), F.col("more") - before))
+    plan = settled(counts.join(fitted, ["key", "size"]).select("key", "size", "part", "whole", share.alias("more")))
 
     place = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("rank", "id"))
     mixed = sized.withColumn("place", place).join(plan, ["key", "size", "part"]).join(targets, "key")
