@@ -80,4 +80,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_source_mixing": op2_source_mixing, "op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op5_media_jpeg": op5_media_jpeg, "op6_decontamination": op6_decontamination, "op7_chat_format": op7_chat_format, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.sql(), "op4_minhash_neardup": neardup.SQL, "op7_chat_format": chat.SQL, "op8_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.sql(), "op4_minhash_neardup": neardup.SQL, "op7_chat_format": chat.SQL, "op8_warc": warc.SQL, "op9_pii": pii.sql()}
