@@ -5,9 +5,10 @@ that neither a vocabulary nor a language is needed. Counts over the training
 rows keep the terms whose presence goes with the label; the machine then learns
 a weight and a factor vector for each, and scores
 
-    sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>)
+    sigmoid(bias + sum w_i + sum over pairs <v_i, v_j> / n)
 
-over the distinct terms of a text. The pair part learns what weights that add up
+over the n distinct known terms of a text; without the division the pairs of
+long texts outgrow everything else. The pair part learns what weights that add up
 can't: an insult beside the mention of a group, where either alone is harmless.
 """
 
@@ -70,20 +71,21 @@ class Vocabulary:
         return _distinct(np.concatenate(rows), np.concatenate(terms))
 
 
-def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, rounds: int = 200, rate: float = 0.05, decay: float = 1e-5, seed: int = 7):
+def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, rounds: int = 100, rate: float = 0.05, decay: float = 1e-5, seed: int = 7):
     """Bias, weights and factors by Adam on the logistic loss over all rows at once. rows must be sorted."""
     n = len(y)
     base = np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3)
     bias = np.array([np.log(base / (1 - base))])
     w, v = np.zeros(n_terms), np.random.default_rng(seed).normal(0, 0.05, (n_terms, FACTORS))
     params, first, second = [bias, w, v], [0.0] * 3, [0.0] * 3
+    size = np.maximum(1, np.bincount(rows, minlength=n))
     for step in range(1, rounds + 1 if n and len(rows) else 1):
         score, inner = raw_scores(rows, terms, n, *params)
-        error = (1 / (1 + np.exp(-score)) - y) / n
-        of = error[rows]
+        error = (1 / (1 + np.exp(-np.clip(score, -700, 700))) - y) / n
+        of, of_pairs = error[rows], (error / size)[rows]
         gv = np.empty_like(v)
         for f in range(FACTORS):
-            gv[:, f] = np.bincount(terms, of * (inner[rows, f] - v[terms, f]), n_terms)
+            gv[:, f] = np.bincount(terms, of_pairs * (inner[rows, f] - v[terms, f]), n_terms)
         grads = [np.array([error.sum()]), np.bincount(terms, of, n_terms) + decay * w, gv + decay * v]
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -95,7 +97,8 @@ def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, rounds
 def raw_scores(rows: np.ndarray, terms: np.ndarray, n: int, bias: np.ndarray, w: np.ndarray, v: np.ndarray):
     inner = np.stack([np.bincount(rows, v[terms, f], n) for f in range(v.shape[1])], axis=1)
     squares = np.bincount(rows, (v**2).sum(axis=1)[terms], n)
-    return bias[0] + np.bincount(rows, w[terms], n) + 0.5 * ((inner**2).sum(axis=1) - squares), inner
+    size = np.maximum(1, np.bincount(rows, minlength=n))
+    return bias[0] + np.bincount(rows, w[terms], n) + 0.5 * ((inner**2).sum(axis=1) - squares) / size, inner
 
 
 def _count(batches):
