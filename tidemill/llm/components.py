@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # a table of its own, so that AQE can split a hub's join
         e = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # large star
         e = e.where("a <> b").distinct()
         low = e.groupBy("a").agg(F.min("b").alias("m"))
