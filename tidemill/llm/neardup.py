@@ -81,7 +81,7 @@ def union_estimate(sketch: np.ndarray, others: np.ndarray, filler: np.ndarray) -
     return (twice & inside).sum(axis=1) / np.maximum(1, (inside & ~twice).sum(axis=1))
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int = 85) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], percent: int = 85) -> list[tuple[int, int]]:
     """Links that span the components of the sets: pairs of positions with 100 * intersection >= percent * union."""
     m = len(sets)
     root = list(range(m))
@@ -136,7 +136,7 @@ def _link_group(percent: int):
         frame = frame.drop_duplicates(["id", "shingles"]).sort_values("id", kind="stable")
         ids = frame["id"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-        pairs = [(i, j) for i, j in linked(ids, sets, percent) if ids[i] != ids[j]]
+        pairs = [(i, j) for i, j in linked(sets, percent) if ids[i] != ids[j]]
         return pd.DataFrame({"a": [ids[j] for _, j in pairs], "b": [ids[i] for i, _ in pairs]}, dtype="int64")
 
     return link

@@ -79,5 +79,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_source_mixing": op2_source_mixing, "op3_toxicity": op3_toxicity, "op4_minhash_neardup": op4_minhash_neardup, "op5_media_jpeg": op5_media_jpeg, "op6_decontamination": op6_decontamination, "op7_chat_format": op7_chat_format, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.sql(), "op4_minhash_neardup": neardup.SQL, "op7_chat_format": chat.SQL, "op8_warc": warc.SQL, "op9_pii": pii.sql()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_source_mixing, op3_toxicity, op4_minhash_neardup, op5_media_jpeg,
+        op6_decontamination, op7_chat_format, op8_warc, op9_pii, op10_secrets,
+    )
+}
+
+#: The others can't be said in SQL: learned scores, a knapsack, JPEG, BM25 retrieval, decoded keys.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": urls.sql(),
+    "op4_minhash_neardup": neardup.SQL,
+    "op7_chat_format": chat.SQL,
+    "op8_warc": warc.SQL,
+    "op9_pii": pii.sql(),
+}
