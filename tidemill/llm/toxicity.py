@@ -30,6 +30,7 @@ TERMS = 4_096
 FACTORS = 8
 #: A term must be in so many training rows, and reach this chi-square (p = 0.001).
 LEAST_ROWS, LEAST_CHI2 = 3, 10.83
+PART_BYTES = 1 << 19  # text whose terms are counted at once: each of its bytes takes some fifty in hashes
 _SALTS = [np.uint64(x) for x in (0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F)]
 
 
@@ -102,7 +103,7 @@ def raw_scores(rows: np.ndarray, terms: np.ndarray, n: int, bias: np.ndarray, w:
 
 
 def _count(batches):
-    for batch in (whole.slice(a, b - a) for whole in batches for a, b in kernel.runs(whole.column(0))):
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b in kernel.runs(whole.column(0), PART_BYTES)):
         rows, terms = document_terms(batch.column(0))
         y = batch.column(1).to_numpy(zero_copy_only=False)[rows]
         found, k = np.unique(terms, return_inverse=True)
@@ -167,7 +168,7 @@ def _scorer(model):
     def score(texts: pa.Array) -> pa.Array:
         vocabulary, bias, w, v = model
         known, raw = Vocabulary(vocabulary), [np.zeros(0)]
-        for a, b in kernel.runs(texts):
+        for a, b in kernel.runs(texts, 2 * PART_BYTES):
             raw.append(raw_scores(*known.find(texts[a:b]), b - a, bias, w, v)[0])
         return pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(raw), -700, 700))))
 
