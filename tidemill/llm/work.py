@@ -28,7 +28,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has no more than so many rows; otherwise Spark shuffles for the join. Give it settled, narrow rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def own_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
