@@ -44,6 +44,11 @@ def customers_with_urgent_orders(spark: SparkSession, folder: str) -> DataFrame:
     return op.having(customer, orders, customer.c_custkey == orders.o_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
 
 
+def customers_without_urgent_orders(spark: SparkSession, folder: str) -> DataFrame:
+    customer, orders = read_table(spark, folder, "customer"), read_table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'")
+    return op.without(customer, orders, customer.c_custkey == orders.o_custkey).select("c_custkey", "c_name", "c_mktsegment")
+
+
 def revenue_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return op.subtotals(star(spark, folder), ["r_name", "n_name"], [F.count("*").alias("lines"), F.sum(revenue()).cast("double").alias("revenue")])
 
@@ -88,7 +93,8 @@ def stream_hourly_events(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        region_year_revenue, customers_without_orders, orders_without_lines, customers_with_urgent_orders, revenue_rollup, flag_cube,
+        region_year_revenue, customers_without_orders, orders_without_lines, customers_with_urgent_orders,
+        customers_without_urgent_orders, revenue_rollup, flag_cube,
         top_orders, running_value, event_properties, hourly_events, user_sessions, stream_hourly_events,
     )
 }
@@ -98,6 +104,7 @@ ORACLE_SQL: dict[str, str] = {
     "customers_without_orders": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "orders_without_lines": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "customers_with_urgent_orders": "SELECT c_mktsegment, count(*) AS customers FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY 1",
+    "customers_without_urgent_orders": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "revenue_rollup": f"SELECT r_name, n_name, count(*) AS lines, {_SQL_REVENUE} AS revenue, grouping(r_name, n_name)::BIGINT AS level FROM {_STAR} GROUP BY ROLLUP (r_name, n_name)",
     "flag_cube": "SELECT l_returnflag, l_linestatus, count(*) AS lines, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS quantity, grouping(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "top_orders": "SELECT c_nationkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY place <= 3",
