@@ -76,6 +76,15 @@ def test_tokens_need_a_header_that_names_an_algorithm():
     assert not secrets.find(f"{code({'typ': 'JWT'})}.{code({'sub': 1})}.c2lnbmF0dXJl") and not secrets.find("eyJabc.eyJdef.xyz")
 
 
+def test_repetitive_texts_take_linear_time():
+    import time
+
+    texts = ["eyJ" * 100_000, "-----BEGIN PRIVATE KEY-----" * 10_000, "a" * 300_000, "token " * 50_000, "AKIA" * 70_000, "password" + " " * 300_000]
+    start = time.process_time()
+    found = [len(secrets.find(t)) for t in texts]
+    assert found == [0, 0, 1, 0, 1, 0] and time.process_time() - start < 10
+
+
 def test_odd_rows_and_redaction(spark, odd_docs, no_docs):
     found = secrets.find_secrets(odd_docs).collect()
     assert len(found) == 13 and all(r.spans == [] for r in found)
