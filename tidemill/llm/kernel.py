@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  # bytes hashed at once: bounds the working arrays, not the texts
+CHUNK = 1 << 18  # bytes hashed at once: bounds the working arrays, not the texts
 SHINGLE = 5
 
 _P = np.uint64(0x9E3779B97F4A7C55)
@@ -64,7 +64,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def runs(texts: pa.Array, limit: int = 2 << 20):
+def runs(texts: pa.Array, limit: int = 1 << 19):
     """Ranges of rows with so many bytes at most, or one longer row: what is worked on at once, however large Spark's batches are."""
     at, row = buffers(texts)[1], 0
     while row < len(texts):

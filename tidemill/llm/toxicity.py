@@ -30,7 +30,7 @@ TERMS = 4_096
 FACTORS = 8
 #: A term must be in so many training rows, and reach this chi-square (p = 0.001).
 LEAST_ROWS, LEAST_CHI2 = 3, 10.83
-PART_BYTES = 1 << 19  # text whose terms are counted at once: each of its bytes takes some fifty in hashes
+PART_BYTES = 1 << 18  # text whose terms are counted at once: each of its bytes takes some fifty in hashes
 _SALTS = [np.uint64(x) for x in (0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F)]
 
 
