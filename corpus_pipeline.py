@@ -21,6 +21,10 @@ from tidemill.llm.toxicity import drop_toxic
 from tidemill.llm.work import checkpoint_dir
 
 
+#: Documents are near duplicates from this share of common 5-word shingles on; op4's own query has 85.
+NEAR_PERCENT = 80
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +34,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,26 @@ def test_components_of_chains_and_stars(spark):
 
 def test_sketch_misses_next_to_nothing():
     assert neardup.chance_of_missing() < 1e-9
+
+
+def components_at(docs, percent):
+    """The smallest linked id of each document, by comparing all pairs."""
+    sets, root = {i: shingle_set(t) for i, t in docs}, {i: i for i, _ in docs}
+    for i in sets:
+        for j in sets:
+            if j < i and sets[j] and root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_matches_all_pairs_at_80_percent(spark):
+    docs = corpus(4, 50, (1, 2, 5, 12))
+    found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), percent=80).collect()
+    expected = components_at(docs, 80)
+    assert {r.doc_id: r.component_id for r in found} == expected != components_at(docs, 85)
+
+
+def test_sketch_misses_next_to_nothing_at_any_threshold():
+    assert neardup.shared(85) == 33
+    assert all(neardup.chance_of_missing(p / 100, neardup.shared(p)) < 1e-9 for p in range(neardup.LEAST_PERCENT, 101))

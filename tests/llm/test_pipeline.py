@@ -47,3 +47,12 @@ def test_all_queries_are_registered():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_near_duplicates_go_from_80_percent_on(spark):
+    words = [f"w{i}" for i in range(104)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:83])), (3, " ".join(words[:60]))], "doc_id long, text string")  # 100, 79 and 56 shingles
+    more = spark.createDataFrame([(4, " ".join(words[:86]))], docs.schema)  # 82 shingles
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 2, 3]
+    assert sorted(r.doc_id for r in stage(spark, docs.where("doc_id = 1").union(more), "").collect()) == [1]

@@ -31,8 +31,10 @@ from tidemill.llm.components import components
 from tidemill.llm.work import own_columns, settled, small
 
 SKETCH = 64
-#: Of 64 values of the union, pairs with similarity 0.85 share 33 or more but for a chance of 6e-11; tests recompute it.
-SHARED = 33
+#: The chance, at most, that a pair at the threshold shares fewer of the union's smallest values than shared() says.
+MISSED = 2e-10
+#: The lowest threshold: below it, most of a sketch would have to enter the inverted lists.
+LEAST_PERCENT = 80
 BLOCK = 512
 BROADCAST_ROWS = 200_000
 
@@ -65,9 +67,14 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "part", "blocks", "shingles"])
 
 
+def shared(percent: int) -> int:
+    """How many of the SKETCH smallest values of its union a pair at the threshold shares, but for a chance below MISSED: 33 at 85 percent, 29 at 80."""
+    return max(k for k in range(1, SKETCH + 1) if chance_of_missing(percent / 100, k) < MISSED)
+
+
 def need(n, percent: int = 85):
     """How many retained values a set of n shingles shares with any partner."""
-    return F.least(F.lit(SHARED), F.ceil(n * percent / F.lit(100)))
+    return F.least(F.lit(shared(percent)), F.ceil(n * percent / F.lit(100)))
 
 
 def union_estimate(sketch: np.ndarray, others: np.ndarray, filler: np.ndarray) -> np.ndarray:
@@ -102,7 +109,8 @@ def linked(sets: list[np.ndarray], percent: int = 85) -> list[tuple[int, int]]:
     for i in range(m):
         k = min(SKETCH, n[i])
         heads[i, :k] = number[at[i] : at[i] + k]
-    least = np.minimum(SHARED, -(-n * percent // 100))
+    most = shared(percent)
+    least = np.minimum(most, -(-n * percent // 100))
     group = np.arange(m)
     mine = np.zeros(none + 1, dtype=bool)
     out = []
@@ -116,7 +124,7 @@ def linked(sets: list[np.ndarray], percent: int = 85) -> list[tuple[int, int]]:
         rest = rest[mine[heads[rest]].sum(axis=1) >= np.maximum(least[i], least[rest])]
         mine[head] = False
         if len(rest):
-            floor = SHARED / SKETCH if n[i] > SKETCH else percent / 100 - 0.2
+            floor = most / SKETCH if n[i] > SKETCH else percent / 100 - 0.2
             rest = rest[union_estimate(heads[i], heads[rest], np.int64(none)) >= floor]
         if len(rest):
             own = number[at[i] : at[i + 1]]
@@ -146,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: (id_col, n_shingles, component_id, kept).
 
     Links join documents whose sets of 5-word shingles have 100 * intersection
-    >= percent * union (percent: 85 or more, as SHARED allows for). component_id
+    >= percent * union (percent: LEAST_PERCENT or more). component_id
     is the smallest id that links reach, kept is whether that is the document
     itself. Null and empty texts have no shingles and no links: each is its own
     component. Rows without an id link with nothing: component_id is null and
@@ -154,8 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document with all their links. Other columns are not read. An empty table
     gives an empty result.
     """
-    if percent < 85:
-        raise ValueError("the sketch is sized for thresholds from 85 percent")
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the sketch is sized for thresholds from {LEAST_PERCENT} percent")
     given = own_columns(docs, {"id": id_col, "text": text_col}).withColumn("id", F.col("id").cast("bigint"))
     sketched = settled(given.mapInArrow(_sketches, "id bigint, n bigint, print binary, sketch array<bigint>"))
     usable = sketched.where("n > 0 AND id IS NOT NULL")
@@ -200,9 +208,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return once.union(again.withColumn("place", first).where("place = 1").select("row.*"))
 
 
-def chance_of_missing(threshold: float = 0.85) -> float:
-    """That a pair at the threshold shares fewer than SHARED of the SKETCH smallest values of its union."""
-    return sum(math.comb(SKETCH, i) * threshold**i * (1 - threshold) ** (SKETCH - i) for i in range(SHARED))
+def chance_of_missing(threshold: float = 0.85, least: int = 33) -> float:
+    """That a pair at the threshold shares fewer than so many of the SKETCH smallest values of its union."""
+    return sum(math.comb(SKETCH, i) * threshold**i * (1 - threshold) ** (SKETCH - i) for i in range(least))
 
 
 #: The query in DuckDB's SQL: all pairs that share a shingle, then all that links reach.
