@@ -56,3 +56,31 @@ def test_taken_words_meet_targets_and_reruns_agree(spark):
     for source in {r.source for r in a}:
         own = [r for r in a if r.source == source]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+
+
+def best_sum(lengths, budget):
+    return max(t for k in range(len(lengths) + 1) for t in map(sum, itertools.combinations(lengths, k)) if t <= budget)
+
+
+def test_long_texts_fill_the_budget():
+    cases = [([100_000, 120_000], 132_000), ([100_000 + 10_000 * k for k in range(10)], 700_000), ([20_000] * 6, 85_000), ([150_000, 130_000, 120_000], 250_000)]
+    rng = random.Random(4)
+    for n in range(2, 11):
+        lengths = [rng.randrange(65_537, 400_000) for _ in range(n)]
+        cases += [(lengths, rng.randrange(sum(lengths))) for _ in range(3)]
+    for lengths, budget in cases:
+        taken = fit_budget({x: lengths.count(x) for x in lengths}, budget)
+        assert all(n <= lengths.count(x) for x, n in taken.items())
+        assert sum(x * n for x, n in taken.items()) == best_sum(lengths, budget)
+
+
+def test_shares_do_not_keep_a_small_source_from_its_budget():
+    taken = fit_budget({6: 4, 5: 2}, 20)
+    assert sum(x * n for x, n in taken.items()) == 18
+
+
+def test_mix_takes_the_long_text_that_fits(spark):
+    rows = [(1, "w " * 100_000, "a"), (2, "w " * 120_000, "a"), (3, "w " * 44_000, "b")]  # 264,000 words; a gets 3 * 44,000 less than all
+    found = {r.doc_id: r for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1)).collect()}
+    assert found[1].target == found[3].target == 132_000
+    assert found[1].taken + found[2].taken == 120_000 and found[3].taken == 132_000

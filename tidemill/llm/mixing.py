@@ -3,13 +3,16 @@
 A source's documents are counted by exact length. Whole repeats come first; the
 rest of the budget is a subset sum: every length gives the same share of its
 documents, and a bounded knapsack over the lengths left fits what remains, to
-the word where the lengths allow it. Which documents of a length are taken
+the word where the lengths allow it. Where it leaves words over, it is given more
+of the budget, up to all of it. Which documents of a length are taken
 follows from a seeded hash of their ids. Only counts by length are gathered, by
 source; documents of one length are ranked in parts of their hash range.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,8 +26,10 @@ from tidemill.llm.work import own_columns, settled
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 PARTS = 64
-#: The knapsack fits at most so many words; the larger part of a budget is dealt out by shares.
+#: The knapsack is first given so many words and the shortest text left; the larger part of a budget is dealt out by shares.
 KNAPSACK_WORDS = 1 << 16
+#: It is given more only up to so many words at once (4 bytes each), and so many bytes of sums to shift.
+MOST_WORDS, MOST_BYTES = 1 << 24, 1 << 33
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> dict[str | None, float]:
@@ -45,41 +50,85 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIG
     return out
 
 
-def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length to take for the largest sum within the budget: bounded knapsack on sets of reachable sums, kept as bits."""
-    mask, sums, steps = (1 << (budget + 1)) - 1, 1, []
+def _pieces(counts: dict[int, int], budget: int) -> list[tuple[int, int]]:
+    """(length, how many) whose choices make up every number of each length that fits, longest first."""
+    out = []
     for length in sorted((x for x in counts if 0 < x <= budget), reverse=True):
         left, piece = min(counts[length], budget // length), 1
-        while left > 0 and not sums >> budget & 1:
+        while left > 0:
             piece = min(piece, left)
-            steps.append((length, piece, sums))
-            sums |= sums << (length * piece) & mask
+            out.append((length, piece))
             left -= piece
             piece *= 2
+    return out
+
+
+def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """How many of each length to take for the largest sum within the budget: bounded knapsack on sets of reachable sums, kept as bits."""
+    mask, sums, pieces = (1 << (budget + 1)) - 1, 1, _pieces(counts, budget)
+    first = np.full(budget + 1, -1, np.int32)  # the piece that reaches a sum first
+    for k, (length, piece) in enumerate(pieces):
+        if sums >> budget & 1:
+            break
+        new = sums << (length * piece) & mask & ~sums
+        if new:
+            held = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+            for byte in np.array_split(np.flatnonzero(held), 1 + len(held) // 65536):
+                bit = np.unpackbits(held[byte][:, None], axis=1, bitorder="little")
+                row, column = np.nonzero(bit)
+                first[byte[row] * 8 + column] = k
+            sums |= new
     at, out = sums.bit_length() - 1, {}
-    for length, piece, before in reversed(steps):
-        if not before >> at & 1:
-            out[length] = out.get(length, 0) + piece
-            at -= length * piece
+    while at:
+        length, piece = pieces[first[at]]
+        out[length] = out.get(length, 0) + piece
+        at -= length * piece
     return out
 
 
-def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length make up the budget; counts hold at least that many words."""
+def _fit(counts: dict[int, int], budget: int, dealt: int, room: int) -> dict[int, int] | None:
+    """As fit_budget, with so many words dealt by shares and what is left dealt longest first, as long as room stays; None where the knapsack is too large."""
     total = sum(length * n for length, n in counts.items())
-    if budget <= 0 or not total:
-        return {}
-    taken = {length: n * budget // total for length, n in counts.items() if length}
+    taken = {length: n * dealt // total for length, n in counts.items()}
     left = budget - sum(length * n for length, n in taken.items())
     for length in sorted(taken, reverse=True):
-        more = min(counts[length] - taken[length], max(0, left - KNAPSACK_WORDS) // length)
+        more = min(counts[length] - taken[length], max(0, left - room) // length)
         taken[length] += more
         left -= more * length
-    for length, n in knapsack({x: counts[x] - n for x, n in taken.items()}, min(left, KNAPSACK_WORDS)).items():
+    rest = {x: counts[x] - n for x, n in taken.items()}
+    if room > KNAPSACK_WORDS and (left > MOST_WORDS or len(_pieces(rest, left)) * (left // 8) > MOST_BYTES):
+        return None
+    for length, n in knapsack(rest, left).items():
         taken[length] += n
     return taken
 
 
+def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """How many documents of each length make up the budget; counts hold at least that many words.
+
+    No choice comes nearer while the knapsack of the whole budget is within
+    MOST_WORDS and MOST_BYTES, in units of what divides all lengths. Beyond
+    that, what is left over is less than the shortest document not taken.
+    """
+    unit = math.gcd(*counts)
+    if budget <= 0 or not unit:
+        return {}
+    counts = {length // unit: n for length, n in counts.items() if length and n}
+    budget //= unit
+    words = lambda taken: sum(length * n for length, n in taken.items())
+    room = KNAPSACK_WORDS
+    best = _fit(counts, budget, budget, room)
+    dealt = budget
+    while words(best) < budget and dealt:
+        dealt = max(0, budget - room)
+        taken = _fit(counts, budget, dealt, room if dealt else budget)
+        if taken is None:
+            break
+        best = max(best, taken, key=words)
+        room *= 8
+    return {length * unit: n for length, n in best.items()}
+
+
 def _sizes(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kernel.word_counts(batch.column(2)))], ["id", "source", "size"])
