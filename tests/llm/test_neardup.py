@@ -122,3 +122,23 @@ def test_matches_all_pairs_at_80_percent(spark):
 def test_sketch_misses_next_to_nothing_at_any_threshold():
     assert neardup.shared(85) == 33
     assert all(neardup.chance_of_missing(p / 100, neardup.shared(p)) < 1e-9 for p in range(neardup.LEAST_PERCENT, 101))
+
+
+def test_repeats_of_a_row_go_to_no_group(spark, monkeypatch):
+    plain = neardup._link_group
+
+    def watched(percent):
+        link = plain(percent)
+
+        def run(frame):
+            if frame.duplicated(["id", "shingles"]).any():
+                raise ValueError(f"{len(frame)} rows in a group")
+            return link(frame)
+
+        return run
+
+    monkeypatch.setattr(neardup, "_link_group", watched)
+    words = [f"w{i}" for i in range(100)]
+    docs = [(1, " ".join(words))] * 300 + [(2, " ".join([*words, "more"])), (2, "another text of the same id"), (3, "alone")]
+    found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert len(found) == 303 and {(r.doc_id, r.component_id) for r in found if r.n_shingles > 50} == {(1, 1), (2, 1)}

@@ -141,7 +141,7 @@ def linked(sets: list[np.ndarray], percent: int = 85) -> list[tuple[int, int]]:
 
 def _link_group(percent: int):
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["id", "shingles"]).sort_values("id", kind="stable")
+        frame = frame.sort_values("id", kind="stable")
         ids = frame["id"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
         pairs = [(i, j) for i, j in linked(sets, percent) if ids[i] != ids[j]]
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sizes = near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     parts = settled(near.join(sizes, "root").select("id", F.col("root").alias("part"), "blocks"))
-    sets = given.join(small(parts, BROADCAST_ROWS), "id").select("id", "text", "part", "blocks").mapInArrow(_sets, "id bigint, part bigint, blocks int, shingles binary")
+    sets = given.join(small(parts, BROADCAST_ROWS), "id").select("id", "text", "part", "blocks").mapInArrow(_sets, "id bigint, part bigint, blocks int, shingles binary").distinct()  # however often a row repeats, it goes on once
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "shingles")
