@@ -61,3 +61,15 @@ def test_terms_fold_case_and_drop_marks():
     known = tox.Vocabulary(tox.document_terms(pa.array(["Élan vital"]))[1])
     rows, terms = known.find(pa.array(["élan*** VITAL!!", None, ""]))
     assert set(rows) == {0} and len(terms) == len(known.terms)
+
+
+def test_repeats_of_an_id_train_once(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(200):
+        rows.append((i, " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(5)) + (" zork" if i % 3 == 0 else "")))
+        labels.append((i, int(i % 3 == 0)))
+    labels, schema = spark.createDataFrame(labels, "id long, y int"), "id long, text string"
+    one = tox.train(spark.createDataFrame(rows, schema), labels)
+    two = tox.train(spark.createDataFrame(rows + [rows[1]] * 500 + [(1, "~ a later text with zork")] * 500, schema), labels)
+    assert len(one[0]) and all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))

@@ -138,13 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     """(vocabulary, bias, weights, factors) from at most so many of the labelled rows with an id outside the held-out fold.
 
     docs: (id, text). labels: (id, y). Of several labels of one id the larger
-    counts; null labels and ids don't. Without any usable label every text gets
+    counts, of several texts the smallest; null labels, texts and ids don't. Without any usable label every text gets
     a score near 0.
     """
     usable = labels.where("y IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").cast("int").alias("y"))
     sample = settled(usable.orderBy(F.xxhash64("id"), "id").limit(rows))
-    known = settled(docs.where("text IS NOT NULL").join(F.broadcast(sample), "id").select("text", "y", "id"))  # bounded by rows
-    size = sample.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
+    texts = docs.where("text IS NOT NULL").join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # Spark takes the minimum before it shuffles
+    known = settled(texts.select("text", "y", "id"))  # bounded by rows
+    size = known.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = size["p"] or 0, size["n"]
     counts = known.mapInArrow(_count, "term bigint, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     counts = counts.where(F.col("a") + F.col("b") >= LEAST_ROWS)
