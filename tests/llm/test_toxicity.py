@@ -73,3 +73,36 @@ def test_repeats_of_an_id_train_once(spark):
     one = tox.train(spark.createDataFrame(rows, schema), labels)
     two = tox.train(spark.createDataFrame(rows + [rows[1]] * 500 + [(1, "~ a later text with zork")] * 500, schema), labels)
     assert len(one[0]) and all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))
+
+
+def test_terms_that_are_harmless_alone_reach_the_model(spark):
+    """The label is an insult without a group's name, or the name without the insult: neither word alone goes with it."""
+    rng = random.Random(3)
+    words, rows, labels = [f"word{i}s" for i in range(500)], [], []
+    for i in range(4000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        text = [rng.choice(words) for _ in range(rng.randrange(10, 40))] + ["scumbag"] * insult + ["minority"] * group
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(insult != group)))
+    found = tox.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in found if r.held_out]
+    assert len(held) > 700 and sum(r.predicted == labels[r.doc_id][1] for r in held) / len(held) > 0.95
+
+
+def test_scores_are_the_sums_over_all_pairs():
+    rng = np.random.default_rng(5)
+    bias, w, v = np.array([0.3]), rng.normal(size=30), rng.normal(size=(30, tox.FACTORS))
+    lists = [sorted(rng.choice(30, size=k, replace=False).tolist()) for k in (0, 1, 2, 7, 30)]
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    found = tox.raw_scores(rows, np.array(sum(lists, []), int), len(lists), bias, w, v)[0]
+    for got, terms in zip(found, lists, strict=True):
+        n, pairs = max(1, len(terms)), [(i, j) for i in terms for j in terms if i < j]
+        assert abs(got - (0.3 + sum(w[i] for i in terms) / n**0.5 + sum(v[i] @ v[j] for i, j in pairs) / n)) < 1e-9
+
+
+def test_dropping_from_odd_and_empty_tables(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (8, 0)], "doc_id long, toxic int")
+    kept, scored = tox.drop_toxic(odd_docs, labels), tox.toxicity(odd_docs, labels)
+    assert kept.columns == odd_docs.columns and kept.count() == scored.where("predicted = 0").count()
+    assert tox.drop_toxic(no_docs, labels).count() == 0 and tox.drop_toxic(no_docs, labels).columns == no_docs.columns

@@ -1,21 +1,22 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 Terms are the words of a text and their first few bytes, each a 64-bit hash, so
-that neither a vocabulary nor a language is needed. Counts over the training
-rows keep the terms whose presence goes with the label; the machine then learns
-a weight and a factor vector for each, and scores
+that neither a vocabulary nor a language is needed. Two kinds of terms enter the
+model: those whose presence alone goes with the label, and the most frequent
+ones, whatever they say alone. The machine learns a weight and a factor vector
+for each, and scores
 
-    sigmoid(bias + sum w_i + sum over pairs <v_i, v_j> / n)
+    sigmoid(bias + sum w_i / sqrt(n) + sum over pairs <v_i, v_j> / n)
 
-over the n distinct known terms of a text; without the division the pairs of
-long texts outgrow everything else. The pair part learns what weights that add up
-can't: an insult beside the mention of a group, where either alone is harmless.
+over the n distinct known terms of a text, which is the machine's formula for
+rows of unit length; without that the pairs of long texts outgrow everything
+else. The pair part learns what weights that add up can't: an insult beside the
+mention of a group, where either alone is as frequent in harmless texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,13 @@ from tidemill.llm.work import own_columns, settled
 PREFIXES = (4, 6, 8)
 #: At most so many labelled rows train the model, those first in a seeded order of their ids.
 TRAIN_ROWS = 16_384
-TERMS = 4_096
+#: At most so many terms that go with the label, and as many of the most frequent ones as FREQUENT says: the model's size.
+TERMS, FREQUENT = 4_096, 512
 FACTORS = 8
-#: A term must be in so many training rows, and reach this chi-square (p = 0.001).
+#: A term that goes with the label must be in so many training rows, and reach this chi-square (p = 0.001).
 LEAST_ROWS, LEAST_CHI2 = 3, 10.83
+#: Training takes rows in batches, in a seeded order, for so many steps and so many rounds over the rows at least.
+BATCH, STEPS, ROUNDS = 128, 500, 4
 PART_BYTES = 1 << 18  # text whose terms are counted at once: each of its bytes takes some fifty in hashes
 _SALTS = [np.uint64(x) for x in (0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F)]
 
@@ -69,37 +73,47 @@ class Vocabulary:
             known = self.terms[k] == h[at] if len(self.terms) else np.zeros(len(at), dtype=bool)
             terms.append(k[known])
             rows.append(np.searchsorted(starts, at[known], side="right") - 1)
-        return _distinct(np.concatenate(rows), np.concatenate(terms))
+        key = np.unique(np.concatenate(rows) << 32 | np.concatenate(terms))
+        return key >> 32, key & 0xFFFFFFFF
 
 
-def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, rounds: int = 100, rate: float = 0.05, decay: float = 1e-5, seed: int = 7):
-    """Bias, weights and factors by Adam on the logistic loss over all rows at once. rows must be sorted."""
+def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, rounds: int | None = None, rate: float = 0.3, seed: int = 7):
+    """Bias, weights and factors by Adagrad on the logistic loss; rows must be sorted. Each batch touches its own terms alone."""
     n = len(y)
-    base = np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3)
-    bias = np.array([np.log(base / (1 - base))])
-    w, v = np.zeros(n_terms), np.random.default_rng(seed).normal(0, 0.05, (n_terms, FACTORS))
-    params, first, second = [bias, w, v], [0.0] * 3, [0.0] * 3
-    size = np.maximum(1, np.bincount(rows, minlength=n))
-    for step in range(1, rounds + 1 if n and len(rows) else 1):
-        score, inner = raw_scores(rows, terms, n, *params)
-        error = (1 / (1 + np.exp(-np.clip(score, -700, 700))) - y) / n
-        of, of_pairs = error[rows], (error / size)[rows]
-        gv = np.empty_like(v)
-        for f in range(FACTORS):
-            gv[:, f] = np.bincount(terms, of_pairs * (inner[rows, f] - v[terms, f]), n_terms)
-        grads = [np.array([error.sum()]), np.bincount(terms, of, n_terms) + decay * w, gv + decay * v]
-        for k, g in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            params[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return params
+    share = np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3)
+    bias, bias2 = np.array([np.log(share / (1 - share))]), 1e-6
+    rng = np.random.default_rng(seed)
+    w, v = np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, FACTORS))
+    w2, v2 = np.full(n_terms, 1e-6), np.full((n_terms, FACTORS), 1e-6)
+    starts = np.searchsorted(rows, np.arange(n + 1))
+    rounds = rounds or max(ROUNDS, -(-STEPS // max(1, -(-n // BATCH))))
+    for order in (rng.permutation(n) for _ in range(rounds if len(rows) else 0)):
+        for a in range(0, n, BATCH):
+            some = np.sort(order[a : a + BATCH])
+            size = starts[some + 1] - starts[some]
+            row = np.repeat(np.arange(len(some)), size)
+            at = np.arange(len(row)) + np.repeat(starts[some] - (np.cumsum(size) - size), size)
+            used, k = np.unique(terms[at], return_inverse=True)
+            score, inner = raw_scores(row, k, len(some), bias, w[used], v[used])
+            error = (1 / (1 + np.exp(-np.clip(score, -700, 700))) - y[some]) / len(some)
+            size = np.maximum(1, size)
+            own, pairs = np.bincount(k, (error / np.sqrt(size))[row], len(used)), (error / size)[row]
+            both = np.stack([np.bincount(k, pairs * (inner[row, f] - v[used[k], f]), len(used)) for f in range(FACTORS)], axis=1)
+            w2[used] += own**2
+            w[used] -= rate * own / np.sqrt(w2[used])
+            v2[used] += both**2
+            v[used] -= rate * both / np.sqrt(v2[used])
+            bias2 += error.sum() ** 2
+            bias -= rate * error.sum() / np.sqrt(bias2)
+    return [bias, w, v]
 
 
 def raw_scores(rows: np.ndarray, terms: np.ndarray, n: int, bias: np.ndarray, w: np.ndarray, v: np.ndarray):
+    """The formula before the sigmoid for n rows given as (row, term), and the sums of their factors: pairs are half of the square of a sum less the squares."""
     inner = np.stack([np.bincount(rows, v[terms, f], n) for f in range(v.shape[1])], axis=1)
     squares = np.bincount(rows, (v**2).sum(axis=1)[terms], n)
     size = np.maximum(1, np.bincount(rows, minlength=n))
-    return bias[0] + np.bincount(rows, w[terms], n) + 0.5 * ((inner**2).sum(axis=1) - squares) / size, inner
+    return bias[0] + np.bincount(rows, w[terms], n) / np.sqrt(size) + 0.5 * ((inner**2).sum(axis=1) - squares) / size, inner
 
 
 def _count(batches):
@@ -123,23 +137,24 @@ def _numbered(vocabulary: np.ndarray):
     return number
 
 
-def _fit_frame(n_terms: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "y"], kind="stable")
-        lists = [np.frombuffer(x, np.int32) for x in frame["terms"]]
-        rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        bias, w, v = fit(rows, np.concatenate(lists), frame["y"].to_numpy(float), n_terms)
-        return pd.DataFrame({"model": [np.concatenate([bias, w, v.ravel()]).tobytes()]})
+def _fit_table(n_terms: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+        data, at = kernel.buffers(table["terms"])
+        terms = np.frombuffer(data[at[0] : at[-1]].tobytes(), np.int32)
+        rows = np.repeat(np.arange(table.num_rows), np.diff(at) // 4)
+        bias, w, v = fit(rows, terms, table["y"].to_numpy().astype(float), n_terms)
+        return pa.table({"model": pa.array([np.concatenate([bias, w, v.ravel()]).tobytes()], pa.binary())})
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TERMS, frequent: int = FREQUENT):
     """(vocabulary, bias, weights, factors) from at most so many of the labelled rows with an id outside the held-out fold.
 
     docs: (id, text). labels: (id, y). Of several labels of one id the larger
     counts, of several texts the smallest; null labels, texts and ids don't. Without any usable label every text gets
-    a score near 0.
+    a score near 0. most and frequent bound the model: terms that go with the label, and frequent ones.
     """
     usable = labels.where("y IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").cast("int").alias("y"))
     sample = settled(usable.orderBy(F.xxhash64("id"), "id").limit(rows))
@@ -148,12 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     size = known.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = size["p"] or 0, size["n"]
     counts = known.mapInArrow(_count, "term bigint, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
-    counts = counts.where(F.col("a") + F.col("b") >= LEAST_ROWS)
+    counts = settled(counts.where(F.col("a") + F.col("b") >= LEAST_ROWS))  # of the terms of bounded rows
     c, d = F.greatest(F.lit(0), F.lit(p) - F.col("a")), F.greatest(F.lit(0), F.lit(n - p) - F.col("b"))
     chi2 = F.pow(F.col("a") * d - F.col("b") * c, F.lit(2)) * n / F.greatest(F.lit(1.0), 1.0 * (F.col("a") + F.col("b")) * (c + d) * (F.col("a") + c) * (F.col("b") + d))
-    best = counts.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    vocabulary = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
-    fitted = known.mapInArrow(_numbered(vocabulary), "id bigint, y int, terms binary").groupBy().applyInPandas(_fit_frame(len(vocabulary)), "model binary").collect()
+    telling = counts.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(most).collect()
+    usual = counts.orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(frequent).collect()
+    vocabulary = np.unique(np.array([r["term"] for r in (*telling, *usual)], np.int64).view(np.uint64))
+    fitted = known.mapInArrow(_numbered(vocabulary), "id bigint, y int, terms binary").groupBy().applyInArrow(_fit_table(len(vocabulary)), "model binary").collect()
     if not fitted:
         return vocabulary[:0], np.array([-5.0]), np.zeros(0), np.zeros((0, FACTORS))
     x, m = np.frombuffer(fitted[0]["model"]), len(vocabulary)
@@ -182,7 +198,13 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs without the rows that toxicity() predicts 1 for; all columns stay, and nothing is shuffled but for training."""
+    """docs without the rows that toxicity() predicts 1 for; all columns stay, and nothing is shuffled but for training.
+
+    Null and empty texts get the model's bias and stay unless toxic texts are the
+    majority of the labelled ones; repeated rows share their fate; texts of any
+    length are scored whole; rows with null ids are judged like others. An empty
+    table gives an empty result with the same columns.
+    """
     score = _scorer(_model(docs, labels, id_col, text_col, label_col, train_rows))
     return docs.where(score(F.col(f"`{text_col}`")) < 0.5)
 
@@ -193,8 +215,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     score is between 0 and 1 and depends on the whole text alone; empty and null
     texts have no terms and get the model's bias. predicted is 1 from 0.5. Rows
     with equal texts have equal scores, repeated rows stay, null ids count as not
-    held out. Other columns are not read; an empty table gives an empty result,
-    and with no labels to learn from all scores are low.
+    held out. Texts of any length are scored whole, a part at a time. Other
+    columns are not read; an empty table gives an empty result, and with no
+    labels to learn from all scores are low.
     """
     score = _scorer(_model(docs, labels, id_col, text_col, label_col, train_rows))
     scored = own_columns(docs, {"id": id_col, "text": text_col}).select("id", score("text").alias("score"))
