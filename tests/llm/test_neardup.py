@@ -63,6 +63,44 @@ def test_large_group_is_worked_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_force(docs)
 
 
+def test_strays_of_a_large_group_are_held_against_every_block(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng, vocabulary = random.Random(6), [f"v{i}" for i in range(900)]
+    docs = []
+    for words in ([rng.choice(vocabulary) for _ in range(150)] for _ in range(2)):
+        for _ in range(60):  # a chain: each text is an edited one of those before it
+            words = edited(words, 0.008, rng, vocabulary).split()
+            docs.append((rng.randrange(10**6), " ".join(words)))
+    docs = list(dict(docs).items())
+    taken = []
+    plain = neardup._stray_links
+    monkeypatch.setattr(neardup, "_stray_links", lambda given, apart, percent: taken.append(apart.where("stray").count()) or plain(given, apart, percent))
+    found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_force(docs)
+    assert taken and taken[0] > 8
+
+
+def test_blocks_are_bounded_by_shingles_too(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)
+    seen = spark.sparkContext.accumulator(0)
+    plain = neardup._link_block
+
+    def watched(percent):
+        def run(table):
+            if sum(len(x.as_buffer()) for x in table["shingles"]) > 3 * 8 * 2000:
+                raise ValueError("a block is too large")
+            seen.add(1)
+            return plain(percent)(table)
+
+        return run
+
+    monkeypatch.setattr(neardup, "_link_block", watched)
+    words = [f"x{i}" for i in range(400)]
+    docs = [(i, " ".join([*words, f"end{i}"])) for i in range(60)]
+    found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0} and seen.value >= 12
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     found = sorted(neardup.near_duplicates(odd_docs).collect(), key=lambda r: (r.doc_id or 0, r.n_shingles))
     assert len(found) == 13
@@ -80,6 +118,11 @@ def test_dropping_keeps_one_of_each_group_and_all_columns(spark, odd_docs):
     assert sorted(r.doc_id or 0 for r in left.select("doc_id").collect()) == [0, 1, 2, 3, 4, 6, 8, 10, 11]
 
 
+def test_dropping_from_an_empty_table(no_docs):
+    left = neardup.drop_near_duplicates(no_docs)
+    assert left.columns == no_docs.columns and left.count() == 0
+
+
 def test_hashes_do_not_depend_on_batches(monkeypatch):
     texts = ["a b c d e f", "", None, "  B c", "b C", "x" * 50 + " y " * 40, "é a", "z"]
     whole = kernel.words(pa.array(texts))
@@ -125,19 +168,19 @@ def test_sketch_misses_next_to_nothing_at_any_threshold():
 
 
 def test_repeats_of_a_row_go_to_no_group(spark, monkeypatch):
-    plain = neardup._link_group
+    plain = neardup._link_block
 
     def watched(percent):
         link = plain(percent)
 
-        def run(frame):
-            if frame.duplicated(["id", "shingles"]).any():
-                raise ValueError(f"{len(frame)} rows in a group")
-            return link(frame)
+        def run(table):
+            if table.select(["id", "shingles"]).to_pandas().duplicated().any():
+                raise ValueError(f"{table.num_rows} rows in a group")
+            return link(table)
 
         return run
 
-    monkeypatch.setattr(neardup, "_link_group", watched)
+    monkeypatch.setattr(neardup, "_link_block", watched)
     words = [f"w{i}" for i in range(100)]
     docs = [(1, " ".join(words))] * 300 + [(2, " ".join([*words, "more"])), (2, "another text of the same id"), (3, "alone")]
     found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()

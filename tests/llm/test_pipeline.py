@@ -21,10 +21,10 @@ def test_each_stage_does_what_its_operator_says(spark, data, tmp_path):
     ids = lambda name: {r.doc_id for r in kept[name][1].select("doc_id").collect()}
     toxic = {r.doc_id for r in queries.op3_toxicity(spark, data).collect() if r.predicted}
     assert toxic and ids("toxicity") == set(kept["toxicity"][0]) - toxic
-    from test_neardup import brute_force
+    from test_neardup import components_at
 
-    found = brute_force(list(kept["near_dedup"][0].items()))
-    assert ids("near_dedup") == {i for i, (_, root) in found.items() if root == i} < set(kept["near_dedup"][0])
+    found = components_at(list(kept["near_dedup"][0].items()), corpus_pipeline.NEAR_PERCENT)
+    assert ids("near_dedup") == {i for i, root in found.items() if root == i} < set(kept["near_dedup"][0])
     leaks = {r.doc_id for r in queries.op6_decontamination(spark, data).collect()}
     assert ids("decontamination") == set(kept["decontamination"][0]) - leaks
     assert ids("secrets") == set(kept["secrets"][0])
@@ -35,6 +35,22 @@ def test_each_stage_does_what_its_operator_says(spark, data, tmp_path):
     assert ids("mixing") == set(texts)
 
 
+def test_odd_rows_go_through_every_stage(spark, odd_docs, no_docs, tmp_path):
+    data = str(tmp_path)
+    spark.createDataFrame([(1, 0), (8, 0), (11, 0)], "doc_id long, toxic int").write.parquet(f"{data}/labels.parquet")
+    spark.createDataFrame([(1, "w1x1 w2x2 w3x3 w4x4 w5x5 w6x6"), (2, None)], "item_id long, text string").write.parquet(f"{data}/benchmark.parquet")
+    docs = odd_docs
+    left = {"toxicity": 13, "near_dedup": 9, "decontamination": 8, "secrets": 8, "mixing": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, data)
+        assert name == "mixing" or found.columns == odd_docs.columns[:4] + odd_docs.columns[4:] + ["n_chars"] * (name == "secrets")
+        found.write.parquet(f"{data}/{name}")
+        docs = spark.read.parquet(f"{data}/{name}")
+        assert docs.count() == left[name]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, data).count() == 0
+
+
 def test_run_gives_the_last_stage(spark, data):
     one, two = corpus_pipeline.run(spark, data), corpus_pipeline.run(spark, data)
     assert {"doc_id", "size", "source_size", "target", "taken"} <= set(one.columns)

@@ -10,8 +10,10 @@ one among the first ``size - need + 1``: only those enter the inverted lists.
 Documents that lists connect are dealt to one group, each once, with their full
 sets. There, overlap counts from the lists of retained values propose partners,
 the sketch of the union estimates the similarity, and exact Jaccard on the full
-sets confirms the link. Groups return spanning links, never all pairs; a large
-group is worked in pairs of blocks, so that a task holds two blocks at most.
+sets confirms the link. Groups return spanning links, never all pairs. A large
+group is worked in blocks of bounded size, each together with the group's first
+document; what its links leave outside the group's largest component is then
+held against every block. So a group of copies takes linear work, however large.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ SKETCH = 64
 MISSED = 2e-10
 #: The lowest threshold: below it, most of a sketch would have to enter the inverted lists.
 LEAST_PERCENT = 80
-BLOCK = 512
+#: A block has so many documents, and so many shingles, on average at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 17
 BROADCAST_ROWS = 200_000
 
 
@@ -63,8 +65,12 @@ def _sketches(batches):
 
 
 def _sets(batches):
+    seen = set()  # a row that repeats in a task goes on once
     for batch, sets in _each(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "part", "blocks", "shingles"])
+        ids, data = batch.column(0).to_pylist(), [s.tobytes() for s in sets]
+        keys = [(i, hashlib.blake2b(x, digest_size=16).digest()) for i, x in zip(ids, data, strict=True)]
+        new = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(new, pa.int64())), pa.array([data[k] for k in new], pa.binary())], ["id", "shingles"])
 
 
 def shared(percent: int) -> int:
@@ -88,34 +94,31 @@ def union_estimate(sketch: np.ndarray, others: np.ndarray, filler: np.ndarray) -
     return (twice & inside).sum(axis=1) / np.maximum(1, (inside & ~twice).sum(axis=1))
 
 
-def linked(sets: list[np.ndarray], percent: int = 85) -> list[tuple[int, int]]:
-    """Links that span the components of the sets: pairs of positions with 100 * intersection >= percent * union."""
-    m = len(sets)
-    root = list(range(m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def linked(sets: list[np.ndarray], percent: int = 85, group: np.ndarray | None = None, strays: int | None = None, allowed: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of the sets: pairs of positions with 100 * intersection >= percent * union.
 
+    group: numbers of components that are known already. strays: hold so many
+    sets, the first ones, against the others, and nothing else; allowed tells
+    which of the others a stray may be held against, by (stray, other).
+    """
+    m = len(sets)
     n = np.array([len(s) for s in sets])
     values, number = np.unique(np.concatenate(sets), return_inverse=True)
     number = number.astype(np.int32)
     at = np.zeros(m + 1, np.int64)
     np.cumsum(n, out=at[1:])
     none = len(values)
-    heads = np.full((m, SKETCH), none, np.int64)  # numbers keep the order of the hashes
+    heads = np.full((m, SKETCH), none, np.int32)  # numbers keep the order of the hashes
     for i in range(m):
         k = min(SKETCH, n[i])
         heads[i, :k] = number[at[i] : at[i] + k]
     most = shared(percent)
     least = np.minimum(most, -(-n * percent // 100))
-    group = np.arange(m)
+    group = np.arange(m) if group is None else group.copy()
     mine = np.zeros(none + 1, dtype=bool)
     out = []
-    for i in range(m - 1):
-        rest = np.arange(i + 1, m)
+    for i in range(m - 1 if strays is None else strays):
+        rest = np.arange(i + 1, m) if strays is None else strays + np.flatnonzero(allowed[i])
         rest = rest[(group[rest] != group[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
         if not len(rest):
             continue
@@ -125,7 +128,7 @@ def linked(sets: list[np.ndarray], percent: int = 85) -> list[tuple[int, int]]:
         mine[head] = False
         if len(rest):
             floor = most / SKETCH if n[i] > SKETCH else percent / 100 - 0.2
-            rest = rest[union_estimate(heads[i], heads[rest], np.int64(none)) >= floor]
+            rest = rest[union_estimate(heads[i], heads[rest], np.int32(none)) >= floor]
         if len(rest):
             own = number[at[i] : at[i + 1]]
             mine[own] = True
@@ -139,17 +142,78 @@ def linked(sets: list[np.ndarray], percent: int = 85) -> list[tuple[int, int]]:
     return out
 
 
-def _link_group(percent: int):
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
-        ids = frame["id"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-        pairs = [(i, j) for i, j in linked(sets, percent) if ids[i] != ids[j]]
-        return pd.DataFrame({"a": [ids[j] for _, j in pairs], "b": [ids[i] for i, _ in pairs]}, dtype="int64")
+LINKS = "a bigint, b bigint"
+
+
+def _as_links(ids: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+    found = np.array([(ids[i], ids[j]) for i, j in pairs if ids[i] != ids[j]], np.int64).reshape(-1, 2)
+    return pa.table({"a": found[:, 1], "b": found[:, 0]})
+
+
+def _shingles(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+
+
+def _link_block(percent: int):
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        return _as_links(table["id"].to_numpy(), linked(_shingles(table), percent))
+
+    return link
+
+
+def _link_strays(percent: int):
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("as_stray", "descending"), ("id", "ascending")])
+        ids, strays = table["id"].to_numpy(), int(np.count_nonzero(table["as_stray"].to_numpy()))
+        stray, block = table["stray"].to_numpy(), table["block"].to_numpy()
+        # pairs of one block have been compared already; two strays meet twice
+        allowed = (block[strays:] != block[:strays, None]) & (~stray[strays:] | (ids[strays:] > ids[:strays, None]))
+        return _as_links(ids, linked(_shingles(table), percent, np.unique(table["component"].to_numpy(), return_inverse=True)[1], strays, allowed))
 
     return link
 
 
+def _largest_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (id, part, blocks, block) of the groups with several blocks whose links leave strays, with component, stray, and how many blocks of strays there are."""
+    known = members.where("blocks > 1").join(roots.withColumnRenamed("root", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = known.groupBy("part", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("part").agg(F.max_by("component", F.struct("size", "component")).alias("main"), (F.sum("size") - F.max("size")).alias("strays"))
+    # a block of strays is as large as the part's blocks are on average
+    main = small(settled(main.where("strays > 0").select("part", "main", "strays")), BROADCAST_ROWS)
+    apart = known.join(main, "part").withColumn("stray", F.col("component") != F.col("main"))
+    return apart.select("id", "part", "blocks", "block", "component", "stray", F.ceil(F.col("strays") / BLOCK).cast("int").alias("stray_blocks"))
+
+
+def _with_sets(given: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of these ids, from the texts."""
+    return given.join(small(ids.select("id"), BROADCAST_ROWS), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id bigint, shingles binary")
+
+
+def _block_links(given: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links within each block, and with the group's first document."""
+    first = F.col("id") == F.col("part")
+    places = F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = members.select("id", "part", F.explode(places).alias("block"))
+    sets = _with_sets(given, members).join(small(dealt, BROADCAST_ROWS), "id")
+    once = sets.repartition("part", "block").dropDuplicates(["part", "block", "id", "shingles"])
+    return once.groupBy("part", "block").applyInArrow(_link_block(percent), LINKS)
+
+
+def _stray_links(given: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Links of strays with each block of their group."""
+    to_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    to_strays = F.sequence(F.lit(0), F.col("stray_blocks") - 1)
+    row = ["id", "part", "block", "component", "stray"]
+    as_member = apart.select(*row, F.lit(False).alias("as_stray"), F.col("block").alias("i"), F.explode(to_strays).alias("j"))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("stray_blocks")).cast("int")
+    as_stray = apart.where("stray").select(*row, F.lit(True).alias("as_stray"), F.explode(to_blocks).alias("i"), own.alias("j"))
+    dealt = as_member.union(as_stray)
+    sets = _with_sets(given, apart).join(small(settled(dealt), BROADCAST_ROWS), "id")
+    once = sets.repartition("part", "i", "j").dropDuplicates(["part", "i", "j", "as_stray", "id", "shingles"])
+    return once.groupBy("part", "i", "j").applyInArrow(_link_strays(percent), LINKS)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per row of docs: (id_col, n_shingles, component_id, kept).
 
@@ -157,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     >= percent * union (percent: LEAST_PERCENT or more). component_id
     is the smallest id that links reach, kept is whether that is the document
     itself. Null and empty texts have no shingles and no links: each is its own
-    component. Rows without an id link with nothing: component_id is null and
+    component. Texts of any length are taken whole; a set alone may be larger than
+    a block. Rows without an id link with nothing: component_id is null and
     they are kept. Repeated rows, and rows that share an id, count as one
     document with all their links. Other columns are not read. An empty table
     gives an empty result.
@@ -177,14 +242,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = prefix.groupBy("v").agg(F.min("rep").alias("hub"))
     near = components(prefix.join(hubs, "v").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
 
-    sizes = near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    parts = settled(near.join(sizes, "root").select("id", F.col("root").alias("part"), "blocks"))
-    sets = given.join(small(parts, BROADCAST_ROWS), "id").select("id", "text", "part", "blocks").mapInArrow(_sets, "id bigint, part bigint, blocks int, shingles binary").distinct()  # however often a row repeats, it goes on once
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "shingles")
-    links = dealt.groupBy("part", "i", "j").applyInPandas(_link_group(percent), "a bigint, b bigint")
+    weighed = near.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = small(settled(weighed.groupBy(F.col("root").alias("part")).agg(blocks.alias("blocks"))), BROADCAST_ROWS)  # so that a large group's members needn't meet
+    members = near.select("id", F.col("root").alias("part")).join(sizes, "part")
+    members = settled(members.select("id", "part", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    links = settled(_block_links(given, members, percent))
     roots = components(links)
+    apart = settled(_largest_apart(members, roots))
+    if not apart.isEmpty():
+        roots = components(links.union(_stray_links(given, apart, percent)))
 
     # classes are a table of their own here, so that AQE can split the copies of one text
     member = sketched.select("id", "n", "print").join(classes.select("print", "rep"), "print", "left")
@@ -197,7 +264,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one document of each group of near duplicates, that with the smallest id; all columns stay.
 
     Of rows that repeat an id, the one with the smallest text stays. Rows without
-    an id and empty texts stay.
+    an id, null and empty texts stay; long texts count whole. An empty table
+    gives an empty result with the same columns.
     """
     flags = near_duplicates(docs, id_col, text_col, percent).select(F.col(id_col).alias("id"), "kept").where("id IS NOT NULL")
     flags = settled(flags.groupBy("id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1"))
