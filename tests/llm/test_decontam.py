@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 from tidemill.llm import decontam as d
@@ -81,7 +83,84 @@ def test_several_indexes_find_the_same(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()}
     monkeypatch.setattr(d, "INDEX_POSTINGS", 500)
-    assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()} == whole == {(i, i % 60) for i in range(120)}
+    found = d.contaminated(docs, bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == whole == {(i, i % 60) for i in range(120)}
+    assert "ArrowEvalPython" not in plan(found) and "MapInArrow" not in plan(found)  # each index has gone before the next
+    assert d.drop_contaminated(docs, bench).count() == 0
+    more = docs.union(spark.createDataFrame([(900, "clean"), (901, None), (902, "")], docs.schema))
+    kept = d.drop_contaminated(more, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [900, 901, 902] and "ArrowEvalPython" not in plan(kept)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def words(text):
+    return [w.lower() for w in re.findall(r"[^\W_]+", text or "")]
+
+
+def plain_search(docs, items):
+    """(doc, item) by BM25 over all segments and passages, the threshold and both overlaps, written out."""
+    segments, df = [], {}
+    for item, text in items:
+        w = words(text)
+        segments += [(item, w[k : k + d.STEP]) for k in range(0, len(w), d.STEP)]
+    for _, s in segments:
+        for t in set(s):
+            df[t] = df.get(t, 0) + 1
+    mean = sum(len(s) for _, s in segments) / len(segments)
+
+    def weight(t, s):
+        tf = s.count(t)
+        return math.log(1 + (len(segments) - df[t] + 0.5) / (df[t] + 0.5)) * tf * (d.K1 + 1) / (tf + d.K1 * (1 - d.B + d.B * len(s) / mean))
+
+    impacts = [(item, {t: weight(t, s) for t in set(s)}) for item, s in segments]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    known = {}
+    for item, text in items:
+        q, a = d.question_answer(text)
+        known[item] = (shingles(words(q)) or set(words(q)), len(words(q)) >= 5, set(words(a)), len(words(q)) + len(words(a)))
+    found = set()
+    for doc, text in docs:
+        w = words(text)
+        for a in range(0, len(w), d.STEP):
+            passage = set(w[a : a + 2 * d.STEP])
+            for item, terms in impacts:
+                if sum(x for t, x in terms.items() if t in passage) >= d.THRESHOLD * sum(terms.values()) - 1e-9:
+                    question, long, answer, n = known[item]
+                    near = w[max(0, a - n) : a + 2 * d.STEP + n]
+                    have = shingles(near) if long else set(near)
+                    if len(question & have) >= d.QUESTION * len(question) and len(answer & set(near)) >= d.ANSWER * len(answer):
+                        found.add((doc, item))
+    return found
+
+
+def test_finds_what_a_plain_search_finds(spark):
+    rng = random.Random(12)
+    say, items = corpus(rng)
+    docs = []
+    for i in range(150):
+        text = say(rng.choice((3, 60, 300)))
+        for _ in range(rng.choice((0, 1, 2))):  # parts of items, whole and harmed, near the threshold
+            w = rng.choice(items)[1].split()
+            part = w[: max(1, int(len(w) * rng.choice((0.4, 0.6, 0.8, 1))))] + w[-2:] * (rng.random() < 0.5)
+            text += " " + " ".join(x for x in part if rng.random() > rng.choice((0, 0.05, 0.15))) + " " + say(10)
+        docs.append((i, text))
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    expected = plain_search(docs, items)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and 40 < len(expected) < 200
+
+
+def test_postings_of_many_items_take_little_memory():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(f"t{rng.randrange(50_000)}" for _ in range(4000)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["item", "text"])
+    rows = [r for part in d._postings([batch]) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+    assert len({r[:3] for r in rows}) == len(rows) and sum(r[3] for r in rows) == 60 * 4000 and {r[4] for r in rows} == {64, 4000 % 64}
+    assert max(part.num_rows for part in d._postings([batch])) < 100_000
 
 
 def test_odd_rows(spark, odd_docs, no_docs):

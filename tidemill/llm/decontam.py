@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import kernel
-from tidemill.llm.work import own_columns, settled
+from tidemill.llm.work import own_columns, settled, small
 
 STEP = 64
 BLOCK = 32
@@ -36,6 +36,7 @@ REST = 0.35
 QUESTION, ANSWER = 0.5, 0.5
 #: An index covers so many postings; more items make more indexes, each its own pass over the documents.
 INDEX_POSTINGS = 500_000
+BROADCAST_ROWS = 200_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -50,16 +51,22 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(batches):
-    """(item, segment, term, tf, length) of each item's segments."""
-    for batch in batches:
-        hashes, starts = tokens(batch.column(1))
-        rows = []
-        for item, a, b in zip(batch.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            for k in range(a, b, STEP):
-                part, tf = np.unique(hashes[k : min(b, k + STEP)], return_counts=True)
-                rows += [(item, (k - a) // STEP, int(t), int(n), min(b, k + STEP) - k) for t, n in zip(part.view(np.int64), tf, strict=True)]
-        names = ["item", "segment", "term", "tf", "length"]
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([("item", pa.int64()), ("segment", pa.int32()), ("term", pa.int64()), ("tf", pa.int32()), ("length", pa.int32())]))
+    """(item, segment, term, tf, length) of each item's segments, a bounded part of the items at a time."""
+    for whole in batches:
+        for x, y in kernel.runs(whole.column(1)):
+            hashes, starts = tokens(whole.column(1)[x:y])
+            row = np.repeat(np.arange(y - x), np.diff(starts))
+            segment = (np.arange(len(hashes)) - starts[row]) // STEP
+            order = np.lexsort((hashes, segment, row))
+            row, segment, term = row[order], segment[order], hashes[order]
+            new = np.ones(len(row), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (segment[1:] != segment[:-1]) | (term[1:] != term[:-1])
+            first = np.flatnonzero(new)
+            tf = np.diff(np.append(first, len(row)))
+            row, segment, term = row[first], segment[first], term[first]
+            length = np.minimum(STEP, np.diff(starts)[row] - segment * STEP)
+            columns = [whole.column(0)[x:y].take(pa.array(row)), pa.array(segment.astype(np.int32)), pa.array(term.view(np.int64)), pa.array(tf.astype(np.int32)), pa.array(length.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "segment", "term", "tf", "length"])
 
 
 @dataclass
@@ -231,8 +238,8 @@ def _clean(*test):
     return clean
 
 
-def _indexes(items: DataFrame):
-    """Of items (item, text, answer), one row each: (index, owners of its segments, items) for each shard of the items; a shard's size is bounded, the statistics are those of all."""
+def _weighted(items: DataFrame) -> tuple[DataFrame, int]:
+    """Postings of items (item, text, answer) with their BM25 weights and shards, and how many shards there are; the statistics are those of all."""
     postings = settled(items.select("item", F.concat_ws(" ", "text", "answer").alias("text")).mapInArrow(_postings, "item bigint, segment int, term bigint, tf int, length int"))
     segments = postings.select("item", "segment", "length").distinct()
     size = segments.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
@@ -241,7 +248,12 @@ def _indexes(items: DataFrame):
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     shards = max(1, -(-postings.count() // INDEX_POSTINGS))
-    weighted = settled(postings.join(df, "term").select("item", "segment", "term", weight.alias("w"), F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard")))
+    return settled(postings.join(df, "term").select("item", "segment", "term", weight.alias("w"), F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard"))), shards
+
+
+def _indexes(items: DataFrame):
+    """(index, owners of its segments, items) for one shard of the items after the other; a shard's size is bounded, and the caller holds one at a time."""
+    weighted, shards = _weighted(items)
     for shard in range(shards):
         rows = weighted.where(F.col("shard") == shard).orderBy("item", "segment", "term").toPandas()
         if not len(rows):
@@ -260,7 +272,7 @@ def _indexes(items: DataFrame):
             hashes, starts = tokens(pa.array([q, a]))
             question, long = hashes[: starts[1]], starts[1] >= kernel.SHINGLE
             own_items.append(Item(k, _shingle_set(question) if long else np.unique(question), np.unique(hashes[starts[1] :]), len(hashes), bool(long)))
-        yield index, owner, own_items
+        yield shards, (index, owner, own_items)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
@@ -269,24 +281,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are runs of letters and digits, in lower case, so case, punctuation
     and line breaks don't hide an item. Without answer_col the last sentence of
     an item is its answer. Documents without an item have no row; null and empty
-    texts hold none. Items without words or id are passed over; of an item id
-    that repeats, one text counts. Repeated documents repeat their rows. Nothing
-    of the documents is shuffled: the index, of bounded size, goes to the tasks.
+    texts hold none; texts of any length are searched whole. Items without words
+    or id are passed over; of an item id that repeats, one text counts. An item
+    of one word is found in every document that has the word, as it is the whole
+    item: leave such items out of the benchmark if that isn't wanted. Repeated
+    documents repeat their rows. An empty table of documents or items gives an
+    empty result. Nothing of the documents is shuffled: the index, of bounded
+    size, goes to the tasks. More items than one index holds take a pass for
+    each, whose finds are written before the next index is built.
     """
     given = own_columns(docs, {"id": id_col, "text": text_col})
     kind = given.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item_id bigint, score double, question double, answer double"
     found = given.sparkSession.createDataFrame([], schema)
-    for test in _indexes(_items(benchmark, item_col, item_text, answer_col)):
-        found = found.union(given.mapInArrow(_search(*test), schema))
+    for shards, test in _indexes(_items(benchmark, item_col, item_text, answer_col)):
+        here = given.mapInArrow(_search(*test), schema)
+        found = found.union(settled(here) if shards > 1 else here)
     return found.select(F.col("id").alias(id_col), "item_id", "score", F.col("question").alias("question_overlap"), F.col("answer").alias("answer_overlap"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
-    """docs without the rows in which an item is found; all columns stay, and rows with null or empty texts."""
-    for test in _indexes(_items(benchmark, item_col, item_text, answer_col)):
-        docs = docs.where(F.arrow_udf(_clean(*test), "boolean")(F.col(f"`{text_col}`")))
-    return docs
+    """docs without the rows in which an item is found; all columns stay, and rows with null or empty texts.
+
+    Repeated rows go or stay together, texts of any length are searched whole, an
+    item of one word drops every document that has it, and an empty table gives
+    an empty result with the same columns. With more than one index, each pass
+    writes the digests of the texts that go, and the rows are joined with them at
+    the end.
+    """
+    text = F.col(f"`{text_col}`")
+    gone = None
+    for shards, test in _indexes(_items(benchmark, item_col, item_text, answer_col)):
+        clean = F.arrow_udf(_clean(*test), "boolean")
+        if shards == 1:
+            return docs.where(clean(text))
+        here = settled(docs.select(text.alias("text")).where(~clean("text")).select(F.sha2("text", 256).alias("digest")))
+        gone = here if gone is None else gone.union(here)
+    if gone is None:
+        return docs
+    marked = docs.select(F.struct("*").alias("row"), F.sha2(text, 256).alias("digest"))
+    return marked.join(small(settled(gone.distinct()), BROADCAST_ROWS), "digest", "left_anti").select("row.*")
 
 
 def _items(benchmark: DataFrame, item_col: str, item_text: str, answer_col: str | None) -> DataFrame:
