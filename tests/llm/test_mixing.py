@@ -84,3 +84,32 @@ def test_mix_takes_the_long_text_that_fits(spark):
     found = {r.doc_id: r for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1)).collect()}
     assert found[1].target == found[3].target == 132_000
     assert found[1].taken + found[2].taken == 120_000 and found[3].taken == 132_000
+
+
+def test_a_mix_keeps_the_lengths_of_its_source(spark):
+    rng = random.Random(9)
+    lengths = {s: [rng.choice((rng.randrange(1, 40), rng.randrange(40, 900), rng.randrange(900, 6000))) for _ in range(400)] for s in "abc"}
+    rows = [(f"{s}{i}", "w " * n, s) for s, all_of in lengths.items() for i, n in enumerate(all_of)]
+    found = mix_sources(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    for source, all_of in lengths.items():
+        own = [r for r in found if r.source == source]
+        times = [r.taken // r["size"] for r in own]
+        more = [r["size"] for r, t in zip(own, times, strict=True) if t > min(times)]
+        mean = sum(all_of) / len(all_of)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+        assert not more or abs(sum(more) / len(more) - mean) < 0.1 * mean
+
+
+def test_fit_without_the_whole_knapsack(monkeypatch):
+    from tidemill.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_WORDS", 5000)
+    rng = random.Random(3)
+    for _ in range(50):
+        counts = {rng.randrange(900, 9000): rng.randrange(1, 9) for _ in range(20)}
+        total = sum(x * n for x, n in counts.items())
+        budget = rng.randrange(total)
+        taken = fit_budget(counts, budget)
+        left = budget - sum(x * n for x, n in taken.items())
+        assert left >= 0 and all(0 <= n <= counts[x] for x, n in taken.items())
+        assert all(left < x for x, n in counts.items() if n > taken.get(x, 0))

@@ -2,11 +2,14 @@
 
 A source's documents are counted by exact length. Whole repeats come first; the
 rest of the budget is a subset sum: every length gives the same share of its
-documents, and a bounded knapsack over the lengths left fits what remains, to
-the word where the lengths allow it. Where it leaves words over, it is given more
-of the budget, up to all of it. Which documents of a length are taken
-follows from a seeded hash of their ids. Only counts by length are gathered, by
-source; documents of one length are ranked in parts of their hash range.
+documents, fractions of documents being carried on from length to length so that
+rare lengths get theirs too, and a bounded knapsack over the lengths left fits
+what remains, to the word where the lengths allow it. It is given a small
+remainder first, so that the mix keeps the source's lengths, and where it leaves
+words over, more of the budget, up to all of it. Which documents of a length are
+taken follows from a seeded hash of their ids. Only counts by length are
+gathered, by source; documents of one length are counted in parts of their hash
+range, and only those of the part in which the budget ends are ranked.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ from tidemill.llm.work import own_columns, settled
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-PARTS = 64
-#: The knapsack is first given so many words and the shortest text left; the larger part of a budget is dealt out by shares.
-KNAPSACK_WORDS = 1 << 16
+PARTS = 256
+#: The knapsack is first given so many words; the larger part of a budget is dealt out by shares.
+KNAPSACK_WORDS = 1 << 11
 #: It is given more only up to so many words at once (4 bytes each), and so many bytes of sums to shift.
 MOST_WORDS, MOST_BYTES = 1 << 24, 1 << 33
 
@@ -50,10 +53,14 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIG
     return out
 
 
+def _shuffled(length: int) -> int:
+    return length * 0x9E3779B97F4A7C15 % (1 << 64)
+
+
 def _pieces(counts: dict[int, int], budget: int) -> list[tuple[int, int]]:
-    """(length, how many) whose choices make up every number of each length that fits, longest first."""
+    """(length, how many) whose choices make up every number of each length that fits, in an order that prefers no length."""
     out = []
-    for length in sorted((x for x in counts if 0 < x <= budget), reverse=True):
+    for length in sorted((x for x in counts if 0 < x <= budget), key=_shuffled):
         left, piece = min(counts[length], budget // length), 1
         while left > 0:
             piece = min(piece, left)
@@ -86,21 +93,27 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     return out
 
 
-def _fit(counts: dict[int, int], budget: int, dealt: int, room: int) -> dict[int, int] | None:
-    """As fit_budget, with so many words dealt by shares and what is left dealt longest first, as long as room stays; None where the knapsack is too large."""
+def _fit(counts: dict[int, int], budget: int, dealt: int) -> tuple[dict[int, int], bool]:
+    """As fit_budget, with so many words dealt by shares and the rest fitted by the knapsack; and whether that wasn't too large to be run."""
     total = sum(length * n for length, n in counts.items())
-    taken = {length: n * dealt // total for length, n in counts.items()}
-    left = budget - sum(length * n for length, n in taken.items())
-    for length in sorted(taken, reverse=True):
-        more = min(counts[length] - taken[length], max(0, left - room) // length)
-        taken[length] += more
-        left -= more * length
+    taken, carried, left = {}, total // 2, budget
+    for length in sorted(counts):  # fractions of documents add up from length to length
+        carried += counts[length] * dealt
+        taken[length] = min(counts[length], carried // total)
+        carried -= taken[length] * total
+        left -= taken[length] * length
+    for length in sorted(counts, key=_shuffled):
+        if left >= 0:
+            break
+        back = min(taken[length], -(left // length))
+        taken[length] -= back
+        left += back * length
     rest = {x: counts[x] - n for x, n in taken.items()}
-    if room > KNAPSACK_WORDS and (left > MOST_WORDS or len(_pieces(rest, left)) * (left // 8) > MOST_BYTES):
-        return None
+    if left > MOST_WORDS or len(_pieces(rest, left)) * (left // 8) > MOST_BYTES:
+        return taken, False
     for length, n in knapsack(rest, left).items():
         taken[length] += n
-    return taken
+    return taken, True
 
 
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
@@ -116,16 +129,22 @@ def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
     counts = {length // unit: n for length, n in counts.items() if length and n}
     budget //= unit
     words = lambda taken: sum(length * n for length, n in taken.items())
+    best: dict[int, int] = {}
     room = KNAPSACK_WORDS
-    best = _fit(counts, budget, budget, room)
-    dealt = budget
-    while words(best) < budget and dealt:
+    while words(best) < budget:
         dealt = max(0, budget - room)
-        taken = _fit(counts, budget, dealt, room if dealt else budget)
-        if taken is None:
+        taken, fitted = _fit(counts, budget, dealt)
+        if fitted or not best:
+            best = max(best, taken, key=words)
+        if not fitted or not dealt:
             break
-        best = max(best, taken, key=words)
         room *= 8
+    left = budget - words(best)
+    for length in sorted(counts, reverse=True):  # only where the knapsack was too large for all of the budget
+        more = min(counts[length] - best.get(length, 0), left // length)
+        if more > 0:
+            best[length] = best.get(length, 0) + more
+            left -= more * length
     return {length * unit: n for length, n in best.items()}
 
 
@@ -160,7 +179,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     target by less than its shortest useful document. Null and empty texts have
     size 0 and nothing taken. Ids may be null or repeat: rows count one by one,
     and of rows alike in all columns either may be taken. The same rows give the
-    same mix. An empty table gives an empty result.
+    same mix; texts of any length count whole. An empty table gives an empty
+    result. The lengths of what is taken are those of the source, on average.
     """
     given = own_columns(docs, {"id": id_col, "source": source_col, "text": text_col}).withColumn("source", F.col("source").cast("string"))
     kind = given.schema["id"].dataType.simpleString()
@@ -175,9 +195,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fitted = lengths.join(targets, "key").groupBy("key").applyInPandas(_plan, "key string, size bigint, whole int, more bigint")
     before = F.sum("n").over(Window.partitionBy("key", "size").orderBy("part")) - F.col("n")  # over PARTS rows at most
     share = F.least(F.col("n"), F.greatest(F.lit(0), F.col("more") - before))
-    plan = settled(counts.join(fitted, ["key", "size"]).select("key", "size", "part", "whole", share.alias("more")))
+    plan = settled(counts.join(fitted, ["key", "size"]).select("key", "size", "part", "n", "whole", share.alias("more")))
 
+    planned = sized.join(plan, ["key", "size", "part"])
+    row = ["id", "key", "size", (F.col("whole") + F.col("one")).alias("times")]
+    # parts that go whole or not at all need no ranks: all but one of a length
+    easy = planned.where("more = 0 OR more = n").withColumn("one", (F.col("more") > 0).cast("int")).select(*row)
     place = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("rank", "id"))
-    mixed = sized.withColumn("place", place).join(plan, ["key", "size", "part"]).join(targets, "key")
-    taken = F.col("size") * (F.col("whole") + (F.col("place") <= F.col("more")).cast("int"))
+    ranked = planned.where("more > 0 AND more < n").withColumn("one", (place <= F.col("more")).cast("int")).select(*row)
+    mixed = easy.union(ranked).join(targets, "key")
+    taken = F.col("size") * F.col("times")
     return mixed.select(F.col("id").alias(id_col), "size", F.col("total").alias("source_size"), "target", taken.alias("taken"), F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1)).alias(source_col))
