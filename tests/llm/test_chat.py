@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,6 +34,33 @@ def test_deltas_edits_and_regenerations(spark):
     assert chat.fold_events(events(spark, log).where("false")).count() == 0
 
 
+def replayed(log):
+    """The messages of one conversation, by doing what each event says to a list of them."""
+    order, text, role, seen = [], {}, {}, set()
+    for _, _, kind, m, r, body in sorted(log, key=lambda e: (e[1], e[3])):
+        if kind == "open" or (kind == "delta" and m not in seen):
+            order = [x for x in order if x != m] + [m]
+            role[m], text[m] = r or "", body or ""
+        elif m in order and kind == "delta":
+            text[m] += body or ""
+        elif m in order and kind == "edit":
+            text[m] = body or ""
+        elif m in order and kind == "regenerate":
+            order = order[: order.index(m)]
+        seen.add(m)
+    return [(role[m], text[m]) for m in order]
+
+
+def test_random_logs_end_as_when_replayed(spark):
+    rng = random.Random(8)
+    kinds = ["open", "open", "delta", "delta", "delta", "edit", "regenerate"]
+    log = [(c, s, rng.choice(kinds), rng.choice("abcdefgh"), rng.choice(("user", "assistant", None)), rng.choice(("x", "yy", None))) for c in range(80) for s in range(rng.randrange(1, 40))]
+    found = {}
+    for r in sorted(chat.fold_events(events(spark, log).repartition(6)).collect(), key=lambda r: (r.conv, r.place)):
+        found.setdefault(r.conv, []).append(chat.parse(r.piece))
+    assert found == {c: told for c in range(80) if (told := replayed([e for e in log if e[0] == c]))}
+
+
 def digests(rows):
     text, loss = "".join(f"{r or ''}\n{t or ''}\n" for r, t in rows), "".join(t or "" for r, t in rows if r == "assistant")
     return len(rows), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(chat.render(r or "", t or "")) for r, t in rows)
@@ -43,10 +71,15 @@ def test_turns_through_the_event_log_and_back(spark, monkeypatch):
     turns = [(i % 9, i // 9, ("user", "assistant", "system", "tool", None)[i % 5], (None, "", "</s>[INST] ok [/INST]", "é" * 20, "\\<s>" * 9)[i % 5]) for i in range(200)]
     turns += [(50, 1, "user", "same text twice")] * 2 + [(51, i, "assistant", "x" * 40) for i in range(500)]
     df = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, seq string").repartition(4)
-    found = {r[0]: tuple(r)[1:] for r in chat.read_back(chat.fold_events(chat.as_events(df), edits=False)).collect()}
+    log = chat.as_events(df)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["delta"] > 2000 and kinds["edit"] > 100 and kinds["regenerate"] > 50 and kinds["open"] == len(turns) + kinds["regenerate"]
+    pieces = chat.fold_events(log)
+    found = {r[0]: tuple(r)[1:] for r in chat.read_back(pieces).collect()}
     expected = {c: digests([t[2:] for t in sorted((t for t in turns if t[0] == c), key=lambda t: t[1])]) for c in {t[0] for t in turns}}
     assert found == expected
-    assert {r[0]: tuple(r)[1:] for r in chat.read_back(chat.fold_events(chat.as_events(df))).collect()} == expected
+    stored = chat.store_pieces(pieces).repartition(7, "piece")
+    assert {r[0]: tuple(r)[1:] for r in chat.read_back(stored).collect()} == expected
 
 
 def test_query_adds_the_conversation_with_control_strings(spark, data):

@@ -1,29 +1,35 @@
 """Chat logs folded into conversations and rendered with a reversible template.
 
 A log is a table of events: a message is opened, streamed deltas append to it,
-an edit replaces its text, a regeneration drops it and all after it. Events are
-partitioned by conversation, sorted by sequence, and folded as they stream by:
-a task keeps the open message of one conversation, or, for logs with edits and
-regenerations, the messages that these may still reach. The formatted output is
-one row per message, in order, so that a conversation of any length needs no
-single row.
+an edit replaces its text, a regeneration drops it and all after it. What a
+message's own events say follows from windows over its key: which of them come
+after its last edit, and where it was opened. Regenerations alone are then sorted
+by conversation and sequence and tell which stretches of a conversation have
+gone. Last, what is left is sorted the same way and folded as it streams by, so a
+task keeps one message. The formatted output is one row per message, in order,
+so that a conversation of any length needs no single row.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemill.llm.work import checkpoint_dir
 
 OPEN, DELTA, EDIT, REGENERATE = "open", "delta", "edit", "regenerate"
 EVENT_TYPE = "conv bigint, seq bigint, part int, kind string, message string, role string, body string"
 #: A message of the formatted output; the mask is whether its text counts for the loss.
 PIECE = "conv bigint, place bigint, piece string, mask boolean"
-#: A row of text that becomes events is cut into deltas of so many characters.
-DELTA_CHARS = 16_384
+#: A text that becomes events is streamed in deltas of so many characters.
+DELTA_CHARS = 256
 
 #: Marks before and after a text, by role; other roles are named in theirs.
 MARKS = {
@@ -59,67 +65,83 @@ def parse(piece: str) -> tuple[str, str]:
     return unescape(name), unescape(text)
 
 
-class Fold:
-    """The messages of one conversation while its events go by in order.
+def _key(seq, message, part) -> tuple:
+    """A place in a conversation, to compare; nulls come first, as in Spark's order."""
+    return (seq is not None, seq or 0, message is not None, message or "", part is not None, part or 0)
 
-    Without edits and regenerations in the log (``final``) a message is done
-    when the next one opens; with them, when the conversation ends.
-    """
 
-    def __init__(self, final: bool):
-        self.final, self.messages = final, {}
-
-    def take(self, kind: str, message: str, role: str | None, body: str | None) -> list[tuple[str, str]]:
-        done: list[tuple[str, str]] = []
-        if kind == OPEN:
-            if self.final:
-                done = self.end()
-            self.messages.pop(message, None)
-            self.messages[message] = [role or "", [body or ""]]
-        elif kind == DELTA:
-            self.messages.setdefault(message, [role or "", []])[1].append(body or "")
-        elif kind == EDIT:
-            if message in self.messages:
-                self.messages[message][1] = [body or ""]
-        elif kind == REGENERATE:
-            if message in self.messages:
-                order = list(self.messages)
-                for later in order[order.index(message) :]:
-                    del self.messages[later]
-        return done
-
-    def end(self) -> list[tuple[str, str]]:
-        done = [(role, "".join(parts)) for role, parts in self.messages.values()]
-        self.messages = {}
-        return done
-
-
-def _folding(final: bool):
-    def fold(batches):
-        conv, state, place = object(), None, 0
-        out: list[tuple] = []
-
-        def emit(done):
-            nonlocal place
-            for role, text in done:
-                out.append((conv, place, render(role, text), role == "assistant"))
-                place += 1
-
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("conv", "kind", "message", "role", "body")]
-            for c, kind, message, role, body in zip(*columns, strict=True):
-                if state is None or c != conv:
-                    if state is not None:
-                        emit(state.end())
-                    conv, state, place = c, Fold(final), 0
-                emit(state.take(kind, message, role, body))
-            yield _pieces(out)
-            out = []
-        if state is not None:
-            emit(state.end())
-            yield _pieces(out)
+class Gone:
+    """The stretches of one conversation that its regenerations drop, while these go by in order."""
+
+    def __init__(self):
+        self.starts: list[tuple] = []
+        self.ends: list[tuple] = []
+
+    def take(self, start: tuple, end: tuple) -> None:
+        """A regeneration at ``end`` of a message opened at ``start``: nothing, if that has gone; else all since then goes."""
+        k = bisect_right(self.starts, start)
+        if k and start < self.ends[k - 1]:
+            return
+        del self.starts[k:], self.ends[k:]  # what went since then lies within
+        self.starts.append(start)
+        self.ends.append(end)
+
+
+_AT = ("conv", "open_seq", "message", "open_part")
+_GONE = "conv bigint, open_seq bigint, message string, open_part int, until_seq bigint, until_message string, until_part int"
+
+
+def _columns(batch: pa.RecordBatch, *names: str):
+    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+
+
+def _stretches(batches):
+    conv, state = object(), None
+    names = _GONE.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", ")
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32()]
+
+    def told():
+        rows = [] if state is None else [(conv, *(x[i + 1] if x[i] else None for x in pair for i in (0, 2, 4))) for pair in zip(state.starts, state.ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    for batch in batches:
+        for c, open_seq, message, open_part, seq, part in _columns(batch, *_AT, "seq", "part"):
+            if state is None or c != conv:
+                yield told()
+                conv, state = c, Gone()
+            state.take(_key(open_seq, message, open_part), _key(seq, message, part))
+    yield told()
+
+
+def _fold(batches):
+    """Rows of messages and of stretches that have gone, by place, to final messages."""
+    conv, message, role, parts, place, until = object(), None, "", [], 0, None
+    out: list[tuple] = []
 
-    return fold
+    def done():
+        nonlocal message, place
+        if message is not None:
+            out.append((conv, place, render(role, "".join(parts)), role == "assistant"))
+            message, place = None, place + 1
+
+    for batch in batches:
+        for c, open_seq, name, open_part, marks, until_seq, until_message, until_part, said, body in _columns(batch, *_AT, "marks", "until_seq", "until_message", "until_part", "role", "body"):
+            if c != conv:
+                done()
+                conv, place, until = c, 0, None
+            at = _key(open_seq, name, open_part)
+            if marks:
+                done()
+                until = _key(until_seq, until_message, until_part)
+            elif until is None or at >= until:
+                if message != at:
+                    done()
+                    message, role, parts = at, said or "", []
+                parts.append(body or "")
+        yield _pieces(out)
+        out.clear()
+    done()
+    yield _pieces(out)
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
@@ -127,39 +149,90 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
 
-def fold_events(events: DataFrame, edits: bool = True) -> DataFrame:
+def _placed(events: DataFrame) -> DataFrame:
+    """events with where their message was opened last before them, and last of all, and its last edit since; each as a struct that begins with seq and part."""
+    of_message = Window.partitionBy("conv", "message")
+    so_far = of_message.orderBy("seq", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    unopened = (F.col("kind") == DELTA) & (F.row_number().over(of_message.orderBy("seq", "part")) == 1)
+    at = F.struct("seq", "part", "role")
+    placed = events.withColumn("opens", (F.col("kind") == OPEN) | unopened)
+    placed = placed.withColumn("opened", F.max(F.when(F.col("opens"), at)).over(so_far))
+    edit = F.when(F.col("kind") == EDIT, F.struct("opened", F.struct("seq", "part").alias("at")))  # those of the last opening come last
+    return placed.withColumns({"last": F.max("opened").over(of_message), "edit": F.max(F.when(F.col("opened").isNotNull(), edit)).over(of_message)})
+
+
+def fold_events(events: DataFrame) -> DataFrame:
     """Final messages, rendered: (conv, place, piece, mask), in order within each partition.
 
     events has the columns of EVENT_TYPE. Of a conversation they apply by seq,
-    then message, then part; events of messages that were never opened, or have
-    gone, do nothing, but a delta opens its message. edits=False says that the
-    log holds no edits or regenerations: then a task keeps one message at a time.
-    Null roles and bodies are empty; events without a conversation form their
-    own. An empty log gives no pieces.
+    then message, then part; a message is known by its name in its conversation,
+    and opening it again starts it anew at that place. The first event of a
+    message opens it if it is a delta; edits and regenerations of messages that
+    were never opened do nothing, nor do those of messages that have gone.
+    Events that repeat apply each time. Null roles and bodies are empty; events
+    without a conversation form their own; texts of any length are one message
+    each. An empty log gives no pieces. Other columns aren't read.
     """
-    placed = events.repartition("conv").sortWithinPartitions("conv", "seq", "message", "part")
-    return placed.mapInArrow(_folding(not edits), PIECE)
+    placed = _placed(events.select(*[x.split(" ")[0] for x in EVENT_TYPE.split(", ")])).where("opened IS NOT NULL")
+    where = ["conv", F.col("opened.seq").alias("open_seq"), "message", F.col("opened.part").alias("open_part")]
+    regenerated = placed.where(F.col("kind") == REGENERATE).select(*where, "seq", "part")
+    gone = regenerated.repartition("conv").sortWithinPartitions("conv", "seq", "message", "part").mapInArrow(_stretches, _GONE)
+    edited = F.col("edit.opened") == F.col("last")
+    current = (F.col("opened") == F.col("last")) & (~F.coalesce(edited, F.lit(False)) | (F.struct("seq", "part") >= F.col("edit.at")))
+    said = placed.where((F.col("kind") != REGENERATE) & current).select(
+        *where, F.lit(False).alias("marks"), F.lit(None).cast("bigint").alias("until_seq"), F.lit(None).cast("string").alias("until_message"),
+        F.lit(None).cast("int").alias("until_part"), "seq", "part", F.col("opened.role").alias("role"), "body",
+    )
+    nothing = {"seq": "bigint", "part": "int", "role": "string", "body": "string"}
+    marks = gone.select(*_AT, F.lit(True).alias("marks"), "until_seq", "until_message", "until_part", *[F.lit(None).cast(t).alias(n) for n, t in nothing.items()])
+    return said.union(marks).repartition("conv").sortWithinPartitions(*_AT, F.desc("marks"), "seq", "part").mapInArrow(_fold, PIECE)
 
 
 def as_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A table of whole turns as an event log: an open event with the first characters, deltas with the rest.
+    """A table of whole turns as the event log that a chat service might have kept of them.
 
-    Turns of a conversation with the same number follow each other by role and a
-    hash of the text; repeated rows are turns of their own.
+    A turn is opened and streamed in deltas. By a hash of the turn, some answers
+    have a draft before them, streamed in part and then regenerated, and some
+    turns are opened with another text that an edit replaces. Turns of a
+    conversation with the same number follow each other by hashes of role and
+    text; repeated rows are turns of their own. Null texts are empty.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / DELTA_CHARS).cast("int") - 1))
     rows = turns.select(
         F.col(f"`{conv}`").cast("bigint").alias("conv"), F.col(f"`{turn}`").cast("bigint").alias("seq"),
         F.col(f"`{role}`").alias("role"), body.alias("text"), F.monotonically_increasing_id().alias("row"),
-    ).withColumn("part", F.explode(cuts))
-    # the message's name orders turns alike in conversation and turn, and tells repeated rows apart
-    return rows.select(
-        "conv", "seq", "part", F.when(F.col("part") == 0, OPEN).otherwise(DELTA).alias("kind"),
-        F.concat_ws(":", F.coalesce("role", F.lit("")), F.xxhash64("text"), "row").alias("message"),
-        "role", F.substring("text", F.col("part") * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("body"),
     )
 
+    def number(x: Column) -> Column:
+        return F.lpad(F.hex(x), 16, "0")
+
+    deltas = F.ceil(F.length("text") / DELTA_CHARS).cast("int")
+    # the name orders turns alike in conversation and turn, and tells repeated rows apart
+    rows = rows.withColumns({"name": F.concat(number(F.xxhash64(F.coalesce("role", F.lit("")))), number(F.xxhash64("text")), number(F.col("row"))), "n": deltas, "luck": F.pmod(F.xxhash64("conv", "seq", "text"), F.lit(4))})
+
+    def event(kind: str, final: bool, piece: Column | int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(final).alias("final"), (piece if isinstance(piece, Column) else F.lit(piece)).cast("int").alias("piece"))
+
+    def streamed(first: int) -> Column:
+        return F.when(F.col("n") > first, F.transform(F.sequence(F.lit(first), F.col("n") - 1), lambda i: event(DELTA, True, i))).otherwise(F.array().cast("array<struct<kind:string,final:boolean,piece:int>>"))
+
+    empty, half, turned = -1, -2, -3
+    plain = F.concat(F.array(event(OPEN, True, empty)), streamed(0))
+    redone = F.concat(F.array(event(OPEN, False, empty), event(DELTA, False, half), event(REGENERATE, False, empty)), plain)
+    edited = F.concat(F.array(event(OPEN, True, turned), event(EDIT, True, 0)), streamed(1))
+    log = F.when((F.col("role") == "assistant") & (F.col("luck") == 0), redone).when(F.col("luck") == 1, edited).otherwise(plain)
+    told = rows.select("*", F.posexplode(log).alias("part", "event"))
+    piece = F.col("event.piece")
+    said = F.when(piece >= 0, F.substring("text", piece * DELTA_CHARS + 1, F.lit(DELTA_CHARS))).when(piece == half, F.left("text", F.ceil(F.length("text") / 2).cast("int"))).when(piece == turned, F.reverse(F.left("text", F.lit(DELTA_CHARS)))).otherwise("")
+    return told.select("conv", "seq", "part", F.col("event.kind").alias("kind"), F.concat("name", F.when(F.col("event.final"), "~1").otherwise("~0")).alias("message"), "role", said.alias("body"))
+
+
+def store_pieces(pieces: DataFrame) -> DataFrame:
+    """The pieces written to a new Parquet table in the folder that executors share, to be read from there."""
+    path = f"{checkpoint_dir(pieces.sparkSession)}/chat-{uuid.uuid4().hex}"
+    pieces.write.parquet(path)
+    return pieces.sparkSession.read.schema(PIECE).parquet(path)
+
 
 def _digests(batches):
     """Reads the pieces of each conversation back, in order, and hashes their turns and what the loss counts."""
@@ -194,8 +267,17 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """One row per conversation from what fold_events returns: what its formatted text says again when parsed."""
-    return pieces.mapInArrow(_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    """One row per conversation: what its formatted text says again when parsed, and what counts for the loss.
+
+    pieces has the columns of PIECE, in any order and partitioning: they are
+    brought together by conversation and sorted by place here, and a task holds
+    one piece at a time. Pieces without a conversation form their own; a piece
+    that repeats counts again; an empty table gives an empty result. Pieces are
+    never null or empty, as render() puts marks around empty texts. Other columns
+    aren't read.
+    """
+    placed = pieces.select("conv", "place", "piece", "mask").repartition("conv").sortWithinPartitions("conv", "place")
+    return placed.mapInArrow(_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def _added(text: str) -> str:

@@ -46,7 +46,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return chat.read_back(chat.fold_events(chat.as_events(turns.union(more)), edits=False))
+    return chat.read_back(chat.store_pieces(chat.fold_events(chat.as_events(turns.union(more)))))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
