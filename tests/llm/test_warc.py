@@ -43,6 +43,21 @@ def test_damage_is_found(spark, tmp_path):
         warc.read_archive(spark, other).collect()
 
 
+def test_records_that_splits_cut_come_back_once(spark, tmp_path):
+    path, dealt, gone = (str(tmp_path / x) for x in "abc")
+    warc.write_archive(pages(spark), path, chunk=5000)
+    stored = spark.read.parquet(path)
+    stored.repartition(7).write.parquet(dealt)
+    assert sorted((tuple(r) for r in warc.read_archive(spark, dealt).collect()), key=repr) == brute_force()
+    stored.orderBy("record", "chunk").coalesce(1).withColumn("file", F.floor(F.monotonically_increasing_id() / 11)).write.partitionBy("file").parquet(gone + "0")
+    spark.read.parquet(gone + "0").drop("file").write.parquet(gone)
+    assert sorted((tuple(r) for r in warc.read_archive(spark, gone).collect()), key=repr) == brute_force()
+    assert "Exchange" not in warc.read_archive(spark, path)._jdf.queryExecution().executedPlan().toString()
+    stored.where("chunk <> 2").write.parquet(str(tmp_path / "lacking"))
+    with pytest.raises(Exception, match="lacks chunks"):
+        warc.read_archive(spark, str(tmp_path / "lacking")).collect()
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     warc.write_archive(pages(spark).where("false"), path)

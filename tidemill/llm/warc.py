@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.work import checkpoint_dir, own_columns, settled, small
 
-CHUNK_BYTES = 1 << 16
+CHUNK_BYTES = 1 << 14
 BROADCAST_ROWS = 200_000
 ARCHIVE = "record bigint, chunk int, data binary, sha1 string"
 #: Written into each record; the time of the crawl isn't in the tables.
@@ -68,7 +68,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     Of payloads that are equal and have at least so many bytes, the one with the
     largest id is a response and the others revisit it; all rows that repeat
     that id are responses. Null texts are empty payloads. A null id revisits the
-    others' record, and is a response if all are null.
+    others' record, and is a response if all are null. A payload's digest, which
+    its header and the search for equal ones need first, is Spark's; the running
+    one of the chunks confirms it. An empty table gives an empty archive.
     """
     page = own_columns(pages, {"page": id_col, "url": url_col, "html": html_col}).withColumn("page", F.col("page").cast("bigint"))
     payload = F.coalesce("html", F.lit("")).cast("binary")
@@ -93,41 +95,82 @@ def _id(urn: str | None) -> int | None:
     return int(number) if number else None
 
 
+_RECORD = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("cut", pa.int64())]
+RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, cut bigint"
+
+
 def _read(batches):
-    state = None
+    """A row for each record whose chunks follow each other here, and one with its number in ``cut`` for each that lacks some."""
+    state, rows = None, []
+
+    def cut(record):
+        if record is not None:
+            rows.append((None, None, None, None, None, record))
+
     for batch in batches:
-        rows: list[tuple] = []
         for record, chunk, data, sha1 in zip(*(batch.column(i) for i in range(4)), strict=True):
-            data = data.as_py()
-            if chunk.as_py() == 0:
+            record, chunk, data = record.as_py(), chunk.as_py(), data.as_py()
+            if chunk == 0:
+                cut(state and state["open"])
                 head, data = data.split(_END, 1)
                 lines = head.decode().split("\r\n")
-                state = {"lines": lines, "left": int(_field(lines, "Content-Length")), "sha": hashlib.sha1(), "tail": b""}
+                state = {"open": record, "record": record, "next": 0, "lines": lines, "left": int(_field(lines, "Content-Length")), "sha": hashlib.sha1(), "tail": b""}
+            elif state is None or state["record"] != record or state["next"] != chunk:  # its beginning is elsewhere
+                if state and state["record"] != record:
+                    cut(state["open"])
+                if state is None or state["record"] != record or state["open"] is not None:
+                    cut(record)
+                state = {"open": None, "record": record, "next": -1}
+                continue
+            state["next"] += 1
             part = data[: state["left"]]
             state["left"] -= len(part)
             state["sha"].update(part)
             state["tail"] += data[len(part) :]
             if state["sha"].hexdigest() != sha1.as_py() or len(state["tail"]) > len(_END):
-                raise ValueError(f"record {record.as_py()} is damaged in chunk {chunk.as_py()}")
+                raise ValueError(f"record {record} is damaged in chunk {chunk}")
             if state["left"] == 0 and state["tail"] == _END:
-                lines = state["lines"]
+                lines, state["open"] = state["lines"], None
                 kind, digest = _field(lines, "WARC-Type"), _field(lines, "WARC-Payload-Digest").removeprefix("sha1:")
                 if kind == "response" and base32(state["sha"].digest()) != digest:
-                    raise ValueError(f"record {record.as_py()} has another digest than its header says")
-                rows.append((_id(_field(lines, "WARC-Record-ID")), int(_field(lines, "X-Payload-Length")), digest, kind, _id(_field(lines, "WARC-Refers-To"))))
-        kinds = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+                    raise ValueError(f"record {record} has another digest than its header says")
+                rows.append((_id(_field(lines, "WARC-Record-ID")), int(_field(lines, "X-Payload-Length")), digest, kind, _id(_field(lines, "WARC-Refers-To")), None))
+        yield _records(rows)
+        rows.clear()
+    cut(state and state["open"])
+    yield _records(rows)
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_RECORD)], [n for n, _ in _RECORD])
+
+
+def _whole(batches):
+    for batch in _read(batches):
+        if batch.column(5).null_count < batch.num_rows:
+            raise ValueError(f"record {next(x for x in batch.column(5).to_pylist() if x is not None)} lacks chunks")
+        yield batch
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of an archive: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
     Digests of responses are those of the bytes read; a chunk that differs from
-    what was written raises an error naming it. A record's chunks may lie in
-    several files or splits, so they are brought together by record, in order.
+    what was written raises an error naming it, and so does a record that lacks
+    chunks. A record's chunks are written one after the other, so most records
+    are read where they lie; only those that Spark's splits cut, or whose chunks
+    somebody has dealt anew, are brought together by record, in order. Payloads
+    of any length pass chunk by chunk; an empty archive gives an empty result.
     """
-    chunks = spark.read.schema(ARCHIVE).parquet(path).repartition("record").sortWithinPartitions("record", "chunk")
-    return chunks.mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    chunks = spark.read.schema(ARCHIVE).parquet(path)
+    found = settled(chunks.mapInArrow(_read, RECORD))
+    done = found.where("cut IS NULL").drop("cut")
+    cut = settled(found.where("cut IS NOT NULL").select(F.col("cut").alias("record")).distinct())
+    if cut.isEmpty():
+        return done
+    rest = chunks.join(small(cut, BROADCAST_ROWS), "record", "left_semi").select("record", "chunk", "data", "sha1")
+    rest = rest.repartition("record").sortWithinPartitions("record", "chunk")
+    return done.union(rest.mapInArrow(_whole, RECORD).drop("cut"))
 
 
 def new_archive_path(spark: SparkSession) -> str:
