@@ -71,6 +71,7 @@ def runs(texts: pa.Array, limit: int = 1 << 19):
         last = min(len(texts), max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1))
         yield row, last
         row = last
+    pa.default_memory_pool().release_unused()  # a worker lives on between tasks, and would keep what its largest batch took
 
 
 def _pieces(data: np.ndarray, at: np.ndarray, separator: np.ndarray):

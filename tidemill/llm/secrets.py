@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,22 +179,27 @@ def redacted(texts: pa.Array) -> pa.Array:
             found[i] = "".join([*parts, text[done:]])
     if not found:
         return texts
-    out = texts.to_pylist()
-    for i, text in found.items():
-        out[i] = text
-    return pa.array(out, texts.type)
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    mask = np.zeros(len(texts), dtype=bool)
+    mask[list(found)] = True
+    return pc.replace_with_mask(texts, pa.array(mask), pa.array([found[i] for i in sorted(found)], texts.type))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (id_col, spans), spans being structs of kind, start, end and detail by start.
 
     Positions are code points, the end exclusive. Null and empty texts have no
-    spans; repeated rows and null ids stay as they are; other columns are not
-    read. Each row depends on its own text alone, so nothing is shuffled.
+    spans; texts of any length are searched whole; repeated rows and null ids
+    stay as they are; other columns are not read; an empty table gives an empty
+    result. Each row depends on its own text alone, so nothing is shuffled.
     """
     return own_columns(docs, {"id": id_col, "text": text_col}).select(F.col("id").alias(id_col), F.arrow_udf(secret_spans, SPAN_TYPE)("text").alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the secrets in its texts replaced; all rows and other columns stay."""
+    """docs with the secrets in its texts replaced; all rows and other columns stay.
+
+    Null texts stay null and empty ones empty; texts of any length are searched
+    whole; repeated rows change alike; an empty table stays empty.
+    """
     return docs.withColumn(text_col, F.arrow_udf(redacted, "string")(F.col(f"`{text_col}`")))
