@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import time
 
 from oracle import database, rows
 from tidemill.llm import urls
@@ -58,3 +60,45 @@ def test_sql_says_the_same(spark, data):
     found = op1_url_filter(spark, data)
     assert rows(found.columns, found.collect()) == rows(expected.columns, expected.fetchall())
     assert urls.filter_urls(spark.createDataFrame([], "page_id int, url string")).count() == 0
+
+
+def test_an_index_is_built_once_in_a_worker_and_rules_are_compiled_when_tried(monkeypatch):
+    made = []
+    plain = urls.RuleIndex.__init__
+    monkeypatch.setattr(urls.RuleIndex, "__init__", lambda self, *a: made.append(1) or plain(self, *a))
+    rules = [urls.Rule("block", f"/word{i}/") for i in range(100_000)]
+    start = time.process_time()
+    indexes = [urls._index("one", lambda: (rules, {})) for _ in range(5)]
+    assert len(made) == 1 and len(set(map(id, indexes))) == 1 and time.process_time() - start < 5
+    assert [r.pattern for r in indexes[0].fitting("x.org/word7/a")] == ["/word7/"] and len(indexes[0].compiled) == 1
+    urls._index("two", lambda: (rules[:1], {}))
+    assert len(made) == 2 and list(urls._built) == ["two"]
+
+
+def test_parts_of_a_list_are_not_held_together(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://h.org/word{i % 9}/") for i in range(50)], "page_id int, url string")
+    rules = [urls.Rule("block", f"/word{i}/") for i in range(6)]
+    monkeypatch.setattr(urls, "RULES_AT_ONCE", 2)
+    found = urls.filter_urls(df, rules)
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.page_id: r.verdict for r in found.collect()} == {i: "block" if i % 9 < 6 else "allow" for i in range(50)}
+
+
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame([("block", "net/x/", True), ("block", "/y/", None), ("block", "/y/", None), ("drop", "/z/", False), ("allow", None, False), ("allow", "", True)], "action string, pattern string, is_host boolean")
+    assert urls.rules_from(table) == [urls.Rule("block", "/y/"), urls.Rule("block", "net/x/", True)]
+    df = spark.createDataFrame([(1, "http://a.net/x/1"), (2, "http://b.org/y/"), (3, "http://b.org/z/")], "page_id int, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df, urls.rules_from(table)).collect()} == {1: ("net/x/", "block"), 2: (None, "block"), 3: (None, "allow")}
+    assert {r.verdict for r in urls.filter_urls(df, []).collect()} == {"allow"}
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://x.org/" + "a/" * 200_000 + "casino/"
+    rows = [(1, long), (1, long), (2, "http://adult-x.org/"), (3, "http://free-bets.org/a"), (4, "http://betsy.org/"), (5, "http://x.org/wiki/a/casino/")]
+    found = urls.filter_urls(spark.createDataFrame(rows, "page_id int, url string")).collect()
+    assert sorted((r.page_id, r.verdict) for r in found) == [(1, "block"), (1, "block"), (2, "block"), (3, "block"), (4, "allow"), (5, "allow")]
+
+
+def test_pattern_rules_decide_pages(spark, data):
+    found = urls.filter_urls(spark.read.parquet(f"{os.path.dirname(data)}/sf0.1/pages.parquet").select("page_id", "url"))
+    assert found.where("rule IS NULL AND verdict = 'block'").count() > 0

@@ -11,17 +11,21 @@ where an exception beats a block, and what no rule fits is allowed.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.work import own_columns, settled, small
+
 TOKEN = re.compile(r"[a-z0-9%]+")
 _UPPER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
-#: A task holds so many rules; longer lists make several passes over the same rows.
+#: A worker holds so many rules; longer lists take a pass over the distinct urls for each such part.
 RULES_AT_ONCE = 100_000
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -59,29 +63,41 @@ HOST_RULES = (
     Rule("block", "net/es/", True),
     Rule("block", "net/fr/", True),
 )
-#: For urls that no host rule fits: what is seldom worth training on.
-PATTERN_RULES = tuple(
-    Rule(action, pattern)
-    for action, pattern in (
-        ("block", "||ads.*/"),
-        ("block", "||doubleclick.net^"),
-        ("block", "||tracker.*/"),
-        ("block", "/porn/"),
-        ("block", "/xxx/"),
-        ("block", "/casino/"),
-        ("block", "/betting/"),
-        ("block", "/wp-login.php"),
-        ("block", "/cgi-bin/"),
-        ("block", "/cart/checkout"),
-        ("block", "*.exe^"),
-        ("block", "/signup^"),
-        ("block", "/login^"),
-        ("allow", "/docs/login^"),
-        ("allow", "/wiki/*/xxx/"),
-    )
+#: Words that, as a label of a host or a folder of a path, mark what is seldom worth training on.
+ADULT = ("adult", "adults", "porn", "porno", "xxx", "sex", "escort", "escorts", "nude", "nudes", "webcam", "camgirls", "erotic", "hentai", "fetish")
+GAMBLING = ("casino", "casinos", "bet", "bets", "betting", "poker", "slots", "slot", "lottery", "jackpot", "roulette", "bingo", "bookmaker")
+TRACKING = ("ads", "ad", "adserver", "adservice", "adclick", "banner", "banners", "track", "tracker", "tracking", "pixel", "beacon", "affiliate", "popunder", "doubleclick", "clickbait", "sponsored")
+FRAUD = ("malware", "phishing", "spam", "warez", "crack", "cracks", "keygen", "torrent", "torrents", "payday", "replica", "pills", "viagra")
+SERVICE = ("login", "logout", "signin", "signup", "register", "checkout", "cart", "basket", "account", "password", "unsubscribe", "captcha", "cgi-bin", "wp-admin", "wp-login.php", "wp-json", "xmlrpc.php")
+#: Endings of files that hold no text.
+FILES = ("exe", "msi", "dmg", "apk", "iso", "zip", "rar", "7z", "gz", "tar", "mp3", "mp4", "avi", "mkv", "jpg", "jpeg", "png", "gif", "svg", "ico", "css", "js", "woff")
+#: Folders under which such words are subjects, not what the page is.
+SUBJECTS = ("wiki", "docs", "health", "news", "dictionary")
+
+
+def word_rules(words: Sequence[str]) -> list[Rule]:
+    """Blocks for a word as a label of a host, as a part of one between dashes, and as a folder of the path."""
+    forms = ("||{}.", "||{}-", "-{}.", "-{}-", "/{}/", "/{}^")
+    return [Rule("block", form.format(word)) for word in words for form in forms]
+
+
+#: For urls that no host rule fits.
+PATTERN_RULES = (
+    *word_rules((*ADULT, *GAMBLING, *TRACKING, *FRAUD)),
+    *(Rule("block", f"/{word}^") for word in SERVICE),
+    *(Rule("block", f".{ending}^") for ending in FILES),
+    *(Rule("allow", f"/{folder}/*/{word}^") for folder in SUBJECTS for word in (*ADULT, *GAMBLING, *FRAUD)),
+    *(Rule("allow", f"/docs/{word}^") for word in SERVICE),
 )
 
 
+def rules_from(table: DataFrame, action: str = "action", pattern: str = "pattern", is_host: str | None = "is_host") -> list[Rule]:
+    """Rules from a table with a row for each. Rows with a null or empty pattern, or an action other than allow and block, are passed over; a null is_host is false. The list goes through the driver, as rules do anyway."""
+    own = own_columns(table, {"action": action, "pattern": pattern, **({"is_host": is_host} if is_host else {})}).where("pattern <> '' AND action IN ('allow', 'block')")
+    flag = F.coalesce(F.col("is_host"), F.lit(False)) if is_host else F.lit(False)
+    return [Rule(r["action"], r["pattern"], r["host"]) for r in own.select("action", "pattern", flag.alias("host")).distinct().orderBy("action", "pattern", "host").collect()]
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to /, ?, # or the end, A-Z in lower case; path: from there up to ? or #. Both empty without ://, or for a null url."""
     at = F.instr(url, "://")
@@ -92,24 +108,41 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 class RuleIndex:
-    """Rules by their rarest token; those without one are tried on every url."""
+    """Rules by their rarest token; those without one are tried on every url. A rule is compiled when it is first tried."""
 
     def __init__(self, rules: Sequence[Rule], frequency: dict[str, int]):
-        self.filed: dict[str, list[tuple[Rule, re.Pattern]]] = {}
-        self.rest: list[tuple[Rule, re.Pattern]] = []
+        self.filed: dict[str, list[Rule]] = {}
+        self.rest: list[Rule] = []
+        self.compiled: dict[Rule, re.Pattern] = {}
         for rule in rules:
-            entry = (rule, re.compile(rule.regex, re.DOTALL))
             tokens = rule.tokens()
             if tokens:
-                self.filed.setdefault(min(tokens, key=lambda t: (frequency.get(t, 0), t)), []).append(entry)
+                self.filed.setdefault(min(tokens, key=lambda t: (frequency.get(t, 0), t)), []).append(rule)
             else:
-                self.rest.append(entry)
+                self.rest.append(rule)
+
+    def _fits(self, rule: Rule, text: str) -> bool:
+        regex = self.compiled.get(rule)
+        if regex is None:
+            regex = self.compiled[rule] = re.compile(rule.regex, re.DOTALL)
+        return regex.search(text) is not None
 
     def fitting(self, text: str) -> list[Rule]:
         tried = list(self.rest)
         for token in set(TOKEN.findall(text.translate(_UPPER))):
             tried += self.filed.get(token, ())
-        return [rule for rule, regex in tried if regex.search(text)]
+        return [rule for rule in tried if self._fits(rule, text)]
+
+
+#: The index that this worker process has built last, by the number of its broadcast: tasks and batches share it.
+_built: dict[str, RuleIndex] = {}
+
+
+def _index(key: str, load) -> RuleIndex:
+    if key not in _built:
+        _built.clear()
+        _built[key] = RuleIndex(*load())
+    return _built[key]
 
 
 def better(a: Rule | None, b: Rule | None) -> Rule | None:
@@ -124,9 +157,11 @@ _FOUND = pa.struct([("action", pa.string()), ("pattern", pa.string()), ("is_host
 FOUND_TYPE = "struct<action:string,pattern:string,is_host:boolean>"
 
 
-def _judge(rules: Sequence[Rule], frequency: dict[str, int]):
+def _judge(spark: SparkSession, rules: Sequence[Rule], frequency: dict[str, int]):
+    shared, key = spark.sparkContext.broadcast((list(rules), frequency)), uuid.uuid4().hex
+
     def judge(texts: pa.Array, before: pa.Array) -> pa.Array:
-        index, known, out = RuleIndex(rules, frequency), {}, []
+        index, known, out = _index(key, lambda: shared.value), {}, []
         for text, so_far in zip(texts.to_pylist(), before.to_pylist(), strict=True):
             if text not in known:
                 best = None
@@ -144,7 +179,7 @@ def token_counts(texts: DataFrame, tokens: set[str]) -> dict[str, int]:
     """In how many rows of the column ``text`` each of the tokens is. The result is as long as the list of tokens, not as the table."""
     if not tokens:
         return {}
-    wanted = F.broadcast(texts.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string"))  # of the rule list's size
+    wanted = small(texts.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string"), BROADCAST_ROWS)
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     each = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit(TOKEN.pattern), F.lit(0)))).alias("token"))
     return {r["token"]: r["n"] for r in each.join(wanted, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
@@ -153,21 +188,31 @@ def token_counts(texts: DataFrame, tokens: set[str]) -> dict[str, int]:
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] = (*HOST_RULES, *PATTERN_RULES), url_col: str = "url", default: str = "allow") -> DataFrame:
     """pages with four more columns: host, path, rule (of the host rule that decided, else null) and verdict (allow or block).
 
-    Any of these that pages has already is replaced. Urls that are null or lack
-    :// have an empty host and path and get the default, unless a pattern fits
-    the empty text. Repeated rows stay. Rows don't move: the rules, compiled in
-    each task, go to the urls. Lists longer than RULES_AT_ONCE take several
-    passes over the rows of a task, each passing on the best rule so far.
+    Any of these that pages has already is replaced. Urls that are null, empty or
+    lack :// have an empty host and path and get the default, unless a pattern
+    fits the empty text; urls of any length are judged whole. Repeated rows stay,
+    other columns too; an empty table gives an empty result. Rows don't move: the
+    rules, indexed once in each worker, go to the urls. Lists longer than
+    RULES_AT_ONCE take a pass for each such part over the distinct urls, whose
+    best rule so far is written before the next part's index is built; the rows
+    are joined with them at the end.
     """
     host, path = host_and_path(F.col(f"`{url_col}`"))
     text = F.concat(host, path)
-    tokens = {t for r in rules for t in r.tokens()}
-    frequency = token_counts(pages.select(text.alias("text")), tokens)
-    best = F.lit(None).cast(FOUND_TYPE)
-    for a in range(0, len(rules), RULES_AT_ONCE):
-        some = list(rules[a : a + RULES_AT_ONCE])
-        best = _judge(some, {t: frequency.get(t, 0) for r in some for t in r.tokens()})(text, best)
-    found = pages.withColumns({"host": host, "path": path, "rule": best})
+    spark = pages.sparkSession
+    frequency = token_counts(pages.select(text.alias("text")), {t for r in rules for t in r.tokens()})
+    parts = [list(rules[a : a + RULES_AT_ONCE]) for a in range(0, len(rules), RULES_AT_ONCE)]
+    judges = [_judge(spark, some, {t: frequency.get(t, 0) for r in some for t in r.tokens()}) for some in parts]
+    none = F.lit(None).cast(FOUND_TYPE)
+    if len(judges) > 1:
+        best = pages.select(text.alias("text")).distinct().withColumn("best", none)
+        for judge in judges:
+            best = settled(best.select("text", judge("text", "best").alias("best")))
+        own = pages.drop("rule")
+        marked = own.select(F.struct("*").alias("page"), text.alias("text"))
+        found = marked.join(small(best, BROADCAST_ROWS), "text", "left").select("page.*", F.col("best").alias("rule")).withColumns({"host": host, "path": path})
+    else:
+        found = pages.withColumns({"host": host, "path": path, "rule": judges[0](text, none) if judges else none})
     return found.withColumns({"rule": F.when(F.col("rule.is_host"), F.col("rule.pattern")), "verdict": F.coalesce("rule.action", F.lit(default))})
 
 
