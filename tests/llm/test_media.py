@@ -9,12 +9,12 @@ from tidemill.llm import jpeg, media
 
 def test_bytes_come_back_from_the_thumbnail():
     rng = np.random.default_rng(1)
-    payloads = [rng.integers(0, 256, 576 * k, dtype=np.uint8).tobytes() for k in (1, 2, 340, 341, 700)] + [b"\xff" * 576, b"\0" * 1152, bytes([0, 255] * 288)]
+    payloads = [rng.integers(0, 256, 576 * k, dtype=np.uint8).tobytes() for k in (1, 2, 340, 341, 701)] + [b"\xff" * 576, b"\0" * 1152, bytes([0, 255] * 288)]
     images = jpeg.encode(payloads)
     assert images == [jpeg.encode([p])[0] for p in payloads] and jpeg.encode([]) == []
     frames = [jpeg.parse(m) for m in images]
-    assert [len(f) for f in frames] == [1, 1, 1, 2, 3, 1, 1, 1]
-    assert [np.concatenate(jpeg.thumbnails(f)).tobytes() for f in frames] == payloads
+    assert [len(f) for f in frames] == [1] * 8
+    assert [jpeg.thumbnails(f)[0].tobytes() for f in frames] == payloads
     together = jpeg.thumbnails([x for f in frames for x in f])
     assert b"".join(t.tobytes() for t in together) == b"".join(payloads)
 
@@ -112,3 +112,46 @@ def test_texts_through_the_column_and_back(odd_docs, no_docs):
     same = {(r.media_sha256, r.ahash, r.dhash) for r in found if r.doc_id in (2, 3)}
     assert len(same) == 1
     assert media.media_features(media.store_texts(no_docs)).count() == 0
+
+
+def test_images_wider_than_high_and_several_in_a_value(monkeypatch):
+    text = "long text é " * 3000
+    payload = media.padded(text.encode())
+    whole = media.features(jpeg.encode([payload]), True)[0]
+    same = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "error")
+    monkeypatch.setattr(jpeg, "MOST", 576 * 2)  # 1,152 rows at most
+    for beside in (3, 1):  # intervals beside each other, with padding; one to a row
+        monkeypatch.setattr(jpeg, "_shape", lambda n, beside=beside: (576 * beside, -(-n // beside)))
+        found = media.features(jpeg.encode([payload]), True)[0]
+        assert {k: found[k] for k in same} == {k: whole[k] for k in same} and found["width"] == 8 * 576 * beside
+    monkeypatch.setattr(jpeg, "MOST", 576)  # several images in one value
+    many = payload * 12
+    found = media.features(jpeg.encode([many]), True)[0]
+    assert len(jpeg.parse(jpeg.encode([many])[0])) == 2 and found["payload_bytes"] == len(many)
+    assert whole["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+
+
+def test_a_long_text_is_one_image_in_bounded_memory():
+    import tracemalloc
+
+    payload = media.padded(bytes(range(32, 127)) * 60_000)  # 5.7 MB, more than 8,191 intervals
+    tracemalloc.start()
+    image = jpeg.encode([payload])[0]
+    found = media.features([image], True)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["error"] is None and (found["width"], found["n_bytes"]) == (576 * 2 * 8, 5_700_000)
+    assert found["payload_sha256"] == hashlib.sha256(payload).hexdigest() and peak < 25 * len(payload)
+
+
+def test_the_query_gives_what_the_texts_say(spark, data):
+    from tidemill.llm.queries import op5_media_jpeg
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    found = op5_media_jpeg(spark, data).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        payload = media.padded(texts[r.doc_id])
+        image = jpeg.encode([payload])[0]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest()) and r.feature

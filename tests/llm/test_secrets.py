@@ -92,3 +92,18 @@ def test_odd_rows_and_redaction(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(1, "a token=abcdefgh b token=xy " + "0" * 30), (2, None), (3, "none"), (4, "key token=" + "a" * 30)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()} == {1: "a <secret> b token=xy <secret>", 2: None, 3: "none", 4: "key <secret>"}
     assert secrets.redact_secrets(odd_docs).columns == odd_docs.columns
+
+
+def test_the_query_gives_what_the_texts_say(spark, data):
+    import hashlib
+
+    from tidemill.llm.queries import op10_secrets
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    found = op10_secrets(spark, data).collect()
+    assert len(found) == len(texts) and any(r.spans for r in found)
+    for r in found:
+        plain = base(texts[r.doc_id])
+        told = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in plain) for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(told(plain).encode()).hexdigest() and set(told(plain).split(",")) <= set(r.spans.split(","))

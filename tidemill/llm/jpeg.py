@@ -17,10 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Blocks in a restart interval of the writer, as 24 rows of 24.
-INTERVAL, WIDE = 576, 24
-#: Intervals in one image: its height, 192 a piece, must stay below 65,536.
-INTERVALS = 340
+#: Blocks in a restart interval of the writer; as 24 rows of 24 in images of up to NARROW intervals, and as a row in larger ones.
+INTERVAL, WIDE, NARROW = 576, 24, 340
+#: The format's limit for blocks across and down. Payloads over 14 * 8,191 intervals (66 MB) become several images.
+MOST = 8191
+#: Intervals that are coded or decoded side by side: what bounds the working arrays.
+LANES = 2048
 #: Table K.3 of the standard: how many DC luminance codes have 1, 2, ... bits.
 DC_BITS = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0])
 DC_VALUES = bytes(range(12))
@@ -68,18 +70,28 @@ def _segment(marker: int, body: bytes) -> bytes:
     return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
 
 
-def _head(intervals: int) -> bytes:
-    size = (24 * 8 * intervals).to_bytes(2, "big") + (WIDE * 8).to_bytes(2, "big")
+def _head(across: int, down: int) -> bytes:
+    size = (8 * down).to_bytes(2, "big") + (8 * across).to_bytes(2, "big")
     tables = _segment(0xDB, bytes([0, _STEP]) + bytes([1] * 63)) + _segment(0xC0, b"\x08" + size + b"\x01\x01\x11\x00")
     tables += _segment(0xC4, b"\x00" + DC_BITS + DC_VALUES) + _segment(0xC4, b"\x10" + AC_BITS + AC_VALUES)
     return b"\xff\xd8" + tables + _segment(0xDD, INTERVAL.to_bytes(2, "big")) + _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """Each payload, a positive multiple of INTERVAL bytes, as one image or, beyond INTERVALS, several in a row."""
-    if not payloads:
-        return []
-    lanes = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, INTERVAL)
+def _shape(intervals: int) -> tuple[int, int]:
+    """Blocks across and down of an image that holds so many intervals, and as few more as make a rectangle."""
+    if intervals <= NARROW:
+        return WIDE, WIDE * intervals
+    beside = -(-intervals // MOST)
+    return INTERVAL * beside, -(-intervals // beside)
+
+
+def _scans(lanes: np.ndarray):
+    """The coded bytes of each interval, LANES of them at a time."""
+    for a in range(0, len(lanes), LANES):
+        yield from _coded(lanes[a : a + LANES])
+
+
+def _coded(lanes: np.ndarray) -> list[bytes]:
     step = np.empty(lanes.shape, np.int16)
     step[:, 0] = lanes[:, 0].astype(np.int16) - 128
     np.subtract(lanes[:, 1:], lanes[:, :-1], out=step[:, 1:], dtype=np.int16)
@@ -103,18 +115,25 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         put(_CODE[step[k]], ends[k] - n[k], n[k])
     fill = -ends[-1] % 8
     put(((1 << fill) - 1).astype(np.uint32), ends[-1], fill)
-    whole, images, lane = out.tobytes(), [], 0
+    whole = out.tobytes()
+    return [whole[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """Each payload, a positive multiple of INTERVAL bytes, as one image; from MOST intervals on it may be followed by bytes 255 there."""
+    pad = _coded(np.full((1, INTERVAL), 255, np.uint8))[0]
+    scans, images = _scans(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, INTERVAL)), []
     for payload in payloads:
-        parts = []
-        left = len(payload) // INTERVAL
+        left, parts = len(payload) // INTERVAL, []
         while left:
-            here = min(left, INTERVALS)
-            parts.append(_head(here))
-            for i in range(here):
-                parts.append(whole[start[lane] : start[lane + 1]].replace(b"\xff", b"\xff\x00"))
-                if i < here - 1:
+            here = min(left, MOST * (MOST // INTERVAL))
+            across, down = _shape(here)
+            parts.append(_head(across, down))
+            total = across * down // INTERVAL
+            for i in range(total):
+                parts.append(next(scans) if i < here else pad)
+                if i < total - 1:
                     parts.append(bytes([0xFF, 0xD0 + i % 8]))
-                lane += 1
             parts.append(b"\xff\xd9")
             left -= here
         images.append(b"".join(parts))
@@ -215,16 +234,22 @@ def thumbnails(frames: list[Frame]) -> list[np.ndarray]:
             for k in range(-(-total // each)):
                 lanes.append(f.intervals[k])
                 counts.append(min(each, total - k * each))
-        values, lane = _decode(lanes, np.array(counts), program), 0
+        lengths, values, lane = np.array(counts), [], 0
+        for a in range(0, len(lanes), LANES):
+            blocks = _decode(lanes[a : a + LANES], lengths[a : a + LANES], program)
+            each = program[0][0] * program[0][1] if len(program) > 1 else 1
+            values += [row[: n * each].copy() for row, n in zip(blocks, counts[a : a + LANES], strict=True)]
         for i in members:
             f = frames[i]
             across, down, h, v = _layout(f)
-            each = f.restart or across * down
-            n = -(-across * down // each)
-            dc = np.concatenate([values[lane + k, : counts[lane + k] * h * v] for k in range(n)])
+            n = -(-across * down // (f.restart or across * down))
+            dc = np.concatenate(values[lane : lane + n])
             lane += n
             grid = dc.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-            samples = np.clip(np.rint(grid * (f.components[0][3] / 8)) + 128, 0, 255).astype(np.uint8)
+            samples = np.empty(grid.shape, np.uint8)
+            rows = max(1, (1 << 18) // grid.shape[1])
+            for a in range(0, len(grid), rows):
+                samples[a : a + rows] = np.clip(np.rint(grid[a : a + rows] * (f.components[0][3] / 8)) + 128, 0, 255)
             out[i] = samples[: -(-f.height // 8), : -(-f.width // 8)]
     return out
 

@@ -26,8 +26,7 @@ def _bands(x: np.ndarray, n: int) -> np.ndarray:
     edges = np.linspace(0, len(x), n + 1)
     low = np.minimum(np.floor(edges[:-1]).astype(int), len(x) - 1)
     high = np.maximum(low + 1, np.floor(edges[1:]).astype(int))
-    sums = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])
-    return (sums[high] - sums[low]) / (high - low)[:, None]
+    return np.stack([x[a:b].mean(axis=0, dtype=np.float64) for a, b in zip(low, high, strict=True)])
 
 
 def _shrunk(x: np.ndarray, rows: int, columns: int) -> np.ndarray:
@@ -50,7 +49,13 @@ def _store(batches):
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, media): each text's UTF-8 bytes as grey baseline JPEG, a flat block for each byte. Null texts are empty."""
+    """(id_col, media): each text's UTF-8 bytes as one grey baseline JPEG, a flat block for each byte.
+
+    Null texts are empty, and empty ones are padding alone. Texts of up to 66 MB
+    are one image, longer ones several in one value; working arrays don't grow
+    with them. Equal texts give equal images, repeated rows and null ids stay,
+    other columns are not read, and an empty table gives an empty result.
+    """
     given = own_columns(docs, {"id": id_col, "text": text_col})
     kind = given.schema["id"].dataType.simpleString()
     return given.mapInArrow(_store, f"id {kind}, media binary").withColumnRenamed("id", id_col)
@@ -92,12 +97,13 @@ def features(media: list[bytes | None], with_payload: bool = False) -> list[dict
         if out[k]["error"]:
             continue
         wide = min(thumbs[i].shape[1] for i in members)
-        image = np.concatenate([thumbs[i][:, :wide] for i in members])
+        image = np.concatenate([thumbs[i][:, :wide] for i in members]) if len(members) > 1 else thumbs[members[0]]
         ahash, dhash = thumbnail_hashes(image)
         out[k] |= {"width": min(frames[i].width for i in members), "height": sum(frames[i].height for i in members), "ahash": ahash, "dhash": dhash}
         if with_payload:
             payload = image.tobytes()
             text = payload.rstrip(b"\xff")
+            payload = payload[: max(1, -(-len(text) // jpeg.INTERVAL)) * jpeg.INTERVAL]
             out[k] |= {"n_bytes": len(text), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:])}
     return out
 
@@ -118,7 +124,8 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
     """One row per row of media: id_col and FEATURES, with_payload also PAYLOAD, the bytes that store_texts put there.
 
     Values that are null, empty or not baseline JPEG get null features and say
-    why in error. Equal values have equal features. Other columns are not read.
+    why in error. Equal values have equal features; repeated rows and null ids
+    stay. Other columns are not read; an empty table gives an empty result.
     """
     given = own_columns(media, {"id": id_col, "media": media_col})
     kind = given.schema["id"].dataType.simpleString()
