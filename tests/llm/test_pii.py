@@ -40,6 +40,19 @@ def test_checksums_and_context(spark):
     kinds = {i: [s[0] for s in found[i]] for i in found}
     assert kinds == {0: ["iban"], 1: [], 2: ["iban"], 3: ["ssn"], 4: [], 5: ["ip"], 6: ["ip"], 7: ["ip"]}
     assert found[5][0][3] < found[7][0][3] < found[6][0][3]
+    said = ["Telefon +49 30 1234567", "correo: a@b.org", "carte 4111 1111 1111 1111", "phoned +49 30 1234567", "ejemplo a@b.org"]
+    scores = [[x[3] for x in s if x[0] in ("phone", "email", "card")] for _, s in sorted(spans(spark, said).items())]
+    assert scores == [[0.9], [1.0], [1.0], [0.6], [0.6]]
+
+
+def test_scores_of_the_query_match_its_sql_on_more_rows(spark, data):
+    import os
+
+    from oracle import assert_same
+    from tidemill.llm.queries import ORACLE_SQL, op9_pii
+
+    folder = f"{os.path.dirname(data)}/sf0.01"
+    assert_same(op9_pii(spark, folder), ORACLE_SQL["op9_pii"], folder)
 
 
 def test_long_and_empty_texts(spark):

@@ -6,7 +6,8 @@ lower a span's score. A text's matches come from regexp_extract_all and what
 lies between them from split by the same pattern, whose lengths give positions.
 
 The patterns are possessive, so that runs of any length take linear time and no
-recursion, and match what the greedy ones of the contract match: nothing after
+recursion (positions are then added up over runs of RUN matches, at a cost that
+grows with the square of the number of runs), and match what the greedy ones of the contract match: nothing after
 a possessive part can use what it would give back. ``(?:\\G|(?<!x))`` starts a
 match where a run starts or where the last match ended, as later starts within
 a run can't match if the first doesn't.
@@ -46,22 +47,30 @@ SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn"
 NEAR, ADJUST = 40, 0.3
 RUN = 128
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
+#: Words of English, German, French and Spanish.
 FOR = {
-    "email": r"\b(?:e-?mail|contact|write|mailto)\b",
-    "ip": r"\b(?:ip|host|server|address|login)\b",
-    "card": r"\b(?:card|visa|mastercard|credit|debit|payment)\b",
-    "phone": r"\b(?:phone|tel|call|mobile|fax|whatsapp)\b",
-    "iban": r"\b(?:iban|bank|account|transfer|swift|bic)\b",
-    "ssn": r"\b(?:ssn|social|security|taxpayer)\b",
+    "email": "e-?mail|mail|contact|write|mailto|kontakt|schreib|courriel|contacter|correo|escribe",
+    "ip": "ip|host|server|address|login|adresse|serveur|servidor",
+    "card": "card|visa|mastercard|credit|debit|payment|karte|kreditkarte|zahlung|carte|paiement|tarjeta|pago",
+    "phone": "phone|tel|call|mobile|fax|whatsapp|telefon|handy|anruf|appel|portable|llame|llamar|celular",
+    "iban": "iban|bank|account|transfer|swift|bic|konto|virement|compte|banque|banco|cuenta",
+    "ssn": "ssn|social|security|taxpayer",
 }
 AGAINST = {
-    "email": r"\b(?:example|test)\b",
-    "ip": r"\b(?:version|release|section|chapter)\b",
-    "card": r"\b(?:order|invoice|isbn|serial|tracking)\b",
-    "phone": r"\b(?:isbn|order|serial|version)\b",
-    "iban": r"\b(?:serial|model|part)\b",
-    "ssn": r"\b(?:isbn|part|order|model)\b",
+    "email": "example|test|beispiel|exemple|ejemplo",
+    "ip": "version|release|section|chapter|kapitel|chapitre",
+    "card": "order|invoice|isbn|serial|tracking|rechnung|bestellung|facture|commande|factura|pedido",
+    "phone": "isbn|order|serial|version|bestellung|commande|pedido",
+    "iban": "serial|model|part|modell|modelo",
+    "ssn": "isbn|part|order|model",
 }
+
+
+def near_pattern(words: str) -> str:
+    """The words standing alone in lower-case text, as any engine's patterns say it."""
+    return f"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)"
+
+
 #: Added spans below this score are left out; base spans always stay.
 LEAST_SCORE = 0.5
 
@@ -141,7 +150,7 @@ def _spans(kind: str, runs: Column, starts: Column) -> Column:
     nothing = F.array().cast(f"array<{SPAN}>")
 
     def score(near: Column) -> Column:
-        raw = F.lit(SCORES[kind]) + F.when(near.rlike(FOR[kind]), ADJUST).otherwise(0.0) - F.when(near.rlike(AGAINST[kind]), ADJUST).otherwise(0.0)
+        raw = F.lit(SCORES[kind]) + F.when(near.rlike(near_pattern(FOR[kind])), ADJUST).otherwise(0.0) - F.when(near.rlike(near_pattern(AGAINST[kind])), ADJUST).otherwise(0.0)
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(raw, 2)))
 
     def placed(run: Column, at: Column) -> Column:
@@ -162,8 +171,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Positions are code points, the end exclusive; matches of a kind don't
     overlap, those of different kinds may. Null and empty texts have no spans.
-    Repeated rows and null ids stay as they are, other columns are not read. Each
-    row depends on its own text alone: one pass, no shuffle, no Python.
+    Texts of any length are searched whole. Repeated rows and null ids stay as
+    they are, other columns are not read, an empty table gives an empty result.
+    Each row depends on its own text alone: one pass, no shuffle, no Python.
     """
     given = own_columns(docs, {"id": id_col, "text": text_col}).withColumn("text", F.coalesce("text", F.lit("")))
     text = F.col("text")
@@ -197,7 +207,7 @@ _SQL_CONFIRMED = {
     "phone": f"length({_SQL_DIGITS}) BETWEEN 8 AND 15",
     "iban": f"list_reduce(list_transform(string_split(array_to_string({_SQL_TURNED}, ''), ''), lambda c: c::INT), lambda a, b: (a * 10 + b) % 97) = 1",
     "ssn": "regexp_full_match(x.m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(x.m, '^(?:000|666|9)|-00-|-0000$')"
-    f" AND regexp_matches(x.near, '{FOR['ssn']}') AND NOT regexp_matches(x.near, '{AGAINST['ssn']}')",
+    f" AND regexp_matches(x.near, '{near_pattern(FOR['ssn'])}') AND NOT regexp_matches(x.near, '{near_pattern(AGAINST['ssn'])}')",
 }
 
 
@@ -213,6 +223,10 @@ def sql() -> str:
     def told(k: str) -> str:
         return f"list_transform(list_filter(p_{k}, lambda x: {_SQL_CONFIRMED[k]}), lambda x: '{k}:' || x.a || ':' || (x.a + length(x.m))) AS s_{k}"
 
+    def score(k: str) -> str:
+        told = lambda words, sign: f"CASE WHEN regexp_matches(x.near, '{near_pattern(words[k])}') THEN {sign}{round(100 * ADJUST)} ELSE 0 END"
+        return f"list_transform(list_filter(p_{k}, lambda x: {_SQL_CONFIRMED[k]}), lambda x: greatest(0, least(100, {round(100 * SCORES[k])} + {told(FOR, '')} + {told(AGAINST, '-')}))::VARCHAR) AS c_{k}"
+
     def joined(kinds: tuple[str, ...]) -> str:
         return "array_to_string(" + " || ".join(f"s_{k}" for k in kinds) + ", ',')"
 
@@ -220,5 +234,6 @@ def sql() -> str:
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS (SELECT doc_id, {found} FROM texts),
 placed AS (SELECT doc_id, {', '.join(map(placed, KINDS))} FROM found),
-told AS (SELECT doc_id, {', '.join(map(told, KINDS))} FROM placed)
-SELECT doc_id, {', '.join(f'len(s_{k})::BIGINT AS n_{k}' for k in BASE)}, sha256({joined(BASE)}) AS base_sha256, {joined(KINDS)} AS spans FROM told"""
+told AS (SELECT doc_id, {', '.join(map(told, KINDS))}, {', '.join(map(score, KINDS))} FROM placed)
+SELECT doc_id, {', '.join(f'len(s_{k})::BIGINT AS n_{k}' for k in BASE)}, sha256({joined(BASE)}) AS base_sha256, {joined(KINDS)} AS spans,
+  array_to_string({' || '.join(f'c_{k}' for k in KINDS)}, ',') AS scores FROM told"""

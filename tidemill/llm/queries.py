@@ -64,15 +64,17 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """From (doc_id, spans): how many there are of each base kind, the base spans' hash, all spans as text."""
+def digest(found: DataFrame, kinds: tuple[str, ...], *more: Column) -> DataFrame:
+    """From (doc_id, spans): how many there are of each base kind, the base spans' hash, all spans as text; and more columns."""
     spans = F.col("spans")
     counts = [F.size(of_kinds(spans, kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
-    return found.select("doc_id", *counts, F.sha2(told(of_kinds(spans, *kinds)), 256).alias("base_sha256"), told(spans).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(told(of_kinds(spans, *kinds)), 256).alias("base_sha256"), told(spans).alias("spans"), *more)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE)
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")  # in percent, as the spans are listed
+    return digest(found, pii.BASE, scores.alias("scores"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
