@@ -37,6 +37,39 @@ def test_stream_leaves_out_rows_behind_the_watermark(spark, tmp_path):
     at = lambda *x: [day + dt.timedelta(minutes=m) for m in x]
     for times in (at(5, 180), at(300), at(6, 310)):  # one file each; the last one's first row comes after its window closed
         spark.createDataFrame([(t, "e") for t in times], "ts timestamp_ntz, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
-    rows = with_event_time(stream_table(spark, str(tmp_path), "events"))
+    rows = with_event_time(stream_table(spark, str(tmp_path), "events", files_per_trigger=1))
     found = streaming.run_to_table(streaming.windowed_counts(rows, "kind").select(F.hour("w.start").alias("h"), "n"), spark)
     assert sorted((r.h, r.n) for r in found.collect()) == [(0, 1), (3, 1)]
+
+
+def test_running_totals_by_range_are_those_of_one_window(spark):
+    rows = [(k, t, i, v) for i, (k, t, v) in enumerate((k, t, v) for k in ("a", "b", None) for t in (None, 1, 5, 5, 11, 12, 29, 30) for v in (1, None, 7))]
+    df = spark.createDataFrame(rows, "k string, t int, id int, v int").repartition(5)
+    order = [F.asc("t"), F.asc("id")]
+    whole, cut = (op.running_total(df, ["k"], order, F.col("v"), **more).select("id", "running").collect() for more in ({}, {"ranges": F.floor(F.col("t") / 10)}))
+    assert sorted(whole) == sorted(cut) and len(cut) == len(rows)
+    assert op.running_total(df.where("false"), ["k"], order, F.col("v"), ranges=F.col("t")).count() == 0
+
+
+def test_customers_without_orders_where_there_are_some(spark, tmp_path):
+    from tidemill.plans import QUERIES
+
+    spark.createDataFrame([(1, "one", "a"), (2, "two", "b"), (3, "three", None)], "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(10, 2), (11, 2), (12, None), (13, 9)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    found = QUERIES["customers_without_orders"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "one", "a"), (3, "three", None)]
+
+
+def test_streams_need_a_shared_folder_off_local_masters(spark):
+    import pytest
+
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        streaming.shared_folder(Session)

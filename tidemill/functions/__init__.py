@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,19 @@ def exact(column: Column | str, scale: int = 4) -> Column:
     return F.col(column).cast(f"decimal(18,{scale})") if isinstance(column, str) else column.cast(f"decimal(18,{scale})")
 
 
+def ten_thousandths(column: str) -> Column:
+    """A double as a whole number of ten-thousandths: what exact() holds, without making a decimal of each value."""
+    return F.rint(F.col(column) * 10_000).cast("bigint")
+
+
 def revenue(price: str = "l_extendedprice", discount: str = "l_discount") -> Column:
-    """Price less discount, exact to eight places."""
-    return exact(price) * (F.lit(1).cast("decimal(5,0)") - F.col(discount).cast("decimal(6,4)"))
+    """Price less discount in units of 1e-8, so that sums are exact in any order; in_units() makes money of a sum of it."""
+    return (ten_thousandths(price) * (10_000 - ten_thousandths(discount))).cast("decimal(18,0)")
+
+
+def in_units(total: Column) -> Column:
+    """A sum of revenue(), or of such sums, as a double, rounded once."""
+    return (total.cast("decimal(29,0)") * F.lit(Decimal("0.00000001"))).cast("double")
 
 
 def clock(column: Column) -> Column:

@@ -17,10 +17,28 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, pla
     return df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(place) <= n)
 
 
-def running_total(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, name: str = "running") -> DataFrame:
-    """The sum of a value over the rows of the group so far."""
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(value).over(window))
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, name: str = "running", ranges: Column | None = None) -> DataFrame:
+    """The sum of a value over the rows of the group so far.
+
+    ranges cuts large groups: an expression that never falls in the given order,
+    such as a day where the order is by time. Totals by group and range, one row
+    each, are summed first; each range then goes to a window of its own and
+    starts from the total of those before it. Null values don't add; the sum is
+    null where there has been none.
+    """
+    if ranges is None:
+        window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.sum(value).over(window))
+    cut = df.withColumns({"_range": ranges, "_value": value})
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*by, "_range").agg(F.sum("_value").alias("_total")).withColumn("_before", F.sum("_total").over(earlier)).drop("_total")
+    within = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = [*by, "_range"]
+    other = before.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    own = F.sum("_value").over(within)
+    joined = cut.withColumn("_own", own).join(other, same)
+    return joined.select(*df.columns, F.coalesce(F.col("_own") + F.col("_before"), F.col("_own"), F.col("_before")).alias(name))
 
 
 def without(df: DataFrame, other: DataFrame, on: Column) -> DataFrame:

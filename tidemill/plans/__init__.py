@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill import operators as op
 from tidemill import streaming
-from tidemill.functions import clock, exact, json_number, revenue
+from tidemill.functions import clock, exact, in_units, json_number, revenue
 from tidemill.sources import read_table, stream_table, with_event_time
 
 _SQL_REVENUE = "sum(l_extendedprice::DECIMAL(18,4) * (1::DECIMAL(5,0) - l_discount::DECIMAL(6,4)))::DOUBLE"
@@ -17,16 +17,25 @@ _STAR = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_cust
 
 
 def star(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items with their order, customer, nation and region. Spark broadcasts the sides that are small."""
+    """Orders with the number and the revenue of their lines, customer, nation and region.
+
+    Lines are summed by order first, so that the joins see a row per order.
+    Spark broadcasts the sides that are small.
+    """
     line, orders, customer, nation, region = (read_table(spark, folder, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
+    sums = line.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.sum(revenue()).alias("revenue"))
     places = nation.join(region, nation.n_regionkey == region.r_regionkey)
     buyers = customer.join(places, customer.c_nationkey == places.n_nationkey)
-    return line.join(orders, line.l_orderkey == orders.o_orderkey).join(buyers, orders.o_custkey == buyers.c_custkey)
+    return sums.join(orders, sums.l_orderkey == orders.o_orderkey).join(buyers, orders.o_custkey == buyers.c_custkey)
+
+
+def lines_and_revenue() -> list[Column]:
+    """Totals over rows of star(); decimals add up in any order."""
+    return [F.sum("lines").alias("lines"), in_units(F.sum("revenue")).alias("revenue")]
 
 
 def region_year_revenue(spark: SparkSession, folder: str) -> DataFrame:
-    by = star(spark, folder).groupBy("r_name", F.year("o_orderdate").cast("bigint").alias("year"))
-    return by.agg(F.count("*").alias("lines"), F.sum(revenue()).cast("double").alias("revenue"))
+    return star(spark, folder).groupBy("r_name", F.year("o_orderdate").cast("bigint").alias("year")).agg(*lines_and_revenue())
 
 
 def customers_without_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +59,8 @@ def customers_without_urgent_orders(spark: SparkSession, folder: str) -> DataFra
 
 
 def revenue_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    return op.subtotals(star(spark, folder), ["r_name", "n_name"], [F.count("*").alias("lines"), F.sum(revenue()).cast("double").alias("revenue")])
+    nations = star(spark, folder).groupBy("r_name", "n_name").agg(F.sum("lines").alias("lines"), F.sum("revenue").alias("revenue"))
+    return op.subtotals(nations, ["r_name", "n_name"], lines_and_revenue())
 
 
 def flag_cube(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +76,7 @@ def top_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def running_value(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "events")
-    total = op.running_total(events, ["user_id"], [F.asc("ts"), F.asc("event_id")], exact("value"))
+    total = op.running_total(events, ["user_id"], [F.asc("ts"), F.asc("event_id")], exact("value"), ranges=F.to_date("ts"))
     return total.select("event_id", "user_id", F.col("running").cast("double").alias("running"))
 
 
@@ -86,6 +96,7 @@ def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_hourly_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by hour and type from a stream: the hours that the watermark has closed when the input ends, so without the last ones of hourly_events."""
     counts = streaming.windowed_counts(with_event_time(stream_table(spark, folder, "events")), "event_type")
     return streaming.run_to_table(counts.select(clock(F.col("w.start")).alias("hour"), "event_type", "n"), spark)
 

@@ -16,8 +16,10 @@ def with_event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """The same table as a stream of its files, with the batch table's schema."""
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same table as a stream of its files, with the batch table's schema. files_per_trigger bounds a batch; without it a batch takes all files that are there."""
     schema = read_table(spark, folder, name).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet")

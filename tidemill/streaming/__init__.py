@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and Spark runs in one process."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="tidemill-")
 
 
 def windowed_counts(events: DataFrame, by: str, time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -20,7 +23,12 @@ def windowed_counts(events: DataFrame, by: str, time: str = "ts", size: str = "1
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """Runs a stream over what is there now, in append mode, and returns what it wrote: windows that the watermark has closed."""
+    """Runs a stream over what is there now, in append mode, and returns what it wrote.
+
+    Append mode writes a window once the watermark has closed it. Windows that
+    are still open when the input ends are not in the result; they come when
+    later rows move the watermark on.
+    """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
