@@ -29,7 +29,7 @@ EVENT_TYPE = "conv bigint, seq bigint, part int, kind string, message string, ro
 #: A message of the formatted output; the mask is whether its text counts for the loss.
 PIECE = "conv bigint, place bigint, piece string, mask boolean"
 #: A text that becomes events is streamed in deltas of so many characters.
-DELTA_CHARS = 256
+DELTA_CHARS = 512
 
 #: Marks before and after a text, by role; other roles are named in theirs.
 MARKS = {
@@ -194,21 +194,17 @@ def as_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     A turn is opened and streamed in deltas. By a hash of the turn, some answers
     have a draft before them, streamed in part and then regenerated, and some
     turns are opened with another text that an edit replaces. Turns of a
-    conversation with the same number follow each other by hashes of role and
-    text; repeated rows are turns of their own. Null texts are empty.
+    conversation with the same number follow each other by a hash; repeated rows
+    are turns of their own. Null texts are empty.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = turns.select(
         F.col(f"`{conv}`").cast("bigint").alias("conv"), F.col(f"`{turn}`").cast("bigint").alias("seq"),
         F.col(f"`{role}`").alias("role"), body.alias("text"), F.monotonically_increasing_id().alias("row"),
     )
-
-    def number(x: Column) -> Column:
-        return F.lpad(F.hex(x), 16, "0")
-
     deltas = F.ceil(F.length("text") / DELTA_CHARS).cast("int")
     # the name orders turns alike in conversation and turn, and tells repeated rows apart
-    rows = rows.withColumns({"name": F.concat(number(F.xxhash64(F.coalesce("role", F.lit("")))), number(F.xxhash64("text")), number(F.col("row"))), "n": deltas, "luck": F.pmod(F.xxhash64("conv", "seq", "text"), F.lit(4))})
+    rows = rows.withColumns({"name": F.lpad(F.hex(F.xxhash64("role", "text", "row")), 16, "0"), "n": deltas, "luck": F.pmod(F.xxhash64("conv", "seq", "text"), F.lit(4))})
 
     def event(kind: str, final: bool, piece: Column | int) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(final).alias("final"), (piece if isinstance(piece, Column) else F.lit(piece)).cast("int").alias("piece"))
