@@ -30,22 +30,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without toxic texts.
+
+    Null and empty texts get the bias and stay; texts of any length are scored
+    whole; equal texts, and so repeated rows, share their fate; other columns
+    stay, whatever their names. An empty table stays empty.
+    """
     return drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one document, that of the smallest id, of each group of near duplicates.
+
+    Null and empty texts and rows without an id stay; of rows that repeat an id
+    the one with the smallest text stays; texts of any length count whole; other
+    columns stay, whatever their names. An empty table stays empty.
+    """
     return drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a benchmark item.
+
+    Null and empty texts hold none and stay; texts of any length are searched
+    whole; repeated rows go or stay together; other columns stay, whatever their
+    names. An empty table of documents or items changes nothing.
+    """
     return drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with each secret replaced; no row goes, and n_chars follows the text.
+
+    Null texts stay null, with a null n_chars; empty ones stay empty; texts of
+    any length are searched whole; repeated rows change alike; other columns
+    stay, whatever their names. An empty table stays empty.
+    """
     return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document that is left, one row for each.
+
+    Null and empty texts have no words and nothing taken; texts of any length
+    count whole; repeated rows count one by one, and ties go by a seeded hash of
+    the id; other columns aren't read. An empty table gives an empty result.
+    """
     return mix_sources(docs)
 
 
