@@ -96,9 +96,11 @@ def test_odd_rows_and_redaction(spark, odd_docs, no_docs):
 
 def test_the_query_gives_what_the_texts_say(spark, data):
     import hashlib
+    import os
 
     from tidemill.llm.queries import op10_secrets
 
+    data = f"{os.path.dirname(data)}/sf0.1"  # the smaller tables have few secrets or none
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
     found = op10_secrets(spark, data).collect()
     assert len(found) == len(texts) and any(r.spans for r in found)
@@ -106,4 +108,4 @@ def test_the_query_gives_what_the_texts_say(spark, data):
         plain = base(texts[r.doc_id])
         told = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in plain) for k in ("assign", "access", "hex"))
-        assert r.base_sha256 == hashlib.sha256(told(plain).encode()).hexdigest() and set(told(plain).split(",")) <= set(r.spans.split(","))
+        assert r.base_sha256 == hashlib.sha256(told(plain).encode()).hexdigest() and {told([s]) for s in plain} <= set(r.spans.split(","))
