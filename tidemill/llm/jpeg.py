@@ -271,7 +271,7 @@ def _decode(lanes: list[bytes], counts: np.ndarray, program: tuple) -> np.ndarra
     ordered, row = counts[order], 0
 
     def peek(p: np.ndarray) -> np.ndarray:
-        return (word[np.minimum(p >> 3, len(word) - 1)] << (p & 7).astype(np.uint32)) >> np.uint32(16)
+        return (word.take(p >> 3, mode="clip") << (p & 7).astype(np.uint32)) >> np.uint32(16)
 
     for k in range(int(counts.max())):
         n = int(np.searchsorted(-ordered, -k, side="left"))
@@ -289,15 +289,18 @@ def _decode(lanes: list[bytes], counts: np.ndarray, program: tuple) -> np.ndarra
             if c == 0:
                 out[row, :n] = last[0, :n]
                 row += 1
-            alive, done = np.arange(n), np.ones(n, np.int64)
-            while len(alive):
-                code = peek(at[alive])
+            alive, done, bound = slice(None), np.ones(n, np.int64), limit[:n]
+            while True:
+                here = at[alive]
+                code = peek(here)
                 value, length = ac_value[code], ac_length[code]
-                if (length == 0).any() or (at[alive] > limit[alive]).any():
+                if (length == 0).any() or (here > bound[alive]).any():
                     raise ValueError("a scan ends early or has a code that no table has")
-                at[alive] += length + (value & 15)
+                at[alive] = here + length + (value & 15)
                 done[alive] += np.where(value == 0, 64, (value >> 4) + 1)
-                alive = alive[done[alive] < 64]
+                alive = np.flatnonzero(done < 64)
+                if not len(alive):
+                    break
             pos[:n] = at
     if (pos > limit).any():
         raise ValueError("a scan ends early")

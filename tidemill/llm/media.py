@@ -21,21 +21,26 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * (max(1, -(-len(text) // jpeg.INTERVAL)) * jpeg.INTERVAL - len(text))
 
 
-def _bands(x: np.ndarray, n: int) -> np.ndarray:
-    """Mean of n bands of rows, of nearly equal height; a lower image repeats rows."""
-    edges = np.linspace(0, len(x), n + 1)
-    low = np.minimum(np.floor(edges[:-1]).astype(int), len(x) - 1)
-    high = np.maximum(low + 1, np.floor(edges[1:]).astype(int))
-    return np.stack([x[a:b].mean(axis=0, dtype=np.float64) for a, b in zip(low, high, strict=True)])
+def _edges(length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n bands of nearly equal height start and end; a lower image repeats rows."""
+    edges = np.arange(n + 1) * length // n
+    low = np.minimum(edges[:-1], length - 1)
+    return low, np.maximum(low + 1, edges[1:])
 
 
-def _shrunk(x: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    return _bands(_bands(x, rows).T, columns).T
+def _cells(rows: np.ndarray, heights: np.ndarray, columns: int) -> np.ndarray:
+    """Means of the cells into which columns cut bands of rows, from the bands' sums."""
+    left, right = _edges(rows.shape[1], columns)
+    sums = np.zeros((len(rows), rows.shape[1] + 1), np.int64)
+    np.cumsum(rows, axis=1, out=sums[:, 1:])
+    return (sums[:, right] - sums[:, left]) / (heights[:, None] * (right - left))
 
 
 def thumbnail_hashes(thumbnail: np.ndarray) -> tuple[str, str]:
     """Average hash and difference hash of a thumbnail, 64 bits each in hex."""
-    small, wide = _shrunk(thumbnail, 8, 8), _shrunk(thumbnail, 8, 9)
+    top, bottom = _edges(len(thumbnail), 8)
+    rows = np.stack([np.add.reduce(thumbnail[a:b], axis=0, dtype=np.int64) for a, b in zip(top.tolist(), bottom.tolist(), strict=True)])
+    small, wide = (_cells(rows, bottom - top, n) for n in (8, 9))
     return (np.packbits(small >= small.mean()).tobytes().hex(), np.packbits(wide[:, 1:] > wide[:, :-1]).tobytes().hex())
 
 
