@@ -155,3 +155,27 @@ def test_the_query_gives_what_the_texts_say(spark, data):
         image = jpeg.encode([payload])[0]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest()) and r.feature
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 5), (8, 9), (24, 24), (31, 24), (17, 61), (200, 43)])
+def test_hashes_compare_the_means_of_cells(shape):
+    from fractions import Fraction
+
+    image = np.random.default_rng(shape[0]).integers(0, 256, shape, dtype=np.uint8)
+
+    def cells(columns):
+        def part(i, n, length):
+            low = min(i * length // n, length - 1)
+            return range(low, max(low + 1, (i + 1) * length // n))
+
+        def mean(i, j):
+            area = [int(image[y, x]) for y in part(i, 8, shape[0]) for x in part(j, columns, shape[1])]
+            return Fraction(sum(area), len(area))
+
+        return [[mean(i, j) for j in range(columns)] for i in range(8)]
+
+    small, wide = cells(8), cells(9)
+    level = sum(map(sum, small)) / 64
+    average = "".join(str(int(c >= level)) for row in small for c in row)
+    difference = "".join(str(int(b > a)) for row in wide for a, b in zip(row, row[1:], strict=False))
+    assert media.thumbnail_hashes(image) == (f"{int(average, 2):016x}", f"{int(difference, 2):016x}")
