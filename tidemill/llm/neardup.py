@@ -7,13 +7,19 @@ threshold therefore shares at least ``need`` retained values but for a chance
 below 1e-9, and with the values ordered from rare to common, the two must share
 one among the first ``size - need + 1``: only those enter the inverted lists.
 
-Documents that lists connect are dealt to one group, each once, with their full
-sets. There, overlap counts from the lists of retained values propose partners,
-the sketch of the union estimates the similarity, and exact Jaccard on the full
-sets confirms the link. Groups return spanning links, never all pairs. A large
-group is worked in blocks of bounded size, each together with the group's first
-document; what its links leave outside the group's largest component is then
-held against every block. So a group of copies takes linear work, however large.
+Each document goes once, with its full set, to the longest of its lists. There,
+overlap counts of retained values propose partners, the sketch of the union
+estimates the similarity, and exact Jaccard on the full sets confirms the link.
+Lists return spanning links, never all pairs. A long list is worked in blocks of
+bounded size, each together with the list's first document, so a group of copies
+takes linear work, however large.
+
+Components are those of confirmed links alone. What is left are lists with
+documents of several components. In each, the documents outside its largest
+component are held against the list by retained values; a pair counts in the list
+of its first common value only, and documents with such a partner are held
+against each other once more, with their full sets. So documents that merely
+chains of shared values connect are never compared.
 """
 
 from __future__ import annotations
@@ -162,27 +168,88 @@ def _link_block(percent: int):
     return link
 
 
+def _strays_first(table: pa.Table):
+    """The rows with the strays in front, their ids, how many are strays, numbers of their components, and which other a stray may be held against: two strays meet twice."""
+    table = table.sort_by([("as_stray", "descending"), ("id", "ascending")])
+    ids, strays = table["id"].to_numpy(), int(np.count_nonzero(table["as_stray"].to_numpy()))
+    allowed = ~table["stray"].to_numpy()[strays:] | (ids[strays:] > ids[:strays, None])
+    return table, ids, strays, np.unique(table["component"].to_numpy(), return_inverse=True)[1], allowed
+
+
 def _link_strays(percent: int):
     def link(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("as_stray", "descending"), ("id", "ascending")])
-        ids, strays = table["id"].to_numpy(), int(np.count_nonzero(table["as_stray"].to_numpy()))
-        stray, block = table["stray"].to_numpy(), table["block"].to_numpy()
-        # pairs of one block have been compared already; two strays meet twice
-        allowed = (block[strays:] != block[:strays, None]) & (~stray[strays:] | (ids[strays:] > ids[:strays, None]))
-        return _as_links(ids, linked(_shingles(table), percent, np.unique(table["component"].to_numpy(), return_inverse=True)[1], strays, allowed))
+        table, ids, strays, group, allowed = _strays_first(table)
+        return _as_links(ids, linked(_shingles(table), percent, group, strays, allowed))
 
     return link
 
 
-def _largest_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (id, part, blocks, block) of the groups with several blocks whose links leave strays, with component, stray, and how many blocks of strays there are."""
-    known = members.where("blocks > 1").join(roots.withColumnRenamed("root", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = known.groupBy("part", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("part").agg(F.max_by("component", F.struct("size", "component")).alias("main"), (F.sum("size") - F.max("size")).alias("strays"))
-    # a block of strays is as large as the part's blocks are on average
-    main = small(settled(main.where("strays > 0").select("part", "main", "strays")), BROADCAST_ROWS)
-    apart = known.join(main, "part").withColumn("stray", F.col("component") != F.col("main"))
-    return apart.select("id", "part", "blocks", "block", "component", "stray", F.ceil(F.col("strays") / BLOCK).cast("int").alias("stray_blocks"))
+def with_partners(heads: list[np.ndarray], least: np.ndarray, group: np.ndarray, strays: int, allowed: np.ndarray, value: int) -> np.ndarray:
+    """Which of the documents share enough retained values with one of another group, the first of them being this one.
+
+    heads: values in the order of the lists, rare to common. The first ``strays``
+    are held against the others, as allowed tells.
+    """
+    sizes = np.array([len(h) for h in heads])
+    values, number = np.unique(np.concatenate(heads), return_inverse=True)
+    none, width = len(values), int(sizes.max())
+    rows = np.full((len(heads), width), none, np.int32)
+    rows[np.arange(width) < sizes[:, None]] = number
+    first = int(np.searchsorted(values, value))
+    place, found = np.full(none + 1, width, np.int32), np.zeros(len(heads), dtype=bool)
+    for i in range(strays):
+        rest = strays + np.flatnonzero(allowed[i])
+        rest = rest[group[rest] != group[i]]
+        own = rows[i, : sizes[i]]
+        place[own] = np.arange(len(own))
+        at = place[rows[rest]]
+        place[own] = width
+        near = (at < width).sum(axis=1) >= np.maximum(least[i], least[rest])
+        near[near] = own[at[near].min(axis=1)] == first
+        found[rest[near]] = True
+        found[i] |= near.any()
+    return found
+
+
+def _near_in_list(table: pa.Table) -> pa.Table:
+    table, ids, strays, group, allowed = _strays_first(table)
+    heads = table["sketch"].combine_chunks()
+    at = heads.offsets.to_numpy()
+    heads = np.split(heads.flatten().to_numpy(), at[1:-1] - at[0])
+    part = table["part"][0].as_py()
+    found = np.unique(ids[with_partners(heads, table["need"].to_numpy(), group, strays, allowed, part)])
+    return pa.table({"id": pa.array(found, pa.int64()), "part": pa.array(np.full(len(found), part, np.int64))})
+
+
+def _blocks(count, shingles):
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _in_block(blocks: str, seed: int = 0):
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(blocks)).cast("int")
+
+
+def _apart(entries: DataFrame) -> DataFrame:
+    """Entries (id, part, component, n) of the lists that hold several components, with stray (outside of the list's largest one) and the numbers of blocks."""
+    sizes = entries.groupBy("part", "component").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    largest = F.struct("size", "component")
+    main = sizes.groupBy("part").agg(
+        F.max_by("component", largest).alias("main"),
+        (F.sum("size") - F.max("size")).alias("strays"),
+        _blocks(F.sum("size"), F.sum("n")).alias("blocks"),
+        _blocks(F.sum("size") - F.max("size"), F.sum("n") - F.max_by("n", largest)).alias("stray_blocks"),
+    )
+    main = small(settled(main.where("strays > 0").drop("strays")), BROADCAST_ROWS)
+    return settled(entries.join(main, "part").withColumn("stray", F.col("component") != F.col("main")).drop("main"))
+
+
+def _dealt(apart: DataFrame) -> DataFrame:
+    """Each stray with each block of its list: (id, part, i, j, component, stray, as_stray)."""
+    row = ["id", "part", "component", "stray"]
+    to_blocks, to_strays = (F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("blocks", "stray_blocks"))
+    as_member = apart.select(*row, F.lit(False).alias("as_stray"), _in_block("blocks").alias("i"), to_strays.alias("j"))
+    as_stray = apart.where("stray").select(*row, F.lit(True).alias("as_stray"), to_blocks.alias("i"), _in_block("stray_blocks", 1).alias("j"))
+    return small(settled(as_member.union(as_stray)), BROADCAST_ROWS)
 
 
 def _with_sets(given: DataFrame, ids: DataFrame) -> DataFrame:
@@ -191,25 +258,24 @@ def _with_sets(given: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _block_links(given: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links within each block, and with the group's first document."""
-    first = F.col("id") == F.col("part")
-    places = F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    """Links within each block, and with the list's first document."""
+    first = F.col("id") == F.col("first")
+    places = F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_in_block("blocks")))
     dealt = members.select("id", "part", F.explode(places).alias("block"))
     sets = _with_sets(given, members).join(small(dealt, BROADCAST_ROWS), "id")
     once = sets.repartition("part", "block").dropDuplicates(["part", "block", "id", "shingles"])
     return once.groupBy("part", "block").applyInArrow(_link_block(percent), LINKS)
 
 
+def _near_entries(ranked: DataFrame, apart: DataFrame) -> DataFrame:
+    """(id, part) of the documents that have a partner in the list by their retained values."""
+    rows = ranked.select(F.col("rep").alias("id"), "need", "sketch").join(_dealt(apart), "id")
+    return rows.groupBy("part", "i", "j").applyInArrow(_near_in_list, "id bigint, part bigint").distinct()
+
+
 def _stray_links(given: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
-    """Links of strays with each block of their group."""
-    to_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    to_strays = F.sequence(F.lit(0), F.col("stray_blocks") - 1)
-    row = ["id", "part", "block", "component", "stray"]
-    as_member = apart.select(*row, F.lit(False).alias("as_stray"), F.col("block").alias("i"), F.explode(to_strays).alias("j"))
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("stray_blocks")).cast("int")
-    as_stray = apart.where("stray").select(*row, F.lit(True).alias("as_stray"), F.explode(to_blocks).alias("i"), own.alias("j"))
-    dealt = as_member.union(as_stray)
-    sets = _with_sets(given, apart).join(small(settled(dealt), BROADCAST_ROWS), "id")
+    """Links of strays with each block of their list."""
+    sets = _with_sets(given, apart).join(_dealt(apart), "id")
     once = sets.repartition("part", "i", "j").dropDuplicates(["part", "i", "j", "as_stray", "id", "shingles"])
     return once.groupBy("part", "i", "j").applyInArrow(_link_strays(percent), LINKS)
 
@@ -233,25 +299,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = settled(given.mapInArrow(_sketches, "id bigint, n bigint, print binary, sketch array<bigint>"))
     usable = sketched.where("n > 0 AND id IS NOT NULL")
 
-    classes = usable.groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = settled(classes)
-    entries = classes.select("rep", need(F.col("n"), percent).cast("int").alias("need"), F.explode("sketch").alias("v"))
-    shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = entries.join(shared, "v").groupBy("rep", "need").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))  # SKETCH values at most
-    prefix = settled(ranked.select("rep", F.explode(F.slice("x", 1, F.greatest(F.lit(0), F.size("x") - F.col("need") + 1))).alias("x")).select("rep", "x.v"))
-    hubs = prefix.groupBy("v").agg(F.min("rep").alias("hub"))
-    near = components(prefix.join(hubs, "v").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-
-    weighed = near.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = small(settled(weighed.groupBy(F.col("root").alias("part")).agg(blocks.alias("blocks"))), BROADCAST_ROWS)  # so that a large group's members needn't meet
-    members = near.select("id", F.col("root").alias("part")).join(sizes, "part")
-    members = settled(members.select("id", "part", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
-    links = settled(_block_links(given, members, percent))
+    classes = settled(usable.groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    # texts of one id are told apart by a hash, so that a row gathers the values of one text
+    text = F.shiftleft(F.hash("print").cast("bigint"), 8) + need(F.col("n"), percent)
+    entries = classes.select("rep", text.alias("text"), F.explode("sketch").alias("v"))
+    common = settled(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))  # tables of their own, so that AQE can split a frequent value
+    ranked = entries.join(common, "v").groupBy("rep", "text").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))  # SKETCH values of a text
+    ranked = ranked.select("rep", F.pmod("text", F.lit(256)).cast("int").alias("need"), F.col("x.v").alias("sketch"))
+    ranked = settled(ranked.where(F.size("sketch") >= F.col("need")))
+    prefix = ranked.select(F.col("rep").alias("id"), F.explode(F.slice("sketch", 1, F.size("sketch") - F.col("need") + 1)).alias("part"))
+    lists = settled(prefix.groupBy("part").agg(F.count("*").alias("size")).where("size > 1"))
+    listed = settled(prefix.join(lists, "part"))
+
+    longest = listed.groupBy("id").agg(F.max_by("part", F.struct("size", "part")).alias("part"))
+    known = settled(longest.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id"))
+    sizes = known.groupBy("part").agg(F.min("id").alias("first"), F.count("*").alias("size"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    sizes = small(settled(sizes.where("size > 1").drop("size")), BROADCAST_ROWS)  # so that a long list's members needn't meet
+    links = settled(_block_links(given, settled(known.join(sizes, "part")), percent))
     roots = components(links)
-    apart = settled(_largest_apart(members, roots))
+
+    known = known.select("id", "n").join(roots.withColumnRenamed("root", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = _apart(listed.select("id", "part").join(settled(known), "id"))
     if not apart.isEmpty():
-        roots = components(links.union(_stray_links(given, apart, percent)))
+        near = settled(_near_entries(ranked, apart))
+        if not near.isEmpty():
+            roots = components(links.union(_stray_links(given, _apart(apart.select("id", "part", "component", "n").join(near, ["id", "part"])), percent)))
 
     # classes are a table of their own here, so that AQE can split the copies of one text
     member = sketched.select("id", "n", "print").join(classes.select("print", "rep"), "print", "left")
