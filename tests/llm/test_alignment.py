@@ -1,0 +1,139 @@
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from tidemill.llm import alignment as al
+from tidemill.llm.queries import QUERIES
+
+
+@pytest.fixture(scope="module")
+def plain():
+    """Both tokenizers on whole texts, and each id's bytes, without words, spans or memory."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(f"{al.FOLDER}/{al.FILE_A}")
+    a.encode_special_tokens = True
+    b = SentencePieceProcessor(model_file=f"{al.FOLDER}/{al.FILE_B}")
+    code = al.byte_level()
+    bytes_a = [bytes(code[c] for c in a.id_to_token(i)) if i < 50256 else b"<|endoftext|>" for i in range(a.get_vocab_size())]
+    bytes_b = [bytes([i - 3]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(len(b))]
+
+    def tokens(text):
+        text = text or ""
+        x, y = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        whole = (" " + text).encode()
+        if not text or b"".join(bytes_a[i] for i in x) != whole or b"".join(bytes_b[i] for i in y) != whole:
+            return [], []
+        ends = lambda ids, table: np.cumsum([len(table[i]) for i in ids]).tolist()
+        return list(zip(x, ends(x, bytes_a), strict=True)), list(zip(y, ends(y, bytes_b), strict=True))
+
+    return tokens
+
+
+def alignment(tokens):
+    """(groups as text, links) by comparing byte ranges of all tokens."""
+    a, b = tokens
+    cuts = sorted({e for _, e in a} & {e for _, e in b})
+    inside = lambda ids, low, high: ",".join(str(i) for i, e in ids if low < e <= high)
+    groups = ";".join(f"{inside(a, x, y)}|{inside(b, x, y)}" for x, y in zip([0, *cuts], cuts, strict=False))
+    links, start_a = [], 0
+    for i, end_a in a:
+        start_b = 0
+        for j, end_b in b:
+            if start_a < end_b and start_b < end_a:
+                links.append((i, j))
+            start_b = end_b
+        start_a = end_a
+    return len(a), len(b), len(cuts), groups, links
+
+
+def expected(texts, plain):
+    """Rows of op13 in the order of texts."""
+    each = [alignment(plain(t)) for t in texts]
+    held = Counter(pair for *_, links in each for pair in set(links))
+    most = defaultdict(int)
+    for (i, _), n in held.items():
+        most[i] = max(most[i], n)
+    return [
+        (na, nb, n, len(links), sum(held[p] == most[p[0]] for p in links), sum(held[p] for p in links), hashlib.sha256(g.encode()).hexdigest() if g else "")
+        for na, nb, n, g, links in each
+    ]
+
+
+PIECES = (" ", "  ", "a", "b.", "é", "一", "ꙮ", "\U0001f9ff", "\n", "\t", " ", " ", "　", "▁", "'s", "12", "<|endoftext|>", "<s>", "\x00", "\u0085", " the", " of", "…", "“", "​", "\x1f", "👩‍👩‍👧", "naïve", "X" * 40)
+
+
+def texts(n, seed=5):
+    rng = random.Random(seed)
+    return [None, "", " ", "the", "the", *("".join(rng.choice(PIECES) for _ in range(rng.randint(0, 40))) for _ in range(n))]
+
+
+def rows(spark, given, **settings):
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
+    found = al.with_link_counts(al.align(df, **settings)).collect()
+    return [(r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "") for r in sorted(found, key=lambda r: r.id)]
+
+
+def test_matches_whole_texts_and_all_pairs_of_tokens(spark, plain):
+    given = texts(1500)
+    assert rows(spark, given) == expected(given, plain)
+
+
+def test_counts_of_pairs_in_parts(spark, plain, monkeypatch):
+    monkeypatch.setattr(al, "PAIRS_AT_ONCE", 100)
+    given = texts(60, 6)
+    assert rows(spark, given) == expected(given, plain)
+
+
+def test_forgetting_words_and_working_in_small_parts_changes_nothing(plain, monkeypatch):
+    given = [t.encode() for t in texts(400, 7) if t] + [b"word " * 3000]
+    aligner = al.Aligner(open(f"{al.FOLDER}/{al.FILE_A}", encoding="utf-8").read(), open(f"{al.FOLDER}/{al.FILE_B}", "rb").read())
+    whole = al.align_texts(aligner, given)
+    assert [r[:5] for r in whole[:50]] == [(x, y, n, len(links), g) for x, y, n, g, links in (alignment(plain(t.decode())) for t in given[:50])]
+    aligner.forget()
+    for name, value in (("WORDS", 40), ("AT_ONCE", 16), ("ENCODED_AT_ONCE", 5), ("TOGETHER", 3)):
+        monkeypatch.setattr(al, name, value)
+    assert al.align_texts(aligner, given) == whole
+    assert len(aligner.known) <= 40 + 16
+
+
+def test_words_longer_than_all_limits(spark, plain):
+    given = ["x" * 40_000, "é" * 3_000, "ab " * 20_000, "one"]
+    found = rows(spark, given)
+    tokens = [plain(t) for t in given]
+    assert [r[:2] for r in found] == [(len(a), len(b)) for a, b in tokens]
+    assert found[3] == expected(given[3:], plain)[0]
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    found = al.with_link_counts(al.align(odd_docs)).collect()
+    assert len(found) == 13
+    by = {r.id: r for r in found}
+    assert None in by and by[None].n_a == by[1].n_a > 0 and by[1].groups == by[None].groups
+    assert all((r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups) == (0, 0, 0, 0, 0, 0, "") for r in (by[2], by[3]))
+    assert by[4].n_a > 0 and by[9].n_links > by[8].n_links > 30_000
+    assert al.with_link_counts(al.align(no_docs)).count() == 0
+
+
+def test_query_on_the_given_table(spark, data, plain):
+    import duckdb
+
+    given = duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet' ORDER BY length(text), doc_id").fetchall()
+    found = {r.doc_id: tuple(r)[1:] for r in QUERIES["op13_token_alignment"](spark, data).collect()}
+    assert len(found) == len(given)
+    short = [(i, t) for i, t in given if len(t) < 3_000]
+    for i, text in short[:40] + short[-10:]:
+        x, y, n, groups, links = alignment(plain(text))
+        assert (found[i][:4], found[i][6]) == ((x, y, n, len(links)), hashlib.sha256(groups.encode()).hexdigest())
+
+
+def test_packed_pairs_come_back():
+    rng = np.random.default_rng(1)
+    pairs = np.unique(rng.integers(0, 1 << 48, 999, dtype=np.uint64))
+    times = rng.integers(1, 300, len(pairs))
+    for n in (0, 1, len(pairs)):
+        x, y = al.unpack(al.pack(pairs[:n], times[:n]), n)
+        assert (x == pairs[:n]).all() and (y == times[:n]).all()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, media, neardup, pii, secrets, urls, warc
+from tidemill.llm import alignment, chat, media, neardup, pii, secrets, urls, warc
 from tidemill.llm.decontam import contaminated
 from tidemill.llm.mixing import mix_sources
 from tidemill.llm.neardup import near_duplicates
 from tidemill.llm.toxicity import toxicity
+from tidemill.llm.work import settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,11 +82,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"))
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = alignment.with_link_counts(settled(aligned.withColumn("groups_sha256", groups).drop("groups")))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_source_mixing, op3_toxicity, op4_minhash_neardup, op5_media_jpeg,
-        op6_decontamination, op7_chat_format, op8_warc, op9_pii, op10_secrets,
+        op6_decontamination, op7_chat_format, op8_warc, op9_pii, op10_secrets, op13_token_alignment,
     )
 }
 
