@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import alignment, chat, media, neardup, pii, secrets, urls, warc
+from tidemill.llm import alignment, chat, media, neardup, pii, ranking, secrets, urls, warc
 from tidemill.llm.decontam import contaminated
 from tidemill.llm.mixing import mix_sources
 from tidemill.llm.neardup import near_duplicates
@@ -82,6 +82,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = alignment.align(table(spark, sf_dir, "documents"))
     groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
@@ -93,7 +97,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_source_mixing, op3_toxicity, op4_minhash_neardup, op5_media_jpeg,
-        op6_decontamination, op7_chat_format, op8_warc, op9_pii, op10_secrets, op13_token_alignment,
+        op6_decontamination, op7_chat_format, op8_warc, op9_pii, op10_secrets, op12_ranked_search, op13_token_alignment,
     )
 }
 
@@ -104,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_format": chat.SQL,
     "op8_warc": warc.SQL,
     "op9_pii": pii.sql(),
+    "op12_ranked_search": ranking.SQL,
 }
