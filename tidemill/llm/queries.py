@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import alignment, chat, media, neardup, pii, ranking, secrets, urls, warc
+from tidemill.llm import alignment, chat, extraction, media, neardup, pii, ranking, secrets, urls, warc
 from tidemill.llm.decontam import contaminated
 from tidemill.llm.mixing import mix_sources
 from tidemill.llm.neardup import near_duplicates
@@ -82,6 +82,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -97,11 +102,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_source_mixing, op3_toxicity, op4_minhash_neardup, op5_media_jpeg,
-        op6_decontamination, op7_chat_format, op8_warc, op9_pii, op10_secrets, op12_ranked_search, op13_token_alignment,
+        op6_decontamination, op7_chat_format, op8_warc, op9_pii, op10_secrets,
+        op11_html_extraction, op12_ranked_search, op13_token_alignment,
     )
 }
 
-#: The others can't be said in SQL: learned scores, a knapsack, JPEG, BM25 retrieval, decoded keys.
+#: The others can't be said in SQL: learned scores, a knapsack, JPEG, BM25 retrieval, decoded keys, a parser's events, tokenizers.
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": urls.sql(),
     "op4_minhash_neardup": neardup.SQL,
