@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tidemill.llm import kernel, neardup
 from tidemill.llm.components import components
 
@@ -63,8 +64,12 @@ def test_large_group_is_worked_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_force(docs)
 
 
-def test_strays_of_a_large_group_are_held_against_every_block(spark, monkeypatch):
+@pytest.mark.parametrize(("list_block", "way"), [(1, "part"), (256, "v")])
+def test_strays_of_a_large_group_by_blocks_and_by_lists(spark, monkeypatch, list_block, way):
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "LIST_BLOCK", list_block)
+    if way == "v":
+        monkeypatch.setattr(neardup, "_fewer_by_list", lambda by_block, by_list: by_block.select("part"))
     rng, vocabulary = random.Random(6), [f"v{i}" for i in range(900)]
     docs = []
     for words in ([rng.choice(vocabulary) for _ in range(150)] for _ in range(2)):
@@ -72,12 +77,73 @@ def test_strays_of_a_large_group_are_held_against_every_block(spark, monkeypatch
             words = edited(words, 0.008, rng, vocabulary).split()
             docs.append((rng.randrange(10**6), " ".join(words)))
     docs = list(dict(docs).items())
-    taken = []
+    taken = {}
     plain = neardup._stray_links
-    monkeypatch.setattr(neardup, "_stray_links", lambda given, apart, percent: taken.append(apart.where("stray").count()) or plain(given, apart, percent))
+
+    def watched(given, rows, key, place, percent):
+        taken[key] = rows.where("stray").count()
+        return plain(given, rows, key, place, percent)
+
+    monkeypatch.setattr(neardup, "_stray_links", watched)
     found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_force(docs)
-    assert taken and taken[0] > 8
+    assert taken[way] > 8
+
+
+def shared_passages(n, passages=200, seed=9):
+    """Texts of three of some passages of 40 words and 30 words of their own; every tenth of the first thousand is an edited copy of the one before."""
+    rng = random.Random(seed)
+    lines = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(40)) for k in range(passages)]
+    out = []
+    for i in range(n):
+        text = " ".join([*rng.sample(lines, 3), *(f"own{rng.randrange(10**9)}" for _ in range(30))])
+        out.append((i, out[-1][1].replace("own", "its", 2) if i % 10 == 9 and i < 1000 else text))
+    return out
+
+
+def test_documents_that_share_passages_are_dealt_as_often_in_a_larger_table(spark, monkeypatch):
+    dealt = []
+    with_sets, plain = neardup._with_sets, neardup._dealt
+    monkeypatch.setattr(neardup, "_with_sets", lambda given, rows: dealt.append(rows.count()) or with_sets(given, rows))
+    monkeypatch.setattr(neardup, "_dealt", lambda rows, key, place, *more: (x := plain(rows, key, place, *more), dealt.append(x.count() if "earlier" in more else 0))[0])
+    each = {}
+    for n in (2_000, 8_000):
+        dealt.clear()
+        docs = shared_passages(n)
+        found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        each[n] = sum(dealt) / n
+        if n == 2_000:
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_force(docs)
+        assert sum(not r.kept for r in found) == 100
+    print("dealt", each)
+    assert each[8_000] <= 1.5 * each[2_000]
+
+
+def test_texts_of_one_id_are_compared_one_by_one(spark, monkeypatch):
+    """A third of all rows under one id, each with a text of its own: they are one document, and no group gets them all."""
+    largest = spark.sparkContext.accumulator(0)
+    plain = neardup._link_block
+
+    def watched(percent):
+        link = plain(percent)
+
+        def run(table):
+            if table.num_rows > 200:
+                raise ValueError(f"{table.num_rows} rows in a group")
+            largest.add(1)
+            return link(table)
+
+        return run
+
+    monkeypatch.setattr(neardup, "_link_block", watched)
+    rng = random.Random(10)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    hot = [(500, text()) for _ in range(400)]
+    rest = [(i, text()) for i in range(400)]
+    near = [(1000 + k, hot[k][1] + " end") for k in range(3)] + [(100, hot[7][1] + " end"), (2000, rest[200][1] + " end")]
+    found = neardup.near_duplicates(spark.createDataFrame(hot + rest + near, "doc_id long, text string").repartition(4)).collect()
+    expected = {i: i for i, _ in rest} | {500: 100, 1000: 100, 1001: 100, 1002: 100, 2000: 200}
+    assert len(found) == 805 and {r.doc_id: r.component_id for r in found} == expected and largest.value
 
 
 def test_blocks_are_bounded_by_shingles_too(spark, monkeypatch):
@@ -174,7 +240,7 @@ def test_repeats_of_a_row_go_to_no_group(spark, monkeypatch):
         link = plain(percent)
 
         def run(table):
-            if table.select(["id", "shingles"]).to_pandas().duplicated().any():
+            if table.select(["node", "shingles"]).to_pandas().duplicated().any():
                 raise ValueError(f"{table.num_rows} rows in a group")
             return link(table)
 

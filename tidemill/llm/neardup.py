@@ -12,8 +12,16 @@ sets. There, overlap counts from the lists of retained values propose partners,
 the sketch of the union estimates the similarity, and exact Jaccard on the full
 sets confirms the link. Groups return spanning links, never all pairs. A large
 group is worked in blocks of bounded size, each together with the group's first
-document; what its links leave outside the group's largest component is then
-held against every block. So a group of copies takes linear work, however large.
+document. What its links leave outside the group's largest component, the
+strays, may be linked to documents of other blocks. There are two ways to find
+these, and each group takes the one that moves fewer rows: strays are held
+against every block of their group, which suits groups of near copies with few
+strays; or against the lists that they are in, which suits documents that have
+passages in common and aren't near. Lists are worked with sketches first, each
+pair in the first list that the two have in common, and full sets follow for
+those that have a partner whose union sketch passes. So a group of copies takes
+linear work, however large, and documents that only share passages are dealt
+once for each of their retained values, as long as lists fit a block.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,9 +44,11 @@ SKETCH = 64
 MISSED = 2e-10
 #: The lowest threshold: below it, most of a sketch would have to enter the inverted lists.
 LEAST_PERCENT = 80
-#: A block has so many documents, and so many shingles, on average at most.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 17
+#: A block has so many documents, and so many shingles, on average at most; a block of a list, so many sketches.
+BLOCK, BLOCK_SHINGLES, LIST_BLOCK = 256, 1 << 17, 2048
 BROADCAST_ROWS = 200_000
+#: What a row is in a block that strays are dealt to: a stray, one of the others they are held against, or both.
+STRAY, OTHER, BOTH = 1, 2, 3
 
 
 def _each(batches):
@@ -65,12 +75,12 @@ def _sketches(batches):
 
 
 def _sets(batches):
-    seen = set()  # a row that repeats in a task goes on once
+    seen = set()  # a set that repeats in a task goes on once
     for batch, sets in _each(batches):
-        ids, data = batch.column(0).to_pylist(), [s.tobytes() for s in sets]
-        keys = [(i, hashlib.blake2b(x, digest_size=16).digest()) for i, x in zip(ids, data, strict=True)]
+        data = [s.tobytes() for s in sets]
+        keys = [hashlib.blake2b(x, digest_size=16).digest() for x in data]
         new = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(new, pa.int64())), pa.array([data[k] for k in new], pa.binary())], ["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in new], pa.binary()), pa.array([data[k] for k in new], pa.binary())], ["print", "shingles"])
 
 
 def shared(percent: int) -> int:
@@ -94,6 +104,30 @@ def union_estimate(sketch: np.ndarray, others: np.ndarray, filler: np.ndarray) -
     return (twice & inside).sum(axis=1) / np.maximum(1, (inside & ~twice).sum(axis=1))
 
 
+class Sketches:
+    """The sketches of some sets, to find those that can be near one of them."""
+
+    def __init__(self, heads: np.ndarray, none: int, n: np.ndarray, percent: int):
+        self.heads, self.none, self.n, self.percent = heads, none, n, percent  # values as numbers that keep the order of the hashes, filled with none
+        self.most = shared(percent)
+        self.least = np.minimum(self.most, -(-n * percent // 100))
+        self.mine = np.zeros(none + 1, dtype=bool)
+
+    def near(self, i: int, rest: np.ndarray) -> np.ndarray:
+        """Of rest, by size, by how many retained values it shares with i, and by the sketch of their union."""
+        n = self.n
+        rest = rest[100 * np.minimum(n[rest], n[i]) >= self.percent * np.maximum(n[rest], n[i])]
+        if len(rest):
+            head = self.heads[i][self.heads[i] != self.none]
+            self.mine[head] = True
+            rest = rest[self.mine[self.heads[rest]].sum(axis=1) >= np.maximum(self.least[i], self.least[rest])]
+            self.mine[head] = False
+        if len(rest):
+            floor = self.most / SKETCH if n[i] > SKETCH else self.percent / 100 - 0.2
+            rest = rest[union_estimate(self.heads[i], self.heads[rest], np.int32(self.none)) >= floor]
+        return rest
+
+
 def linked(sets: list[np.ndarray], percent: int = 85, group: np.ndarray | None = None, strays: int | None = None, allowed: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span the components of the sets: pairs of positions with 100 * intersection >= percent * union.
 
@@ -108,27 +142,17 @@ def linked(sets: list[np.ndarray], percent: int = 85, group: np.ndarray | None =
     at = np.zeros(m + 1, np.int64)
     np.cumsum(n, out=at[1:])
     none = len(values)
-    heads = np.full((m, SKETCH), none, np.int32)  # numbers keep the order of the hashes
+    heads = np.full((m, SKETCH), none, np.int32)
     for i in range(m):
         k = min(SKETCH, n[i])
         heads[i, :k] = number[at[i] : at[i] + k]
-    most = shared(percent)
-    least = np.minimum(most, -(-n * percent // 100))
+    sketches = Sketches(heads, none, n, percent)
     group = np.arange(m) if group is None else group.copy()
     mine = np.zeros(none + 1, dtype=bool)
     out = []
     for i in range(m - 1 if strays is None else strays):
         rest = np.arange(i + 1, m) if strays is None else strays + np.flatnonzero(allowed[i])
-        rest = rest[(group[rest] != group[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
-        if not len(rest):
-            continue
-        head = heads[i][heads[i] != none]
-        mine[head] = True
-        rest = rest[mine[heads[rest]].sum(axis=1) >= np.maximum(least[i], least[rest])]
-        mine[head] = False
-        if len(rest):
-            floor = most / SKETCH if n[i] > SKETCH else percent / 100 - 0.2
-            rest = rest[union_estimate(heads[i], heads[rest], np.int32(none)) >= floor]
+        rest = sketches.near(i, rest[group[rest] != group[i]])
         if len(rest):
             own = number[at[i] : at[i + 1]]
             mine[own] = True
@@ -145,8 +169,8 @@ def linked(sets: list[np.ndarray], percent: int = 85, group: np.ndarray | None =
 LINKS = "a bigint, b bigint"
 
 
-def _as_links(ids: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
-    found = np.array([(ids[i], ids[j]) for i, j in pairs if ids[i] != ids[j]], np.int64).reshape(-1, 2)
+def _as_links(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+    found = np.array([(nodes[i], nodes[j]) for i, j in pairs], np.int64).reshape(-1, 2)
     return pa.table({"a": found[:, 1], "b": found[:, 0]})
 
 
@@ -156,62 +180,155 @@ def _shingles(table: pa.Table) -> list[np.ndarray]:
 
 def _link_block(percent: int):
     def link(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        return _as_links(table["id"].to_numpy(), linked(_shingles(table), percent))
+        table = table.sort_by("node")
+        return _as_links(table["node"].to_numpy(), linked(_shingles(table), percent))
 
     return link
 
 
+def _strays_first(table: pa.Table):
+    """(rows by role, those that have both twice; nodes, number of strays, which of the others each stray may be held against, numbers of components)."""
+    table = table.sort_by("node")
+    role = table["role"].to_numpy()
+    order = np.concatenate([np.flatnonzero(role & STRAY), np.flatnonzero(role & OTHER)])
+    table, strays = table.take(pa.array(order)), int(np.count_nonzero(role & STRAY))
+    nodes = table["node"].to_numpy()
+    stray, block = table["stray"].to_numpy(), table["block"].to_numpy()
+    # pairs of one block have been compared already; two strays meet twice
+    allowed = (block[strays:] != block[:strays, None]) & (~stray[strays:] | (nodes[strays:] > nodes[:strays, None]))
+    return table, nodes, strays, allowed, np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+
+
 def _link_strays(percent: int):
     def link(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("as_stray", "descending"), ("id", "ascending")])
-        ids, strays = table["id"].to_numpy(), int(np.count_nonzero(table["as_stray"].to_numpy()))
-        stray, block = table["stray"].to_numpy(), table["block"].to_numpy()
-        # pairs of one block have been compared already; two strays meet twice
-        allowed = (block[strays:] != block[:strays, None]) & (~stray[strays:] | (ids[strays:] > ids[:strays, None]))
-        return _as_links(ids, linked(_shingles(table), percent, np.unique(table["component"].to_numpy(), return_inverse=True)[1], strays, allowed))
+        table, nodes, strays, allowed, group = _strays_first(table)
+        return _as_links(nodes, linked(_shingles(table), percent, group, strays, allowed))
 
     return link
 
 
+def _padded(lists: pa.ChunkedArray, width: int) -> tuple[np.ndarray, int]:
+    """Lists of hashes as rows of numbers in the order of the hashes, filled with the number that is returned too."""
+    lists = lists.combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    values, number = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    out = np.full((len(n), width), len(values), np.int32)
+    out[np.arange(width) < n[:, None]] = number
+    return out, len(values)
+
+
+def _promising(percent: int):
+    """Of a part of a list, the strays and others that make pairs which can be near, each pair in the first list that the two share."""
+
+    def filtered(table: pa.Table) -> pa.Table:
+        table, nodes, strays, allowed, group = _strays_first(table)
+        heads, none = _padded(table["sketch"], SKETCH)
+        sketches = Sketches(heads, none, table["n"].to_numpy(), percent)
+        earlier, nothing = _padded(table["earlier"], SKETCH)
+        before, found = np.zeros(nothing + 1, dtype=bool), np.zeros(len(nodes), dtype=bool)
+        for i in range(strays):
+            rest = strays + np.flatnonzero(allowed[i])
+            before[earlier[i]], before[nothing] = True, False
+            rest = sketches.near(i, rest[(group[rest] != group[i]) & ~before[earlier[rest]].any(axis=1)])
+            before[earlier[i]] = False
+            found[rest] = True
+            found[i] |= len(rest) > 0
+        kept = np.unique(nodes[found])
+        return pa.table({"node": kept, "v": np.full(len(kept), table["v"][0].as_py(), np.int64)})
+
+    return filtered
+
+
 def _largest_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (id, part, blocks, block) of the groups with several blocks whose links leave strays, with component, stray, and how many blocks of strays there are."""
-    known = members.where("blocks > 1").join(roots.withColumnRenamed("root", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """Members of the groups with several blocks whose links leave strays, with component, stray, and how many blocks of strays there are."""
+    known = members.where("blocks > 1").join(roots.select(F.col("id").alias("node"), F.col("root").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = known.groupBy("part", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("part").agg(F.max_by("component", F.struct("size", "component")).alias("main"), (F.sum("size") - F.max("size")).alias("strays"))
     # a block of strays is as large as the part's blocks are on average
     main = small(settled(main.where("strays > 0").select("part", "main", "strays")), BROADCAST_ROWS)
     apart = known.join(main, "part").withColumn("stray", F.col("component") != F.col("main"))
-    return apart.select("id", "part", "blocks", "block", "component", "stray", F.ceil(F.col("strays") / BLOCK).cast("int").alias("stray_blocks"))
+    return apart.select("node", "rep", "print", "n", "part", "blocks", "block", "component", "stray", F.ceil(F.col("strays") / BLOCK).cast("int").alias("stray_blocks"))
 
 
-def _with_sets(given: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of these ids, from the texts."""
-    return given.join(small(ids.select("id"), BROADCAST_ROWS), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id bigint, shingles binary")
+def _with_sets(given: DataFrame, dealt: DataFrame) -> DataFrame:
+    """dealt with the sets of its rows, from the texts; one row of the id ``rep`` has the set that ``print`` says."""
+    texts = given.join(small(dealt.select(F.col("rep").alias("id")), BROADCAST_ROWS), "id", "left_semi")
+    return texts.select("id", "text").mapInArrow(_sets, "print binary, shingles binary").join(small(dealt, BROADCAST_ROWS), "print")
 
 
 def _block_links(given: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links within each block, and with the group's first document."""
-    first = F.col("id") == F.col("part")
+    first = F.col("node") == F.col("part")
     places = F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    dealt = members.select("id", "part", F.explode(places).alias("block"))
-    sets = _with_sets(given, members).join(small(dealt, BROADCAST_ROWS), "id")
-    once = sets.repartition("part", "block").dropDuplicates(["part", "block", "id", "shingles"])
+    dealt = members.select("node", "rep", "print", "part", F.explode(places).alias("block"))
+    sets = _with_sets(given, dealt).select("part", "block", "node", "shingles")
+    once = sets.repartition("part", "block").dropDuplicates()
     return once.groupBy("part", "block").applyInArrow(_link_block(percent), LINKS)
 
 
-def _stray_links(given: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
-    """Links of strays with each block of their group."""
-    to_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    to_strays = F.sequence(F.lit(0), F.col("stray_blocks") - 1)
-    row = ["id", "part", "block", "component", "stray"]
-    as_member = apart.select(*row, F.lit(False).alias("as_stray"), F.col("block").alias("i"), F.explode(to_strays).alias("j"))
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("stray_blocks")).cast("int")
-    as_stray = apart.where("stray").select(*row, F.lit(True).alias("as_stray"), F.explode(to_blocks).alias("i"), own.alias("j"))
-    dealt = as_member.union(as_stray)
-    sets = _with_sets(given, apart).join(small(settled(dealt), BROADCAST_ROWS), "id")
-    once = sets.repartition("part", "i", "j").dropDuplicates(["part", "i", "j", "as_stray", "id", "shingles"])
-    return once.groupBy("part", "i", "j").applyInArrow(_link_strays(percent), LINKS)
+def _dealt(rows: DataFrame, key: str, place: Column, *more: str) -> DataFrame:
+    """Each row to every block of strays, and each stray to every block: (key, i, j, role, ...). place: which of the blocks a row is in."""
+    place, own = place.cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("stray_blocks")).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+    as_other = F.transform(up_to("stray_blocks"), lambda j: at(place, j, F.when(F.col("stray") & (j == own), BOTH).otherwise(OTHER)))
+    others = F.filter(up_to("blocks"), lambda i: F.col("stray") & (i != place))
+    as_stray = F.transform(others, lambda i: at(i, own, F.lit(STRAY)))
+    return rows.select("node", key, "block", "component", "stray", *more, F.explode(F.concat(as_other, as_stray)).alias("to")).select("*", "to.*").drop("to")
+
+
+def _stray_links(given: DataFrame, rows: DataFrame, key: str, place: Column, percent: int) -> DataFrame:
+    """Links of strays with each block of what they are dealt by: their group, or a list."""
+    sets = _with_sets(given, settled(_dealt(rows, key, place, "rep", "print")))
+    once = sets.select(key, "i", "j", "role", "node", "block", "component", "stray", "shingles").repartition(key, "i", "j").dropDuplicates()
+    return once.groupBy(key, "i", "j").applyInArrow(_link_strays(percent), LINKS)
+
+
+def _list_sizes(rows: DataFrame, block: int, shingles: int | None = None) -> DataFrame:
+    """Of each list with a stray: how many rows, and blocks of them and of its strays."""
+    of = lambda what, each: F.ceil(F.sum(what) / each)
+    stray = F.when(F.col("stray"), 1).otherwise(0)
+    n = F.when(F.col("stray"), F.col("n")).otherwise(0)
+    blocks = lambda one, size: (F.greatest(of(one, block), of(size, shingles)) if shingles else of(one, block)).cast("int")
+    sizes = rows.groupBy("v").agg(F.count("*").alias("m"), F.sum(stray).alias("s"), blocks(F.lit(1), F.col("n")).alias("blocks"), F.greatest(F.lit(1), blocks(stray, n)).alias("stray_blocks"))
+    return sizes.where("s > 0 AND m > 1")
+
+
+def _fewer_by_list(by_block: DataFrame, by_list: DataFrame) -> DataFrame:
+    """The groups whose strays are dealt fewer times by lists; those without such a list have no links left to find, and go there too."""
+    return by_block.join(by_list, "part", "left").where("by_list IS NULL OR by_list < by_block").select("part")
+
+
+def _links_of_strays(given: DataFrame, apart: DataFrame, prefixes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links of strays with documents of other blocks, by blocks or by lists, whichever takes fewer rows in each group."""
+    here = F.col("block")
+    each = apart.join(prefixes, "node").select(*[c for c in apart.columns if c not in ("blocks", "stray_blocks")], F.posexplode("prefix").alias("at", "v"), "prefix")
+    each = settled(each.select("*", F.slice("prefix", 1, F.col("at")).alias("earlier")).drop("prefix", "at"))
+    sizes = settled(_list_sizes(each, LIST_BLOCK))
+    by_list = each.join(sizes, "v").groupBy("part").agg(F.sum(F.col("stray_blocks") + F.when(F.col("stray"), F.col("blocks") - 1).otherwise(0)).alias("by_list"))
+    by_block = apart.groupBy("part").agg(F.sum(F.col("stray_blocks") + F.when(F.col("stray"), F.col("blocks") - 1).otherwise(0)).alias("by_block"))
+    fewer = settled(_fewer_by_list(by_block, by_list))
+    if fewer.isEmpty():
+        return _stray_links(given, apart, "part", here, percent)
+    fewer = small(fewer, BROADCAST_ROWS)
+    links = _stray_links(given, apart.join(fewer, "part", "left_anti"), "part", here, percent)
+
+    lists = each.join(fewer, "part", "left_semi").join(sizes.drop("m", "s"), "v")
+    dealt = _dealt(lists, "v", F.pmod(F.xxhash64("node"), F.col("blocks")), "earlier")
+    sketched = dealt.join(classes.select("node", "n", "sketch"), "node")
+    promising = settled(sketched.repartition("v", "i", "j").groupBy("v", "i", "j").applyInArrow(_promising(percent), "node bigint, v bigint").distinct())
+    rows = each.join(promising, ["node", "v"], "left_semi").drop("earlier")
+    rows = settled(rows.join(_list_sizes(rows, BLOCK, BLOCK_SHINGLES).drop("m", "s"), "v"))
+    return links.union(_stray_links(given, rows, "v", F.pmod(F.xxhash64("node"), F.col("blocks")), percent))
+
+
+def _of_one_id(member: DataFrame) -> DataFrame | None:
+    """Links between the texts that share an id: each with the id's first; None if no id has several."""
+    nodes = member.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    several = settled(nodes.where("a < b").select("id", "a"))
+    if several.isEmpty():
+        return None
+    return member.join(small(several, BROADCAST_ROWS), "id").select("a", F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -224,7 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component. Texts of any length are taken whole; a set alone may be larger than
     a block. Rows without an id link with nothing: component_id is null and
     they are kept. Repeated rows, and rows that share an id, count as one
-    document with all their links. Other columns are not read. An empty table
+    document with all their links; different texts of an id are compared one by
+    one, so that no task gets them all. Other columns are not read. An empty table
     gives an empty result.
     """
     if percent < LEAST_PERCENT:
@@ -234,29 +352,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = sketched.where("n > 0 AND id IS NOT NULL")
 
     classes = usable.groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = settled(classes)
-    entries = classes.select("rep", need(F.col("n"), percent).cast("int").alias("need"), F.explode("sketch").alias("v"))
+    classes = settled(classes.withColumn("node", F.monotonically_increasing_id()))  # settled, so every step sees the same numbers
+    entries = classes.select("node", need(F.col("n"), percent).cast("int").alias("need"), F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = entries.join(shared, "v").groupBy("rep", "need").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))  # SKETCH values at most
-    prefix = settled(ranked.select("rep", F.explode(F.slice("x", 1, F.greatest(F.lit(0), F.size("x") - F.col("need") + 1))).alias("x")).select("rep", "x.v"))
-    hubs = prefix.groupBy("v").agg(F.min("rep").alias("hub"))
-    near = components(prefix.join(hubs, "v").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    ranked = entries.join(shared, "v").groupBy("node", "need").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))  # SKETCH values at most
+    prefixes = settled(ranked.select("node", F.slice("x.v", 1, F.greatest(F.lit(0), F.size("x") - F.col("need") + 1)).alias("prefix")).where("size(prefix) > 0"))
+    prefix = prefixes.select("node", F.explode("prefix").alias("v"))
+    hubs = prefix.groupBy("v").agg(F.min("node").alias("hub"))
+    near = components(prefix.join(hubs, "v").select(F.col("node").alias("a"), F.col("hub").alias("b"))).select(F.col("id").alias("node"), F.col("root").alias("part"))
 
-    weighed = near.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id")
+    near = near.join(classes.select("node", "rep", "print", "n"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = small(settled(weighed.groupBy(F.col("root").alias("part")).agg(blocks.alias("blocks"))), BROADCAST_ROWS)  # so that a large group's members needn't meet
-    members = near.select("id", F.col("root").alias("part")).join(sizes, "part")
-    members = settled(members.select("id", "part", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    sizes = small(settled(near.groupBy("part").agg(blocks.alias("blocks"))), BROADCAST_ROWS)  # so that a large group's members needn't meet
+    members = settled(near.join(sizes, "part").select("node", "rep", "print", "n", "part", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     links = settled(_block_links(given, members, percent))
     roots = components(links)
     apart = settled(_largest_apart(members, roots))
-    if not apart.isEmpty():
-        roots = components(links.union(_stray_links(given, apart, percent)))
-
+    more = [] if apart.isEmpty() else [settled(_links_of_strays(given, apart, prefixes, classes, percent))]
     # classes are a table of their own here, so that AQE can split the copies of one text
-    member = sketched.select("id", "n", "print").join(classes.select("print", "rep"), "print", "left")
-    out = member.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
+    member = sketched.select("id", "n", "print").join(classes.select("print", F.col("node").alias("class"), "rep"), "print", "left")
+    member = settled(member.select("id", "n", "rep", F.when(F.col("id").isNotNull(), F.col("class")).alias("node")))
+    if (of_one_id := _of_one_id(member)) is not None:
+        more.append(of_one_id)
+    for some in more:
+        links = links.union(some)
+    if more:
+        roots = components(links)
+
+    named = roots.withColumnRenamed("id", "node").join(classes.select("node", "rep"), "node")
+    smallest = settled(named.groupBy("root").agg(F.min("rep").alias("component")))
+    named = named.join(smallest, "root").select("node", "component")
+    out = member.join(named, "node", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
