@@ -3,6 +3,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tidemill.llm import chat
 
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "[/ANS]", "<<SYS>>", "<</SYS>>", "<<ROLE ", "<</ROLE>>", ">>\n"]
@@ -92,3 +93,26 @@ def test_query_adds_the_conversation_with_control_strings(spark, data):
     assert set(found) == {-1} | {t.conv_id for t in turns}
     some = turns[0].conv_id
     assert found[some] == digests([(t.role, t.text) for t in turns if t.conv_id == some])
+
+
+def test_log_says_the_same_when_its_rows_come_in_another_order(spark):
+    """Two branches of fold_events read the log; were one of them computed again from rows in another order, drafts would stay."""
+    turns = [(c, t, ("user", "assistant")[t % 2], f"text {c % 7} {t}" * 3) for c in range(200) for t in range(6)] + [(7, 2, "user", "again")] * 2_500 + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    one, two = (chat.as_events(df.repartition(n).orderBy(F.rand(n))) for n in (3, 7))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    said, regenerated = one.where(F.col("kind") != chat.REGENERATE), two.where(F.col("kind") == chat.REGENERATE)
+    assert regenerated.count() > 50
+    found = chat.fold_events(said.union(regenerated)).collect()
+    assert len(found) == 1200 + 2_500 + 3
+    texts = sorted((r.conv or 0, *chat.parse(r.piece)) for r in found)
+    assert texts == sorted((c or 0, r or "", t or "") for c, _, r, t in turns)
+
+
+def test_turns_of_an_empty_table_and_of_odd_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, seq string, part string"
+    assert chat.as_events(spark.createDataFrame([], schema)).count() == 0
+    long = "<s>" * 300_000
+    rows = [(None, 1, "user", "a", "x", "y"), (1, None, None, None, "x", "y"), (1, 1, "assistant", long, None, None)]
+    found = {r[0]: tuple(r)[1:] for r in chat.read_back(chat.store_pieces(chat.fold_events(chat.as_events(spark.createDataFrame(rows, schema))))).collect()}
+    assert found == {None: digests([("user", "a")]), 1: digests([(None, None), ("assistant", long)])}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.work import checkpoint_dir
+from tidemill.llm.work import checkpoint_dir, settled, small
 
 OPEN, DELTA, EDIT, REGENERATE = "open", "delta", "edit", "regenerate"
 EVENT_TYPE = "conv bigint, seq bigint, part int, kind string, message string, role string, body string"
@@ -30,6 +30,8 @@ EVENT_TYPE = "conv bigint, seq bigint, part int, kind string, message string, ro
 PIECE = "conv bigint, place bigint, piece string, mask boolean"
 #: A text that becomes events is streamed in deltas of so many characters.
 DELTA_CHARS = 512
+#: Equal rows that are numbered at once, and numbers of repeated rows that go to all tasks instead of being joined by a shuffle.
+EQUAL, BROADCAST_ROWS = 1_024, 200_000
 
 #: Marks before and after a text, by role; other roles are named in theirs.
 MARKS = {
@@ -188,6 +190,21 @@ def fold_events(events: DataFrame) -> DataFrame:
     return said.union(marks).repartition("conv").sortWithinPartitions(*_AT, F.desc("marks"), "seq", "part").mapInArrow(_fold, PIECE)
 
 
+def _numbered(turns: DataFrame) -> DataFrame:
+    """turns with the number of each among rows that are equal: 0 where a row has no equal, which keys of its hash tell without moving its text."""
+    keys = ["conv", "seq", "print"]
+    several = settled(turns.groupBy(*keys).agg(F.count("*").alias("same")).where("same > 1").drop("same"))
+    if several.isEmpty():
+        return turns.withColumn("row", F.lit(0).cast("bigint"))
+    several = small(several, BROADCAST_ROWS)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    alone = turns.alias("a").join(several.alias("b"), same, "left_anti").withColumn("row", F.lit(0).cast("bigint"))
+    # rows are equal, so one of each is counted, and told again as often, EQUAL at once
+    again = turns.alias("a").join(several.alias("b"), same, "left_semi").groupBy(turns.columns).agg(F.count("*").alias("same"))
+    again = again.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("same") - 1).cast("bigint"), F.lit(EQUAL))))
+    return alone.union(again.select(*turns.columns, F.explode(F.sequence(F.col("k") + 1, F.least(F.col("k") + EQUAL, F.col("same")))).alias("row")))
+
+
 def as_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A table of whole turns as the event log that a chat service might have kept of them.
 
@@ -195,16 +212,21 @@ def as_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     have a draft before them, streamed in part and then regenerated, and some
     turns are opened with another text that an edit replaces. Turns of a
     conversation with the same number follow each other by a hash; repeated rows
-    are turns of their own. Null texts are empty.
+    are turns of their own, told apart by their number among equal rows, so that
+    a log read twice says the same whatever order its rows come in. Null texts
+    are empty, null roles stay null, turns without a conversation form their own
+    and those without a number come first in theirs. Texts of any length are
+    streamed whole. Other columns aren't read; an empty table gives an empty log.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = turns.select(
         F.col(f"`{conv}`").cast("bigint").alias("conv"), F.col(f"`{turn}`").cast("bigint").alias("seq"),
-        F.col(f"`{role}`").alias("role"), body.alias("text"), F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{role}`").alias("role"), body.alias("text"),
     )
+    rows = _numbered(rows.withColumn("print", F.xxhash64("role", "text")))
     deltas = F.ceil(F.length("text") / DELTA_CHARS).cast("int")
     # the name orders turns alike in conversation and turn, and tells repeated rows apart
-    rows = rows.withColumns({"name": F.lpad(F.hex(F.xxhash64("role", "text", "row")), 16, "0"), "n": deltas, "luck": F.pmod(F.xxhash64("conv", "seq", "text"), F.lit(4))})
+    rows = rows.withColumns({"name": F.lpad(F.hex(F.xxhash64("seq", "print", "row")), 16, "0"), "n": deltas, "luck": F.pmod(F.xxhash64("conv", "seq", "text"), F.lit(4))})
 
     def event(kind: str, final: bool, piece: Column | int) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(final).alias("final"), (piece if isinstance(piece, Column) else F.lit(piece)).cast("int").alias("piece"))
@@ -224,7 +246,12 @@ def as_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def store_pieces(pieces: DataFrame) -> DataFrame:
-    """The pieces written to a new Parquet table in the folder that executors share, to be read from there."""
+    """The pieces written to a new Parquet table in the folder that executors share, to be read from there.
+
+    pieces has the columns of PIECE; rows are stored as they are, null, empty,
+    long and repeated ones too, in no order that read_back() relies on. Other
+    columns would be written but not read. An empty table is stored as such.
+    """
     path = f"{checkpoint_dir(pieces.sparkSession)}/chat-{uuid.uuid4().hex}"
     pieces.write.parquet(path)
     return pieces.sparkSession.read.schema(PIECE).parquet(path)
