@@ -106,3 +106,19 @@ def test_dropping_from_odd_and_empty_tables(spark, odd_docs, no_docs):
     kept, scored = tox.drop_toxic(odd_docs, labels), tox.toxicity(odd_docs, labels)
     assert kept.columns == odd_docs.columns and kept.count() == scored.where("predicted = 0").count()
     assert tox.drop_toxic(no_docs, labels).count() == 0 and tox.drop_toxic(no_docs, labels).columns == no_docs.columns
+
+
+def test_settings_are_compared_without_the_held_out_fold(spark):
+    import zlib
+
+    rng = random.Random(6)
+    folds = {i: zlib.crc32(str(i).encode()) % 5 for i in range(1500)}
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("one two three four five six".split()) for _ in range(9)) + " zork" * (i % 4 == 0)) for i in folds] + [(None, "zork")], "doc_id long, text string")
+    labels = lambda wrong: spark.createDataFrame([(i, int((i % 4 == 0) != (f in wrong))) for i, f in folds.items()] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    inner = tox.validate(docs, labels(()))
+    assert inner["rows"] == sum(f == tox.INNER for f in folds.values()) and inner["right"] > 0.99 and inner["found"] > 0.99 and inner["wrongly"] < 0.01 and inner["log_loss"] < 0.1
+    assert tox.validate(docs, labels((tox.HELD_OUT,))) == inner  # labels of the held-out fold play no part
+    assert tox.validate(docs, labels((tox.INNER,)))["right"] < 0.01  # nor does the model learn from the fold it is judged on
+    held = tox.validate(docs, labels(()), on=tox.HELD_OUT)
+    assert held["rows"] == sum(f == tox.HELD_OUT for f in folds.values()) and held["right"] > 0.99
+    assert tox.validate(docs, labels(()).where("false")) == {"rows": 0, "right": 0, "found": 0, "wrongly": 0, "log_loss": 0}

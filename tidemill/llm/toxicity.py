@@ -16,9 +16,12 @@ mention of a group, where either alone is as frequent in harmless texts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import kernel
@@ -27,17 +30,27 @@ from tidemill.llm.work import own_columns, settled
 PREFIXES = (4, 6, 8)
 #: At most so many labelled rows train the model, those first in a seeded order of their ids.
 TRAIN_ROWS = 16_384
-#: At most so many terms that go with the label, and as many of the most frequent ones as FREQUENT says: the model's size.
-TERMS, FREQUENT = 4_096, 512
 FACTORS = 8
+#: Of five folds by crc32 of the id, the one that nothing is learned from, and the one that settings are chosen on.
+FOLDS, HELD_OUT, INNER = 5, 0, 1
 #: A term that goes with the label must be in so many training rows, and reach this chi-square (p = 0.001).
 LEAST_ROWS, LEAST_CHI2 = 3, 10.83
-#: Training takes rows in batches, in a seeded order, for so many steps and so many rounds over the rows at least.
-BATCH, STEPS, ROUNDS = 128, 500, 4
+#: Training takes rows in batches, in a seeded order, for so many rounds over the rows at least.
+BATCH, ROUNDS = 128, 4
 PART_BYTES = 1 << 18  # text whose terms are counted at once: each of its bytes takes some fifty in hashes
 _SALTS = [np.uint64(x) for x in (0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F)]
 
 
+@dataclass(frozen=True)
+class Settings:
+    """terms: at most so many that go with the label; frequent: and so many of the most frequent ones; together the model's size. steps: at least so many batches. The defaults were chosen on the fold INNER of the rows that may be learned from."""
+
+    terms: int = 4_096
+    frequent: int = 128
+    rate: float = 0.3
+    steps: int = 500
+
+
 def document_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, term) of each distinct term of each row, ordered by row."""
     *kinds, starts = kernel.words(texts, kernel.NOT_LETTERS, PREFIXES, fold=True)
@@ -77,7 +90,7 @@ class Vocabulary:
         return key >> 32, key & 0xFFFFFFFF
 
 
-def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, rounds: int | None = None, rate: float = 0.3, seed: int = 7):
+def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, rounds: int | None = None, rate: float = Settings.rate, steps: int = Settings.steps, seed: int = 7):
     """Bias, weights and factors by Adagrad on the logistic loss; rows must be sorted. Each batch touches its own terms alone."""
     n = len(y)
     share = np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3)
@@ -86,7 +99,7 @@ def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, rounds
     w, v = np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, FACTORS))
     w2, v2 = np.full(n_terms, 1e-6), np.full((n_terms, FACTORS), 1e-6)
     starts = np.searchsorted(rows, np.arange(n + 1))
-    rounds = rounds or max(ROUNDS, -(-STEPS // max(1, -(-n // BATCH))))
+    rounds = rounds or max(ROUNDS, -(-steps // max(1, -(-n // BATCH))))
     for order in (rng.permutation(n) for _ in range(rounds if len(rows) else 0)):
         for a in range(0, n, BATCH):
             some = np.sort(order[a : a + BATCH])
@@ -137,26 +150,26 @@ def _numbered(vocabulary: np.ndarray):
     return number
 
 
-def _fit_table(n_terms: int):
+def _fit_table(n_terms: int, settings: Settings):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
         data, at = kernel.buffers(table["terms"])
         terms = np.frombuffer(data[at[0] : at[-1]].tobytes(), np.int32)
         rows = np.repeat(np.arange(table.num_rows), np.diff(at) // 4)
-        bias, w, v = fit(rows, terms, table["y"].to_numpy().astype(float), n_terms)
+        bias, w, v = fit(rows, terms, table["y"].to_numpy().astype(float), n_terms, rate=settings.rate, steps=settings.steps)
         return pa.table({"model": pa.array([np.concatenate([bias, w, v.ravel()]).tobytes()], pa.binary())})
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TERMS, frequent: int = FREQUENT):
-    """(vocabulary, bias, weights, factors) from at most so many of the labelled rows with an id outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, settings: Settings = Settings(), left_out: Sequence[int] = (HELD_OUT,)):
+    """(vocabulary, bias, weights, factors) from at most so many of the labelled rows with an id outside the folds that are left out.
 
     docs: (id, text). labels: (id, y). Of several labels of one id the larger
     counts, of several texts the smallest; null labels, texts and ids don't. Without any usable label every text gets
-    a score near 0. most and frequent bound the model: terms that go with the label, and frequent ones.
+    a score near 0.
     """
-    usable = labels.where("y IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").cast("int").alias("y"))
+    usable = labels.where("y IS NOT NULL AND id IS NOT NULL").where(~fold(F.col("id")).isin(*left_out)).groupBy("id").agg(F.max("y").cast("int").alias("y"))
     sample = settled(usable.orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = docs.where("text IS NOT NULL").join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # Spark takes the minimum before it shuffles
     known = settled(texts.select("text", "y", "id"))  # bounded by rows
@@ -166,19 +179,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int
     counts = settled(counts.where(F.col("a") + F.col("b") >= LEAST_ROWS))  # of the terms of bounded rows
     c, d = F.greatest(F.lit(0), F.lit(p) - F.col("a")), F.greatest(F.lit(0), F.lit(n - p) - F.col("b"))
     chi2 = F.pow(F.col("a") * d - F.col("b") * c, F.lit(2)) * n / F.greatest(F.lit(1.0), 1.0 * (F.col("a") + F.col("b")) * (c + d) * (F.col("a") + c) * (F.col("b") + d))
-    telling = counts.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(most).collect()
-    usual = counts.orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(frequent).collect()
+    telling = counts.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(settings.terms).collect()
+    usual = counts.orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(settings.frequent).collect()
     vocabulary = np.unique(np.array([r["term"] for r in (*telling, *usual)], np.int64).view(np.uint64))
-    fitted = known.mapInArrow(_numbered(vocabulary), "id bigint, y int, terms binary").groupBy().applyInArrow(_fit_table(len(vocabulary)), "model binary").collect()
+    fitted = known.mapInArrow(_numbered(vocabulary), "id bigint, y int, terms binary").groupBy().applyInArrow(_fit_table(len(vocabulary), settings), "model binary").collect()
     if not fitted:
         return vocabulary[:0], np.array([-5.0]), np.zeros(0), np.zeros((0, FACTORS))
     x, m = np.frombuffer(fitted[0]["model"]), len(vocabulary)
     return vocabulary, x[:1], x[1 : 1 + m], x[1 + m :].reshape(m, FACTORS)
 
 
-def held_out(doc_id):
-    """Whether crc32 of the id as text is divisible by 5: rows that are never learned from. Null ids: no."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+def fold(doc_id: Column) -> Column:
+    """crc32 of the id as text, by the remainder of FOLDS; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether an id is in the fold that is never learned from. Null ids: no."""
+    return F.coalesce(fold(doc_id) == HELD_OUT, F.lit(False))
 
 
 def _scorer(model):
@@ -197,6 +215,24 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return train(texts, own_columns(labels, {"id": id_col, "y": label_col}).withColumn("id", F.col("id").cast("bigint")), train_rows)
 
 
+def validate(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), on: int = INNER, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> dict[str, float]:
+    """How a model does on the labelled rows of one fold, after learning from the others but that and HELD_OUT: rows, right, found (of toxic rows), wrongly (clean rows taken for toxic) and log_loss.
+
+    Settings are to be compared on INNER, which the contract of a held-out fold
+    allows; HELD_OUT gives the figures of the settings that were chosen. Rows
+    without a label, an id or a text don't count; with none, all figures are 0.
+    """
+    texts = own_columns(docs, {"id": id_col, "text": text_col}).withColumn("id", F.col("id").cast("bigint"))
+    y = own_columns(labels, {"id": id_col, "y": label_col}).withColumn("id", F.col("id").cast("bigint"))
+    score = _scorer(train(texts, y, train_rows, settings, (HELD_OUT, on)))
+    known = y.where("y IS NOT NULL").where(fold(F.col("id")) == on).groupBy("id").agg(F.max("y").cast("int").alias("y"))
+    scored = texts.where("text IS NOT NULL").join(known, "id").select("y", score("text").alias("score"))
+    clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.when(F.col("y") == 1, F.col("score")).otherwise(1 - F.col("score"))))
+    said, one = F.col("score") >= 0.5, F.col("y") == 1
+    share = lambda part, whole: F.coalesce(F.avg(F.when(whole, part.cast("double"))), F.lit(0.0))
+    return scored.agg(F.count("*").alias("rows"), share(said == one, F.lit(True)).alias("right"), share(said, one).alias("found"), share(said, ~one).alias("wrongly"), F.coalesce(F.avg(-F.log(clipped)), F.lit(0.0)).alias("log_loss")).first().asDict()
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs without the rows that toxicity() predicts 1 for; all columns stay, and nothing is shuffled but for training.
 
