@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+    return urls.filter_urls(pages, [*urls.HOST_RULES, *urls.read_rules()]).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

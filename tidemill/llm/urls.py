@@ -10,10 +10,12 @@ where an exception beats a block, and what no rule fits is allowed.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,36 +65,39 @@ HOST_RULES = (
     Rule("block", "net/es/", True),
     Rule("block", "net/fr/", True),
 )
-#: Words that, as a label of a host or a folder of a path, mark what is seldom worth training on.
-ADULT = ("adult", "adults", "porn", "porno", "xxx", "sex", "escort", "escorts", "nude", "nudes", "webcam", "camgirls", "erotic", "hentai", "fetish")
-GAMBLING = ("casino", "casinos", "bet", "bets", "betting", "poker", "slots", "slot", "lottery", "jackpot", "roulette", "bingo", "bookmaker")
-TRACKING = ("ads", "ad", "adserver", "adservice", "adclick", "banner", "banners", "track", "tracker", "tracking", "pixel", "beacon", "affiliate", "popunder", "doubleclick", "clickbait", "sponsored")
-FRAUD = ("malware", "phishing", "spam", "warez", "crack", "cracks", "keygen", "torrent", "torrents", "payday", "replica", "pills", "viagra")
-SERVICE = ("login", "logout", "signin", "signup", "register", "checkout", "cart", "basket", "account", "password", "unsubscribe", "captcha", "cgi-bin", "wp-admin", "wp-login.php", "wp-json", "xmlrpc.php")
-#: Endings of files that hold no text.
-FILES = ("exe", "msi", "dmg", "apk", "iso", "zip", "rar", "7z", "gz", "tar", "mp3", "mp4", "avi", "mkv", "jpg", "jpeg", "png", "gif", "svg", "ico", "css", "js", "woff")
-#: Folders under which such words are subjects, not what the page is.
-SUBJECTS = ("wiki", "docs", "health", "news", "dictionary")
-
-
-def word_rules(words: Sequence[str]) -> list[Rule]:
-    """Blocks for a word as a label of a host, as a part of one between dashes, and as a folder of the path."""
-    forms = ("||{}.", "||{}-", "-{}.", "-{}-", "/{}/", "/{}^")
-    return [Rule("block", form.format(word)) for word in words for form in forms]
-
-
-#: For urls that no host rule fits.
-PATTERN_RULES = (
-    *word_rules((*ADULT, *GAMBLING, *TRACKING, *FRAUD)),
-    *(Rule("block", f"/{word}^") for word in SERVICE),
-    *(Rule("block", f".{ending}^") for ending in FILES),
-    *(Rule("allow", f"/{folder}/*/{word}^") for folder in SUBJECTS for word in (*ADULT, *GAMBLING, *FRAUD)),
-    *(Rule("allow", f"/docs/{word}^") for word in SERVICE),
-)
+#: The query's list of pattern rules, a file that may be replaced by another.
+RULE_FILE = os.path.join(os.path.dirname(__file__), "url_rules.txt")
+
+
+def parse_rules(text: str) -> list[Rule]:
+    """Pattern rules of a list: lines of ``block pattern``, ``allow pattern`` or ``words name word ...``.
+
+    ``{name}`` in a pattern makes a rule for each word of that list, ``{one|two}``
+    for those of both. Empty lines and those that begin with # say nothing, and a
+    rule that repeats counts once. Other lines, and lists that aren't known, are errors.
+    """
+    words, rules = {}, {}
+    for line in map(str.strip, text.splitlines()):
+        kind, _, rest = line.partition(" ")
+        if kind == "words":
+            name, *words[name] = rest.split()
+        elif kind in ("block", "allow") and rest.strip():
+            parts = re.split(r"\{([^{}]+)\}", rest.strip())
+            choices = [[w for name in x.split("|") for w in words[name]] if k % 2 else [x] for k, x in enumerate(parts)]
+            rules.update(dict.fromkeys(Rule(kind, "".join(x)) for x in product(*choices)))
+        elif line and not line.startswith("#"):
+            raise ValueError(f"no rule: {line}")
+    return list(rules)
+
+
+def read_rules(path: str = RULE_FILE) -> list[Rule]:
+    """Pattern rules of a list file, read by the driver."""
+    with open(path, encoding="utf-8") as f:
+        return parse_rules(f.read())
 
 
 def rules_from(table: DataFrame, action: str = "action", pattern: str = "pattern", is_host: str | None = "is_host") -> list[Rule]:
-    """Rules from a table with a row for each. Rows with a null or empty pattern, or an action other than allow and block, are passed over; a null is_host is false. The list goes through the driver, as rules do anyway."""
+    """Rules from a table with a row for each; rows that repeat count once, other columns aren't read, and an empty table has no rules. Rows with a null or empty pattern, or an action other than allow and block, are passed over; a null is_host is false. The list goes through the driver, as rules do anyway."""
     own = own_columns(table, {"action": action, "pattern": pattern, **({"is_host": is_host} if is_host else {})}).where("pattern <> '' AND action IN ('allow', 'block')")
     flag = F.coalesce(F.col("is_host"), F.lit(False)) if is_host else F.lit(False)
     return [Rule(r["action"], r["pattern"], r["host"]) for r in own.select("action", "pattern", flag.alias("host")).distinct().orderBy("action", "pattern", "host").collect()]
@@ -127,11 +132,15 @@ class RuleIndex:
             regex = self.compiled[rule] = re.compile(rule.regex, re.DOTALL)
         return regex.search(text) is not None
 
-    def fitting(self, text: str) -> list[Rule]:
+    def candidates(self, text: str) -> list[Rule]:
+        """The rules that are to be tried on a url."""
         tried = list(self.rest)
         for token in set(TOKEN.findall(text.translate(_UPPER))):
             tried += self.filed.get(token, ())
-        return [rule for rule in tried if self._fits(rule, text)]
+        return tried
+
+    def fitting(self, text: str) -> list[Rule]:
+        return [rule for rule in self.candidates(text) if self._fits(rule, text)]
 
 
 #: The index that this worker process has built last, by the number of its broadcast: tasks and batches share it.
@@ -185,7 +194,7 @@ def token_counts(texts: DataFrame, tokens: set[str]) -> dict[str, int]:
     return {r["token"]: r["n"] for r in each.join(wanted, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = (*HOST_RULES, *PATTERN_RULES), url_col: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] = HOST_RULES, url_col: str = "url", default: str = "allow") -> DataFrame:
     """pages with four more columns: host, path, rule (of the host rule that decided, else null) and verdict (allow or block).
 
     Any of these that pages has already is replaced. Urls that are null, empty or
@@ -220,8 +229,9 @@ def _sql_like(rule: Rule) -> str:
     return "'" + rule.regex.replace("'", "''") + "'"
 
 
-def sql(table: str = "pages", host_rules: Sequence[Rule] = HOST_RULES, patterns: Sequence[Rule] = PATTERN_RULES, default: str = "allow") -> str:
-    """The query in DuckDB's SQL: every rule is tried on every url."""
+def sql(table: str = "pages", host_rules: Sequence[Rule] = HOST_RULES, patterns: Sequence[Rule] | None = None, default: str = "allow") -> str:
+    """The query in DuckDB's SQL: every rule is tried on every url; patterns are those of the list file unless others are given."""
+    patterns = read_rules() if patterns is None else patterns
     ranked = sorted(host_rules, key=lambda r: -len(r.pattern))
     rule = "CASE " + " ".join(f"WHEN regexp_matches(host || path, {_sql_like(r)}, 's') THEN '{r.pattern}'" for r in ranked) + " END"
     action = "CASE rule " + " ".join(f"WHEN '{r.pattern}' THEN '{r.action}'" for r in ranked) + " END"
