@@ -1,5 +1,8 @@
 import datetime as dt
+import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from tidemill import operators as op
 from tidemill import streaming
@@ -61,8 +64,6 @@ def test_customers_without_orders_where_there_are_some(spark, tmp_path):
 
 
 def test_streams_need_a_shared_folder_off_local_masters(spark):
-    import pytest
-
     class Session:
         class sparkContext:
             master = "spark://host:7077"
@@ -73,3 +74,96 @@ def test_streams_need_a_shared_folder_off_local_masters(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         streaming.shared_folder(Session)
+
+
+def test_running_totals_in_falling_order_and_beside_any_column(spark):
+    rows = [(k, t, i, v, 5) for i, (k, t, v) in enumerate((k, t, v) for k in ("a", None) for t in (None, 1, 5, 11, 12, 29) for v in (1, None, 7))]
+    df = spark.createDataFrame(rows, "_range string, _value int, id int, _before int, running int").repartition(5)
+    for order, more in (([F.desc_nulls_last("_value"), F.asc("id")], {"falling": True}), ([F.asc_nulls_first("_value"), F.asc("id")], {})):
+        whole = op.running_total(df, ["_range"], order, F.col("_before"), "sum")
+        cut = op.running_total(df, ["_range"], order, F.col("_before"), "sum", ranges=F.floor(F.col("_value") / 10), **more)
+        assert cut.columns == whole.columns == [*df.columns, "sum"] and sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
+    assert op.running_total(df, ["_range"], [F.asc("_value"), F.asc("id")], F.col("_before"), ranges=F.col("_value")).columns == df.columns
+
+
+def last_before(left, right):
+    """What as_of_join gives, by looking through all rows."""
+    out = []
+    for k, t, i in left:
+        found = [r for r in right if None not in (k, t, i, *r[:3]) and r[0] == k and (r[1], r[2]) <= (t, i)]
+        out.append((k, t, i, max(found, key=lambda r: r[1:3])[3] if found else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("width", (1, 7, 1000))
+def test_as_of_join_takes_the_last_row_before(spark, width):
+    rng = random.Random(width)
+    side = lambda n, first: [(rng.choice(("a", "a", "a", "b", "c", None)), rng.choice((None, *range(40))), first + i) for i in range(n)]
+    left, right = side(150, 0) + [("a", 5, 3)] * 2, [(*r, f"v{r[2]}") for r in side(60, 50)]
+    one = spark.createDataFrame(left, "k string, t int, side int").repartition(3)
+    two = spark.createDataFrame(right, "key string, t int, id int, v string").repartition(4)
+    found = op.as_of_join(one, two, [("k", "key")], ["t", "side"], ["t", "id"], {"v": "last"}, lambda t: F.floor(t / width))
+    assert found.columns == ["k", "t", "side", "last"] and sorted(map(tuple, found.collect()), key=repr) == last_before(left, right)
+
+
+def test_as_of_join_of_empty_tables(spark):
+    one = spark.createDataFrame([(1, 2)], "k int, t int")
+    two = spark.createDataFrame([], "k int, t int, v int")
+    join = lambda a, b: op.as_of_join(a, b, [("k", "k")], ["t"], ["t"], {"v": "v"}, lambda t: t).collect()
+    assert [tuple(r) for r in join(one, two)] == [(1, 2, None)] and join(one.where("false"), two) == []
+
+
+def test_as_of_join_splits_a_hot_key_by_its_ranges(spark):
+    """One key has all rows; no window partition has more than a range of them, and nothing is joined by key alone."""
+    one = spark.range(4_000).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+    found = op.as_of_join(one, one.where("t % 3 = 0"), [("k", "k")], ["t"], ["t"], {"t": "last"}, lambda t: F.floor(t / 100))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and plan.count("Window [last(") == 2
+    assert {r.t: r.last for r in found.collect()} == {t: t - t % 3 for t in range(4_000)}
+
+
+@pytest.mark.parametrize("width", (1, 3, 50))
+def test_interval_join_makes_each_pair_once(spark, width):
+    rng = random.Random(width)
+    spans = lambda n: [(rng.choice((None, *range(-20, 60))), rng.choice((None, 0, 0, 1, 5, 30, -2)), rng.choice("xy"), i) for i in range(n)]
+    left, right = ([(a, None if None in (a, d) else a + d, k, i) for a, d, k, i in spans(n)] for n in (60, 80))
+    left += left[:2]
+    one = spark.createDataFrame(left, "a int, b int, k string, i int")
+    two = spark.createDataFrame(right, "c int, d int, l string, j int")
+    for by in ([], [("k", "l")]):
+        found = op.interval_join(one, two, (F.col("a"), F.col("b")), (F.col("c"), F.col("d")), width, by).select("i", "j").collect()
+        meet = lambda x, y: None not in (x[0], x[1], y[0], y[1]) and x[0] <= x[1] and y[0] <= y[1] and x[0] <= y[1] and y[0] <= x[1] and (not by or x[2] == y[2])  # noqa: E731, B023
+        assert sorted(map(tuple, found)) == sorted((x[3], y[3]) for x in left for y in right if meet(x, y))
+
+
+def test_interval_join_of_large_numbers_and_empty_tables(spark):
+    big = 2**60
+    one = spark.createDataFrame([(big + 1, big + 3)], "a long, b long")
+    two = spark.createDataFrame([(big + 3, big + 9), (big + 4, big + 9)], "c long, d long")
+    join = lambda x, y: op.interval_join(x, y, (F.col("a"), F.col("b")), (F.col("c"), F.col("d")), 2)
+    assert [tuple(r) for r in join(one, two).collect()] == [(big + 1, big + 3, big + 3, big + 9)]
+    assert join(one.where("false"), two).count() == join(one, two.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("share", "few", "buckets"), [(0.5, 3, 4), (0.01, 1, 3), (1.0, 10, 16), (0.9, 10_000, 1_024)])
+def test_exact_quantiles_are_those_of_sorted_values(spark, share, few, buckets):
+    rng = random.Random(5)
+    inf = math.inf
+    groups = {
+        "even": [float(k) for k in range(400)], "skewed": [math.exp(rng.gauss(0, 20)) for _ in range(300)], "equal": [2.5] * 200, "two": [1.0] * 99 + [1.0000000000000002] * 101,
+        "tiny": [5e-324, 0.0, 1e-323, -5e-324] * 5, "huge": [-1.7e308, 1.7e308, 0.0, 3.0] * 4, "endless": [-inf, inf, 1.0, 2.0, 3.0, 4.0] * 3, "one": [7.0], None: [3.0, None, 1.0, float("nan"), 2.0],
+    }
+    rows = [(k, v, i) for k, values in groups.items() for i, v in enumerate(values)] + [("nulls", None, 0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "n string, v double, low int").repartition(4)
+    found = {r.n: (r.rows, r.q) for r in op.exact_quantile(df, ["n"], "v", share, "q", buckets, few).collect()}
+    usable = {k: sorted(v for v in values if v is not None and v == v) for k, values in groups.items()}
+    assert found == {k: (len(v), v[max(1, math.ceil(len(v) * share)) - 1]) for k, v in usable.items()}
+
+
+def test_exact_quantiles_of_all_rows_and_of_none(spark):
+    df = spark.range(1, 1002).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("k"))
+    assert [tuple(r) for r in op.exact_quantile(df, [], "v", 0.5, few=10, buckets=8).collect()] == [(1001, 501.0)]
+    assert op.exact_quantile(df.where("false"), ["k"], "v", 0.5).count() == 0
+    with pytest.raises(ValueError, match="share"):
+        op.exact_quantile(df, ["k"], "v", 0.0)

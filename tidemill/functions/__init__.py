@@ -14,7 +14,12 @@ def exact(column: Column | str, scale: int = 4) -> Column:
 
 
 def ten_thousandths(column: str) -> Column:
-    """A double as a whole number of ten-thousandths: what exact() holds, without making a decimal of each value."""
+    """A double as a whole number of ten-thousandths, without making a decimal of each value.
+
+    It is what exact() holds for values of up to four decimals, as prices are. Of
+    longer ones exact() rounds halves up in the value's decimal form, this rounds
+    its product with 10,000 to the nearest whole number, halves to even.
+    """
     return F.rint(F.col(column) * 10_000).cast("bigint")
 
 

@@ -15,6 +15,9 @@ from tidemill.sources import read_table, stream_table, with_event_time
 _SQL_REVENUE = "sum(l_extendedprice::DECIMAL(18,4) * (1::DECIMAL(5,0) - l_discount::DECIMAL(6,4)))::DOUBLE"
 _STAR = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
+_SQL_SESSIONS = """WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)"""
+
 
 def star(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with the number and the revenue of their lines, customer, nation and region.
@@ -101,12 +104,57 @@ def stream_hourly_events(spark: SparkSession, folder: str) -> DataFrame:
     return streaming.run_to_table(counts.select(clock(F.col("w.start")).alias("hour"), "event_type", "n"), spark)
 
 
+def purchase_last_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Each purchase with its user's last view before it."""
+    events = read_table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
+    bought, seen = (events.where(F.col("event_type") == kind).drop("event_type") for kind in ("purchase", "view"))
+    at = ["ts", "event_id"]
+    found = op.as_of_join(bought, seen, [("user_id", "user_id")], at, at, {"event_id": "view_id", "ts": "view_ts"}, F.to_date)
+    return found.select("event_id", "user_id", clock(F.col("ts")).alias("at"), "view_id", clock(F.col("view_ts")).alias("view_at"))
+
+
+def order_last_urgent(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order that isn't urgent with its customer's last urgent order before it."""
+    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    at = ["o_orderdate", "o_orderkey"]
+    found = op.as_of_join(orders.where(~urgent), orders.where(urgent), [("o_custkey", "o_custkey")], at, at, {"o_orderkey": "urgent_orderkey", "o_totalprice": "urgent_totalprice"}, F.year)
+    return found.select("o_orderkey", "o_custkey", "urgent_orderkey", "urgent_totalprice")
+
+
+def errors_during_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """How many errors of any user fell into each session, for sessions with some."""
+    events = with_event_time(read_table(spark, folder, "events"))
+    sessions = op.sessions(events, ["user_id"], "ts", "30 minutes", [F.min("ts").alias("first"), F.max("ts").alias("last")]).select("user_id", "first", "last")
+    errors = events.where("event_type = 'error'").select(F.unix_micros("ts").alias("at"))
+    spans = (F.unix_micros("first"), F.unix_micros("last"))
+    pairs = op.interval_join(sessions, errors, spans, (F.col("at"), F.col("at")), 3_600_000_000)
+    return pairs.groupBy("user_id", "first").agg(F.count("*").alias("errors")).select("user_id", clock(F.col("first")).alias("first"), "errors")
+
+
+def overlapping_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """By customer, pairs of orders that were open on the same day, from ordering to the last shipment, and the days they share."""
+    line, orders = read_table(spark, folder, "lineitem"), read_table(spark, folder, "orders")
+    shipped = line.groupBy("l_orderkey").agg(F.max(F.to_date("l_shipdate")).alias("shipped"))
+    day = lambda c: F.unix_date(F.to_date(c)).cast("bigint")
+    spans = orders.join(shipped, orders.o_orderkey == shipped.l_orderkey).select("o_custkey", "o_orderkey", day("o_orderdate").alias("ordered"), day("shipped").alias("shipped"))
+    other = spans.select(*[F.col(c).alias(f"other_{c}") for c in spans.columns])
+    pairs = op.interval_join(spans, other, (F.col("ordered"), F.col("shipped")), (F.col("other_ordered"), F.col("other_shipped")), 366, [("o_custkey", "other_o_custkey")]).where("o_orderkey < other_o_orderkey")
+    days = F.least("shipped", "other_shipped") - F.greatest("ordered", "other_ordered") + 1
+    return pairs.groupBy("o_custkey").agg(F.count("*").alias("pairs"), F.sum(days).alias("days"))
+
+
+def median_line_price(spark: SparkSession, folder: str) -> DataFrame:
+    return op.exact_quantile(read_table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.5, "median")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         region_year_revenue, customers_without_orders, orders_without_lines, customers_with_urgent_orders,
         customers_without_urgent_orders, revenue_rollup, flag_cube,
         top_orders, running_value, event_properties, hourly_events, user_sessions, stream_hourly_events,
+        purchase_last_view, order_last_urgent, errors_during_sessions, overlapping_orders, median_line_price,
     )
 }
 
@@ -122,11 +170,29 @@ ORACLE_SQL: dict[str, str] = {
     "running_value": "SELECT event_id, user_id, (sum(value::DECIMAL(18,4)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS running FROM events",
     "event_properties": "SELECT event_type, count(*) AS events, sum((props->>'$.k')::BIGINT)::BIGINT AS sum_k, max((props->>'$.k')::BIGINT) AS max_k FROM events GROUP BY 1",
     "hourly_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "user_sessions": """
-WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)
+    "user_sessions": f"""
+{_SQL_SESSIONS}
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS events FROM numbered GROUP BY user_id, k""",
     "stream_hourly_events": """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events
 WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""",
+    "purchase_last_view": """
+WITH e AS (SELECT *, CASE WHEN event_type = 'view' THEN event_id END AS view, CASE WHEN event_type = 'view' THEN ts END AS seen FROM events),
+f AS (SELECT *, last_value(view IGNORE NULLS) OVER w AS view_id, last_value(seen IGNORE NULLS) OVER w AS view_ts FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, view_id, strftime(view_ts, '%Y-%m-%d %H:%M:%S') AS view_at FROM f WHERE event_type = 'purchase'""",
+    "order_last_urgent": """
+WITH e AS (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END AS urgent, CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END AS price FROM orders),
+f AS (SELECT *, last_value(urgent IGNORE NULLS) OVER w AS urgent_orderkey, last_value(price IGNORE NULLS) OVER w AS urgent_totalprice FROM e WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))
+SELECT o_orderkey, o_custkey, urgent_orderkey, urgent_totalprice FROM f WHERE o_orderpriority <> '1-URGENT'""",
+    "errors_during_sessions": f"""
+{_SQL_SESSIONS},
+spans AS (SELECT user_id, min(ts) AS first, max(ts) AS last FROM numbered GROUP BY user_id, k)
+SELECT s.user_id, strftime(first, '%Y-%m-%d %H:%M:%S') AS first, count(*) AS errors FROM spans s JOIN events e ON e.ts BETWEEN first AND last WHERE event_type = 'error' GROUP BY s.user_id, s.first""",
+    "overlapping_orders": """
+WITH s AS (SELECT o_custkey, o_orderkey, any_value(o_orderdate)::DATE AS a, max(l_shipdate)::DATE AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2 HAVING a <= b)
+SELECT x.o_custkey, count(*) AS pairs, sum(date_diff('day', greatest(x.a, y.a), least(x.b, y.b)) + 1)::BIGINT AS days
+FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a <= y.b AND y.a <= x.b GROUP BY 1""",
+    "median_line_price": """
+WITH r AS (SELECT l_returnflag, l_linestatus, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) AS k, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS rows FROM lineitem)
+SELECT l_returnflag, l_linestatus, rows, l_extendedprice AS median FROM r WHERE k = (rows + 1) // 2""",
 }

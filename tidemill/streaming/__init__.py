@@ -17,6 +17,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found or tempfile.mkdtemp(prefix="tidemill-")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder: later steps neither repeat the work nor depend on the executors that did it."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
+
+
 def windowed_counts(events: DataFrame, by: str, time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows by window and key. On a stream, rows later than ``late`` behind the newest are left out, and state goes with the watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), by).agg(F.count("*").alias("n"))
