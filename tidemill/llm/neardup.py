@@ -284,14 +284,12 @@ def _stray_links(given: DataFrame, rows: DataFrame, key: str, place: Column, per
     return once.groupBy(key, "i", "j").applyInArrow(_link_strays(percent), LINKS)
 
 
-def _list_sizes(rows: DataFrame, block: int, shingles: int | None = None) -> DataFrame:
-    """Of each list with a stray: how many rows, and blocks of them and of its strays."""
-    of = lambda what, each: F.ceil(F.sum(what) / each)
+def _list_sizes(rows: DataFrame, block: int, shingles: int) -> DataFrame:
+    """Of each list with a stray and others: its group, blocks of its rows and of its strays, and how often its rows are dealt."""
     stray = F.when(F.col("stray"), 1).otherwise(0)
-    n = F.when(F.col("stray"), F.col("n")).otherwise(0)
-    blocks = lambda one, size: (F.greatest(of(one, block), of(size, shingles)) if shingles else of(one, block)).cast("int")
-    sizes = rows.groupBy("v").agg(F.count("*").alias("m"), F.sum(stray).alias("s"), blocks(F.lit(1), F.col("n")).alias("blocks"), F.greatest(F.lit(1), blocks(stray, n)).alias("stray_blocks"))
-    return sizes.where("s > 0 AND m > 1")
+    blocks = lambda one, n: F.greatest(F.lit(1), F.ceil(F.sum(one) / block), F.ceil(F.sum(n) / shingles)).cast("int")
+    sizes = rows.groupBy("part", "v").agg(F.count("*").alias("m"), F.sum(stray).alias("s"), blocks(F.lit(1), F.col("n")).alias("blocks"), blocks(stray, F.col("n") * stray).alias("stray_blocks"))
+    return sizes.where("s > 0 AND m > 1").select("part", "v", "blocks", "stray_blocks", (F.col("m") * F.col("stray_blocks") + F.col("s") * (F.col("blocks") - 1)).alias("dealt"))
 
 
 def _fewer_by_list(by_block: DataFrame, by_list: DataFrame) -> DataFrame:
@@ -301,34 +299,33 @@ def _fewer_by_list(by_block: DataFrame, by_list: DataFrame) -> DataFrame:
 
 def _links_of_strays(given: DataFrame, apart: DataFrame, prefixes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links of strays with documents of other blocks, by blocks or by lists, whichever takes fewer rows in each group."""
-    here = F.col("block")
-    each = apart.join(prefixes, "node").select(*[c for c in apart.columns if c not in ("blocks", "stray_blocks")], F.posexplode("prefix").alias("at", "v"), "prefix")
-    each = settled(each.select("*", F.slice("prefix", 1, F.col("at")).alias("earlier")).drop("prefix", "at"))
-    sizes = settled(_list_sizes(each, LIST_BLOCK))
-    by_list = each.join(sizes, "v").groupBy("part").agg(F.sum(F.col("stray_blocks") + F.when(F.col("stray"), F.col("blocks") - 1).otherwise(0)).alias("by_list"))
+    own = [c for c in apart.columns if c not in ("blocks", "stray_blocks")]
+    each = apart.join(prefixes, "node").select(*own, F.posexplode("prefix").alias("at", "v"), F.slice("prefix", 1, F.col("at")).alias("earlier"))
+    sizes = settled(_list_sizes(each, LIST_BLOCK, LIST_BLOCK * BLOCK_SHINGLES))  # sketches are of one size
     by_block = apart.groupBy("part").agg(F.sum(F.col("stray_blocks") + F.when(F.col("stray"), F.col("blocks") - 1).otherwise(0)).alias("by_block"))
-    fewer = settled(_fewer_by_list(by_block, by_list))
+    fewer = settled(_fewer_by_list(by_block, sizes.groupBy("part").agg(F.sum("dealt").alias("by_list"))))
     if fewer.isEmpty():
-        return _stray_links(given, apart, "part", here, percent)
+        return _stray_links(given, apart, "part", F.col("block"), percent)
     fewer = small(fewer, BROADCAST_ROWS)
-    links = _stray_links(given, apart.join(fewer, "part", "left_anti"), "part", here, percent)
+    links = _stray_links(given, apart.join(fewer, "part", "left_anti"), "part", F.col("block"), percent)
 
-    lists = each.join(fewer, "part", "left_semi").join(sizes.drop("m", "s"), "v")
-    dealt = _dealt(lists, "v", F.pmod(F.xxhash64("node"), F.col("blocks")), "earlier")
-    sketched = dealt.join(classes.select("node", "n", "sketch"), "node")
+    in_list = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    lists = each.join(fewer, "part", "left_semi").join(sizes.drop("dealt"), ["part", "v"])
+    sketched = _dealt(lists, "v", in_list, "earlier").join(classes.select("node", "n", "sketch"), "node")
     promising = settled(sketched.repartition("v", "i", "j").groupBy("v", "i", "j").applyInArrow(_promising(percent), "node bigint, v bigint").distinct())
     rows = each.join(promising, ["node", "v"], "left_semi").drop("earlier")
-    rows = settled(rows.join(_list_sizes(rows, BLOCK, BLOCK_SHINGLES).drop("m", "s"), "v"))
-    return links.union(_stray_links(given, rows, "v", F.pmod(F.xxhash64("node"), F.col("blocks")), percent))
+    rows = settled(rows.join(_list_sizes(rows, BLOCK, BLOCK_SHINGLES).drop("dealt"), ["part", "v"]))
+    return links.union(_stray_links(given, rows, "v", in_list, percent))
 
 
-def _of_one_id(member: DataFrame) -> DataFrame | None:
-    """Links between the texts that share an id: each with the id's first; None if no id has several."""
-    nodes = member.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    several = settled(nodes.where("a < b").select("id", "a"))
+def _of_one_id(usable: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the texts that share an id: each with the id's least; None if no id has several."""
+    several = settled(usable.groupBy("id").agg(F.min("print").alias("least"), F.max("print").alias("print")).where("least < print").select("id", "least"))
     if several.isEmpty():
         return None
-    return member.join(small(several, BROADCAST_ROWS), "id").select("a", F.col("node").alias("b")).distinct()
+    node = classes.select("print", "node")
+    pairs = usable.select("id", "print").join(small(several, BROADCAST_ROWS), "id").where("print > least").select("print", "least").distinct()
+    return pairs.join(node, "print").join(node.select(F.col("print").alias("least"), F.col("node").alias("other")), "least").select(F.col("other").alias("a"), F.col("node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -369,10 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     apart = settled(_largest_apart(members, roots))
     more = [] if apart.isEmpty() else [settled(_links_of_strays(given, apart, prefixes, classes, percent))]
-    # classes are a table of their own here, so that AQE can split the copies of one text
-    member = sketched.select("id", "n", "print").join(classes.select("print", F.col("node").alias("class"), "rep"), "print", "left")
-    member = settled(member.select("id", "n", "rep", F.when(F.col("id").isNotNull(), F.col("class")).alias("node")))
-    if (of_one_id := _of_one_id(member)) is not None:
+    if (of_one_id := _of_one_id(usable, classes)) is not None:
         more.append(of_one_id)
     for some in more:
         links = links.union(some)
@@ -380,8 +374,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links)
 
     named = roots.withColumnRenamed("id", "node").join(classes.select("node", "rep"), "node")
-    smallest = settled(named.groupBy("root").agg(F.min("rep").alias("component")))
-    named = named.join(smallest, "root").select("node", "component")
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
+    # classes are a table of their own here, so that AQE can split the copies of one text
+    member = sketched.select("id", "n", "print").join(classes.select("print", F.col("node").alias("class"), "rep"), "print", "left")
+    member = member.select("id", "n", "rep", F.when(F.col("id").isNotNull(), F.col("class")).alias("node"))
     out = member.join(named, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
