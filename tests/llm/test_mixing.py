@@ -33,6 +33,21 @@ def test_targets_stop_at_three_times_and_reshare():
     assert source_targets({"a": 0, "b": 10}) == {"a": 0.0, "b": 10.0}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.one_of(st.none(), st.sampled_from("abcdefgh")), st.integers(0, 10_000), max_size=9))
+def test_targets_are_those_of_one_water_level(sizes):
+    """Each source gets its weight times one level, or three times its size if that is less; the level is found by halving."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = dict(zip(order, itertools.cycle((5, 2, 1))))  # noqa: B905
+    level = lambda x: {s: min(3.0 * sizes[s], weight[s] * x) for s in sizes}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(level(middle).values()) < sum(sizes.values()) else (low, middle)
+    expected, found = level(high), source_targets(sizes)
+    assert found.keys() == expected.keys() and all(abs(found[s] - expected[s]) < 1e-6 * max(1, expected[s]) for s in sizes)
+
+
 def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     found = mix_sources(odd_docs).collect()
     assert len(found) == 13

@@ -76,6 +76,60 @@ def test_tokens_need_a_header_that_names_an_algorithm():
     assert not secrets.find(f"{code({'typ': 'JWT'})}.{code({'sub': 1})}.c2lnbmF0dXJl") and not secrets.find("eyJabc.eyJdef.xyz")
 
 
+def elements(data):
+    """The DER elements that fill the bytes, by cutting one after the other off the front; None if they don't."""
+    out = []
+    while data:
+        if len(data) < 2:
+            return None
+        tag, n, rest = data[0], data[1], data[2:]
+        if n > 127:
+            n, size = 0, n - 128
+            if not 1 <= size <= 4 or len(rest) < size:
+                return None
+            for byte in rest[:size]:
+                n = n * 256 + byte
+            rest = rest[size:]
+        if len(rest) < n:
+            return None
+        out.append((tag, rest[:n]))
+        data = rest[n:]
+    return out
+
+
+def plain_kind(data):
+    outer = elements(data)
+    if outer is None or len(outer) != 1 or outer[0][0] != 0x30 or len(data) < 16:
+        return None
+    inner = elements(outer[0][1])
+    if not inner or inner[0][0] != 2 or len(inner[0][1]) != 1:
+        return None
+    tags = bytes(t for t, _ in inner)
+    if tags[:9] == b"\x02" * 9:
+        return "rsa"
+    if tags[1:3] == b"\x30\x04":
+        return "pkcs8"
+    if tags[1:2] == b"\x04" and inner[0][1] == b"\x01":
+        return "ec"
+    return "dsa" if tags == b"\x02" * 6 else None
+
+
+DSA = der(number(0), *[number(2**400 + i, 60) for i in range(5)])
+KEYS = [RSA, EC, PKCS8, DSA, RSA[:-1], EC + b"x", b"\x31" + PKCS8[1:], der(number(1, 2), der(b"k" * 32, tag=4)), der(der(b"k" * 40, tag=4)), b"noise that is no key at all, of some length"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(KEYS), st.sampled_from(("base64", "url", "hex", "HEX")), st.sampled_from((" ", "\n", ", ", "é", '"'))), max_size=5))
+def test_encoded_keys_are_those_of_a_plain_decoder(parts):
+    text, expected = "", []
+    for key, code, gap in parts:
+        run = {"base64": base64.b64encode(key).decode(), "url": base64.urlsafe_b64encode(key).decode(), "hex": key.hex(), "HEX": key.hex().upper()}[code]
+        if kind := plain_kind(key):
+            expected.append(("key", len(text), len(text) + len(run), kind))
+        text += run + gap
+    assert [s for s in secrets.find(text) if s[0] == "key"] == expected
+
+
 def test_repetitive_texts_take_linear_time():
     import time
 

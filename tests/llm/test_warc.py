@@ -69,3 +69,14 @@ def test_query_matches_its_sql(spark, data):
 
     expected, found = database(data).sql(ORACLE_SQL["op8_warc"]), op8_warc(spark, data)
     assert rows(found.columns, found.collect()) == rows(expected.columns, expected.fetchall())
+
+
+def test_a_page_of_many_megabytes_passes_in_chunks(spark, tmp_path):
+    large = "é<p>" * 4_000_000
+    df = spark.createDataFrame([(1, "u", large), (2, "u", "x")], "page_id long, url string, html string")
+    warc.write_archive(df, str(tmp_path / "archive"))
+    data = large.encode()
+    found = {r.page_id: tuple(r)[1:] for r in warc.read_archive(spark, str(tmp_path / "archive")).collect()}
+    assert found[1] == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response", None) and found[2][0] == 1
+    chunks = spark.read.parquet(str(tmp_path / "archive")).where("record IS NOT NULL").agg(F.count("*"), F.max(F.length("data"))).first()
+    assert chunks[0] > len(data) / (1 << 14) and chunks[1] < (1 << 14) + 1_000

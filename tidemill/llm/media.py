@@ -130,7 +130,8 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
 
     Values that are null, empty or not baseline JPEG get null features and say
     why in error. Equal values have equal features; repeated rows and null ids
-    stay. Other columns are not read; an empty table gives an empty result.
+    stay. Images of any size that baseline JPEG allows are decoded whole, 2,048 restart intervals at a
+    time. Other columns are not read; an empty table gives an empty result.
     """
     given = own_columns(media, {"id": id_col, "media": media_col})
     kind = given.schema["id"].dataType.simpleString()

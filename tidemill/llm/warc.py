@@ -70,7 +70,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     that id are responses. Null texts are empty payloads. A null id revisits the
     others' record, and is a response if all are null. A payload's digest, which
     its header and the search for equal ones need first, is Spark's; the running
-    one of the chunks confirms it. An empty table gives an empty archive.
+    one of the chunks confirms it. A text of any length is one row of the table and so in memory as
+    Spark reads it; from there it goes on in chunks. Null urls stay null, other
+    columns aren't read, and an empty table gives an empty archive.
     """
     page = own_columns(pages, {"page": id_col, "url": url_col, "html": html_col}).withColumn("page", F.col("page").cast("bigint"))
     payload = F.coalesce("html", F.lit("")).cast("binary")
