@@ -167,3 +167,33 @@ def test_exact_quantiles_of_all_rows_and_of_none(spark):
     assert op.exact_quantile(df.where("false"), ["k"], "v", 0.5).count() == 0
     with pytest.raises(ValueError, match="share"):
         op.exact_quantile(df, ["k"], "v", 0.0)
+
+
+def test_join_in_time_on_tables_makes_each_pair_once(spark):
+    rng = random.Random(4)
+    day = dt.datetime(2024, 1, 1)
+    rows = lambda n: [(rng.choice(("a", "a", "b", None)), None if rng.random() < 0.05 else day + dt.timedelta(seconds=rng.randrange(400)), i) for i in range(n)]
+    left, right = rows(80), rows(90)
+    one, two = spark.createDataFrame(left, "k string, t timestamp, i int"), spark.createDataFrame(right, "l string, u timestamp, j int")
+    found = streaming.join_in_time(one, two, [("k", "l")], "t", "u", 60)
+    assert found.columns == ["k", "t", "i", "l", "u", "j"]
+    meet = lambda x, y: x[0] is not None and x[0] == y[0] and None not in (x[1], y[1]) and 0 <= (x[1] - y[1]).total_seconds() <= 60
+    assert sorted((r.i, r.j) for r in found.collect()) == sorted((x[2], y[2]) for x in left for y in right if meet(x, y))
+
+
+def test_join_of_streams_leaves_out_what_comes_too_late(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    at = lambda minutes: day + dt.timedelta(minutes=minutes)
+    files = (
+        [("view", at(0), 1), ("buy", at(5), 2), ("view", at(8), 3)],
+        [("buy", at(12), 4), ("view", at(70), 5), ("buy", at(70), 6)],  # 4 is late but pairs with 1, 3: its state is still there
+        [("view", at(200), 7), ("buy", at(200), 8)],
+        [("buy", at(20), 9), ("buy", at(201), 10)],  # 9 comes after the watermark has passed it
+    )
+    for rows in files:
+        spark.createDataFrame([(k, "u", t, i) for k, t, i in rows], "kind string, user string, ts timestamp_ntz, id int").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    events = with_event_time(stream_table(spark, str(tmp_path), "events", files_per_trigger=1))
+    bought = events.where("kind = 'buy'").select("user", "ts", "id")
+    seen = events.where("kind = 'view'").select(F.col("user").alias("viewer"), F.col("ts").alias("view_ts"), F.col("id").alias("view"))
+    found = streaming.run_to_table(streaming.join_in_time(bought, seen, [("user", "viewer")], "ts", "view_ts", 900).select("id", "view"), spark)
+    assert sorted((r.id, r.view) for r in found.collect()) == [(2, 1), (4, 1), (4, 3), (6, 5), (8, 7), (10, 7)]

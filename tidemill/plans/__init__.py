@@ -148,13 +148,23 @@ def median_line_price(spark: SparkSession, folder: str) -> DataFrame:
     return op.exact_quantile(read_table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.5, "median")
 
 
+def stream_views_before_purchases(spark: SparkSession, folder: str) -> DataFrame:
+    """Each purchase with each view of its user in the hour before it, from two streams."""
+    events = with_event_time(stream_table(spark, folder, "events"))
+    bought = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    seen = events.where("event_type = 'view'").select(F.col("user_id").alias("viewer"), F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    pairs = streaming.join_in_time(bought, seen, [("user_id", "viewer")], "ts", "view_ts", 3_600)
+    seconds = (F.unix_micros("ts") - F.unix_micros("view_ts")) / 1_000_000
+    return streaming.run_to_table(pairs.select("user_id", "event_id", "view_id", seconds.alias("seconds")), spark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         region_year_revenue, customers_without_orders, orders_without_lines, customers_with_urgent_orders,
         customers_without_urgent_orders, revenue_rollup, flag_cube,
         top_orders, running_value, event_properties, hourly_events, user_sessions, stream_hourly_events,
-        purchase_last_view, order_last_urgent, errors_during_sessions, overlapping_orders, median_line_price,
+        purchase_last_view, order_last_urgent, errors_during_sessions, overlapping_orders, median_line_price, stream_views_before_purchases,
     )
 }
 
@@ -195,4 +205,7 @@ FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey A
     "median_line_price": """
 WITH r AS (SELECT l_returnflag, l_linestatus, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) AS k, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS rows FROM lineitem)
 SELECT l_returnflag, l_linestatus, rows, l_extendedprice AS median FROM r WHERE k = (rows + 1) // 2""",
+    "stream_views_before_purchases": """
+SELECT p.user_id, p.event_id, v.event_id AS view_id, (epoch_us(p.ts) - epoch_us(v.ts)) / 1000000 AS seconds
+FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND v.event_type = 'view'""",
 }
