@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemill import operators as op
 from tidemill import streaming
 from tidemill.functions import clock, exact, in_units, json_number, revenue
+from tidemill.operators import partials
+from tidemill.operators.funnels import funnel
 from tidemill.sources import read_table, stream_table, with_event_time
 
 _SQL_REVENUE = "sum(l_extendedprice::DECIMAL(18,4) * (1::DECIMAL(5,0) - l_discount::DECIMAL(6,4)))::DOUBLE"
@@ -158,6 +161,37 @@ def stream_views_before_purchases(spark: SparkSession, folder: str) -> DataFrame
     return streaming.run_to_table(pairs.select("user_id", "event_id", "view_id", seconds.alias("seconds")), spark)
 
 
+def view_click_purchase(spark: SparkSession, folder: str) -> DataFrame:
+    """Each view with its user's next click, and the next purchase after that, both within a day of the view."""
+    events = read_table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
+    is_a = lambda kind: F.col("event_type") == kind
+    found = funnel(events, ["user_id"], "ts", "event_id", is_a("view"), [("click_id", is_a("click")), ("purchase_id", is_a("purchase"))], 86_400)
+    return found.select("event_id", "user_id", "click_id", "purchase_id")
+
+
+def _kept_by_day(found: DataFrame, spark: SparkSession) -> DataFrame:
+    """Partial aggregates as they come back from the table by day in which they are kept."""
+    path = f"{streaming.shared_folder(spark)}/partials-{uuid.uuid4().hex}"
+    partials.store_days(found, path, "day")
+    return partials.stored_days(spark, path, found.schema)
+
+
+def weekly_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Different users of each event type in the seven days up to each day, from bitmaps kept by day."""
+    events = read_table(spark, folder, "events").select("event_type", F.to_date("ts").alias("day"), "user_id")
+    kept = _kept_by_day(partials.distinct_partials(events, ["event_type", "day"], "user_id"), spark)
+    found = partials.count_distinct(partials.last_days(kept, "day", 7), ["event_type", "day"], "users")
+    return found.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "users")
+
+
+def weekly_value_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and 95th percentile of each event type's values in the seven days up to each day, off by 1 % at most, from counts kept by day."""
+    events = read_table(spark, folder, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    kept = _kept_by_day(partials.value_partials(events, ["event_type", "day"], "value"), spark)
+    found = partials.quantiles(partials.last_days(kept, "day", 7), ["event_type", "day"], {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "rows", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -165,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         customers_without_urgent_orders, revenue_rollup, flag_cube,
         top_orders, running_value, event_properties, hourly_events, user_sessions, stream_hourly_events,
         purchase_last_view, order_last_urgent, errors_during_sessions, overlapping_orders, median_line_price, stream_views_before_purchases,
+        view_click_purchase, weekly_users, weekly_value_quantiles,
     )
 }
 
@@ -208,4 +243,17 @@ SELECT l_returnflag, l_linestatus, rows, l_extendedprice AS median FROM r WHERE
     "stream_views_before_purchases": """
 SELECT p.user_id, p.event_id, v.event_id AS view_id, (epoch_us(p.ts) - epoch_us(v.ts)) / 1000000 AS seconds
 FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND v.event_type = 'view'""",
+    "view_click_purchase": """
+WITH e AS (SELECT *, first_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS next_click, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS next_purchase
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT v.event_id, v.user_id, c.event_id AS click_id, p.event_id AS purchase_id FROM e v LEFT JOIN e c ON c.event_id = v.next_click AND c.ts <= v.ts + INTERVAL 1 DAY
+LEFT JOIN e p ON p.event_id = c.next_purchase AND p.ts <= v.ts + INTERVAL 1 DAY WHERE v.event_type = 'view'""",
+    "weekly_users": """
+WITH d AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events)
+SELECT event_type, strftime(day, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users FROM events JOIN d ON ts::DATE BETWEEN day - 6 AND day GROUP BY ALL""",
+    "weekly_value_quantiles": """
+WITH d AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events),
+r AS (SELECT event_type, day, value, row_number() OVER (PARTITION BY event_type, day ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type, day) AS rows FROM events JOIN d ON ts::DATE BETWEEN day - 6 AND day),
+b AS (SELECT *, CASE WHEN value = 0 THEN 0 ELSE sign(value) * pow(1.01 / 0.99, ceil(ln(abs(value)) / ln(1.01 / 0.99))) * 2 / (1.01 / 0.99 + 1) END AS middle FROM r)
+SELECT event_type, strftime(day, '%Y-%m-%d') AS day, rows, round(max(middle) FILTER (k = ceil(rows * 0.5)), 6) AS p50, round(max(middle) FILTER (k = ceil(rows * 0.95)), 6) AS p95 FROM b GROUP BY event_type, day, rows""",
 }
