@@ -178,7 +178,29 @@ def test_join_in_time_on_tables_makes_each_pair_once(spark):
     found = streaming.join_in_time(one, two, [("k", "l")], "t", "u", 60)
     assert found.columns == ["k", "t", "i", "l", "u", "j"]
     meet = lambda x, y: x[0] is not None and x[0] == y[0] and None not in (x[1], y[1]) and 0 <= (x[1] - y[1]).total_seconds() <= 60
-    assert sorted((r.i, r.j) for r in found.collect()) == sorted((x[2], y[2]) for x in left for y in right if meet(x, y))
+    pairs = sorted((x[2], y[2]) for x in left for y in right if meet(x, y))
+    assert sorted((r.i, r.j) for r in found.collect()) == pairs
+    alone = [(x[2], None) for x in left if not any(meet(x, y) for y in right)]
+    with_alone = streaming.join_in_time(one, two, [("k", "l")], "t", "u", 60, alone=True)
+    assert sorted(((r.i, r.j) for r in with_alone.collect()), key=repr) == sorted(pairs + alone, key=repr) and alone
+
+
+def test_streams_give_rows_without_partners_once_none_can_come(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    at = lambda minutes: day + dt.timedelta(minutes=minutes)
+    files = (
+        [("buy", at(60), 1), ("buy", at(61), 2), ("view", at(0), 3)],
+        [("buy", at(68), 4), ("view", at(59), 5), ("view", at(72), 6)],  # 5 comes late but in time for 1, 2 and 4
+        [("buy", at(90), 7), ("view", at(130), 8)],  # nothing is seen in the quarter of an hour before 7
+        [("buy", at(200), 9), ("view", at(150), 10)],  # 9 stays open, as views are only at 150
+    )
+    for rows in files:
+        spark.createDataFrame([(k, "u", t, i) for k, t, i in rows], "kind string, user string, ts timestamp_ntz, id int").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    events = with_event_time(stream_table(spark, str(tmp_path), "events", files_per_trigger=1))
+    bought = events.where("kind = 'buy'").select("user", "ts", "id")
+    seen = events.where("kind = 'view'").select(F.col("user").alias("viewer"), F.col("ts").alias("view_ts"), F.col("id").alias("view"))
+    found = streaming.run_to_table(streaming.join_in_time(bought, seen, [("user", "viewer")], "ts", "view_ts", 900, alone=True).select("id", "view"), spark)
+    assert sorted(((r.id, r.view) for r in found.collect()), key=repr) == [(1, 5), (2, 5), (4, 5), (7, None)]
 
 
 def test_join_of_streams_leaves_out_what_comes_too_late(spark, tmp_path):

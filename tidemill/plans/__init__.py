@@ -161,6 +161,15 @@ def stream_views_before_purchases(spark: SparkSession, folder: str) -> DataFrame
     return streaming.run_to_table(pairs.select("user_id", "event_id", "view_id", seconds.alias("seconds")), spark)
 
 
+def stream_purchases_without_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Purchases without a view of their user in the hour before them, from two streams: those that the watermark has passed when the input ends."""
+    events = with_event_time(stream_table(spark, folder, "events"))
+    bought = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    seen = events.where("event_type = 'view'").select(F.col("user_id").alias("viewer"), F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    found = streaming.join_in_time(bought, seen, [("user_id", "viewer")], "ts", "view_ts", 3_600, alone=True).where("view_id IS NULL")
+    return streaming.run_to_table(found.select("user_id", "event_id", clock(F.col("ts")).alias("at")), spark)
+
+
 def view_click_purchase(spark: SparkSession, folder: str) -> DataFrame:
     """Each view with its user's next click, and the next purchase after that, both within a day of the view."""
     events = read_table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
@@ -199,7 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         customers_without_urgent_orders, revenue_rollup, flag_cube,
         top_orders, running_value, event_properties, hourly_events, user_sessions, stream_hourly_events,
         purchase_last_view, order_last_urgent, errors_during_sessions, overlapping_orders, median_line_price, stream_views_before_purchases,
-        view_click_purchase, weekly_users, weekly_value_quantiles,
+        stream_purchases_without_views, view_click_purchase, weekly_users, weekly_value_quantiles,
     )
 }
 
@@ -243,6 +252,10 @@ SELECT l_returnflag, l_linestatus, rows, l_extendedprice AS median FROM r WHERE
     "stream_views_before_purchases": """
 SELECT p.user_id, p.event_id, v.event_id AS view_id, (epoch_us(p.ts) - epoch_us(v.ts)) / 1000000 AS seconds
 FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND v.event_type = 'view'""",
+    "stream_purchases_without_views": """
+SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events p WHERE event_type = 'purchase'
+AND ts <= (SELECT least(max(ts) FILTER (event_type = 'purchase'), max(ts) FILTER (event_type = 'view')) FROM events) - INTERVAL 10 MINUTE
+AND NOT EXISTS (SELECT 1 FROM events v WHERE v.user_id = p.user_id AND v.event_type = 'view' AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 1 HOUR)""",
     "view_click_purchase": """
 WITH e AS (SELECT *, first_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS next_click, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS next_purchase
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))

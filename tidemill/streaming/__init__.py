@@ -31,7 +31,7 @@ def windowed_counts(events: DataFrame, by: str, time: str = "ts", size: str = "1
     return events.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), by).agg(F.count("*").alias("n"))
 
 
-def join_in_time(left: DataFrame, right: DataFrame, by: Sequence[tuple[str, str]], left_time: str, right_time: str, within: int, late: str = "10 minutes") -> DataFrame:
+def join_in_time(left: DataFrame, right: DataFrame, by: Sequence[tuple[str, str]], left_time: str, right_time: str, within: int, late: str = "10 minutes", alone: bool = False) -> DataFrame:
     """Pairs of rows with equal keys where the right row is at most so many seconds before the left one, and not after it.
 
     The columns of left and then those of right, whose names must differ; the
@@ -40,7 +40,9 @@ def join_in_time(left: DataFrame, right: DataFrame, by: Sequence[tuple[str, str]
     says that no partner can come. The join is by key and stretch of ``within``
     seconds: a left row is in one stretch, a right row in its own and the next,
     so that a key with most rows is split by time, and each pair comes once.
-    Null keys and times match nothing; rows that repeat pair again.
+    Null keys and times match nothing; rows that repeat pair again. With alone, left rows
+    that have no partner come too, with nulls: on a table all of them, on a stream each
+    once the watermark has passed it and so no partner can come any more.
     """
     stretch = lambda time: F.floor(F.unix_seconds(time) / within)
     one = left.withWatermark(left_time, late).withColumn("_stretch", stretch(left_time))
@@ -50,7 +52,7 @@ def join_in_time(left: DataFrame, right: DataFrame, by: Sequence[tuple[str, str]
     for x, y in by:
         same = same & (one[f"`{x}`"] == two[f"`{y}`"])
     in_time = (two[right_time] <= one[left_time]) & (two[right_time] >= one[left_time] - F.expr(f"INTERVAL {within} SECONDS"))
-    return one.join(two, same & in_time).drop("_stretch", "_other_stretch")
+    return one.join(two, same & in_time, "left" if alone else "inner").drop("_stretch", "_other_stretch")
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
