@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -29,6 +30,8 @@ DC_VALUES = bytes(range(12))
 #: One code, of one bit, for the end of a block.
 AC_BITS, AC_VALUES = bytes([1] + [0] * 15), bytes([0])
 _STEP = 8
+#: The highest category of a DC difference in baseline files.
+LARGEST = 11
 
 
 def _codes(bits: bytes, values: bytes) -> list[tuple[int, int, int]]:
@@ -42,6 +45,7 @@ def _codes(bits: bytes, values: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+@lru_cache(64)
 def _lookup(bits: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Value and length of the code that any 16 bits begin with; length 0 where none does."""
     value, length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -51,6 +55,22 @@ def _lookup(bits: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
     return value, length
 
 
+@lru_cache(64)
+def _differences(bits: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The DC difference that any 16 bits begin with, and its length in bits, extra bits included; length 0 where 16 bits don't tell."""
+    size, length = _lookup(bits, values)
+    total = size + length
+    known = (length > 0) & (size <= LARGEST) & (total <= 16)
+    step = _signed(np.arange(1 << 16) >> np.where(known, 16 - total, 0) & (1 << np.minimum(size, 16)) - 1, size)
+    return np.where(known, step, 0), np.where(known, total, 0)
+
+
+def _signed(extra: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The number that a category's extra bits stand for."""
+    whole = 1 << np.minimum(size, 16)
+    return np.where(extra < whole >> 1, extra - whole + 1, extra)
+
+
 def _difference_codes() -> tuple[np.ndarray, np.ndarray]:
     """Code and length of a block by its DC difference + 255: category, extra bits, end of block."""
     codes = {v: (c, n) for v, c, n in _codes(DC_BITS, DC_VALUES)}
@@ -152,7 +172,7 @@ class Frame:
 
 
 _STOP = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
-_RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
+_RESTART = re.compile(rb"\xff\xff*[\xd0-\xd7]")
 
 
 def parse(data: bytes) -> list[Frame]:
@@ -254,53 +274,67 @@ def thumbnails(frames: list[Frame]) -> list[np.ndarray]:
     return out
 
 
+def _long_difference(bits: np.ndarray, dc_size: np.ndarray, dc_length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """DC differences whose code and extra bits are more than 16 bits, and their lengths."""
+    code = bits >> 48 & 0xFFFF
+    size, length = dc_size[code], dc_length[code]
+    if not length.all() or (size > LARGEST).any():
+        raise ValueError("a code that no table has")
+    return _signed(((bits << length) >> 48 & 0xFFFF) >> (16 - size), size), length + size
+
+
 def _decode(lanes: list[bytes], counts: np.ndarray, program: tuple) -> np.ndarray:
     """Luminance DC values of each lane, in the order of its blocks."""
     order = np.argsort(-counts, kind="stable")  # the lanes still at work come first
-    data = np.frombuffer(b"".join(lanes[i] + b"\0\0\0\0\0\0\0\0" for i in order.tolist()) + b"\0\0\0", np.uint8)
-    word = (data[:-3].astype(np.uint32) << 24) | (data[1:-2].astype(np.uint32) << 16) | (data[2:-1].astype(np.uint32) << 8) | data[3:]
+    data = np.frombuffer(b"".join(lanes[i] + b"\0\0\0\0\0\0\0\0" for i in order.tolist()) + b"\0" * 7, np.uint8)
+    word = np.ndarray((len(data) - 7,), ">i8", data, strides=(1,)).astype(np.int64)  # the 64 bits from each byte on
     sizes = np.array([len(lanes[i]) for i in order.tolist()], np.int64)
     pos = np.zeros(len(lanes), np.int64)
     np.cumsum((sizes[:-1] + 8) * 8, out=pos[1:])
     limit = pos + sizes * 8
-    tables = {t: _lookup(*t) for part in program for t in part[2:]}
-    blocks = [(c, tables[part[2]], tables[part[3]]) for c, part in enumerate(program) for _ in range(1 if len(program) == 1 else part[0] * part[1])]
+    blocks = [(c, part[2], _differences(*part[2]), _lookup(*part[3])) for c, part in enumerate(program) for _ in range(1 if len(program) == 1 else part[0] * part[1])]
     mine = sum(c == 0 for c, *_ in blocks)
     out = np.zeros((int(counts.max()) * mine, len(lanes)), np.int32)
     last = np.zeros((len(program), len(lanes)), np.int64)
     ordered, row = counts[order], 0
 
-    def peek(p: np.ndarray) -> np.ndarray:
-        return (word.take(p >> 3, mode="clip") << (p & 7).astype(np.uint32)) >> np.uint32(16)
+    def bits_from(p: np.ndarray) -> np.ndarray:
+        return word.take(p >> 3, mode="clip") << (p & 7)
+
+    def first(bits: np.ndarray) -> np.ndarray:
+        return bits >> 48 & 0xFFFF
 
     for k in range(int(counts.max())):
         n = int(np.searchsorted(-ordered, -k, side="left"))
-        for c, (dc_value, dc_length), (ac_value, ac_length) in blocks:
-            at = pos[:n]
-            code = peek(at)
-            size, length = dc_value[code], dc_length[code]
-            at = at + length
-            extra = (peek(at) >> (16 - size).astype(np.uint32)).astype(np.int64)
-            half = (1 << size) >> 1
-            last[c, :n] += np.where(extra < half, extra - (1 << size) + 1, extra)
-            at += size
-            if (length == 0).any() or (size > 11).any():
-                raise ValueError("a code that no table has")
+        bound = limit[:n]
+        for c, dc_table, (dc_step, dc_length), (ac_value, ac_length) in blocks:
+            bits = bits_from(pos[:n])  # 57 at least: a DC code with its extra bits, and an AC code
+            code = first(bits)
+            step, used = dc_step[code], dc_length[code]
+            if not used.all():
+                long = np.flatnonzero(used == 0)
+                step[long], used[long] = _long_difference(bits[long], *_lookup(*dc_table))
+            last[c, :n] += step
             if c == 0:
                 out[row, :n] = last[0, :n]
                 row += 1
-            alive, done, bound = slice(None), np.ones(n, np.int64), limit[:n]
-            while True:
-                here = at[alive]
-                code = peek(here)
-                value, length = ac_value[code], ac_length[code]
-                if (length == 0).any() or (here > bound[alive]).any():
-                    raise ValueError("a scan ends early or has a code that no table has")
-                at[alive] = here + length + (value & 15)
-                done[alive] += np.where(value == 0, 64, (value >> 4) + 1)
-                alive = np.flatnonzero(done < 64)
-                if not len(alive):
-                    break
+            at = pos[:n] + used
+            code = first(bits << used)
+            value, length = ac_value[code], ac_length[code]
+            if not length.all() or (at > bound).any():
+                raise ValueError("a scan ends early or has a code that no table has")
+            at += length
+            if value.any():
+                at += value & 15
+                done = np.where(value == 0, 64, (value >> 4) + 2)
+                while len(alive := np.flatnonzero(done < 64)):
+                    here = at[alive]
+                    code = first(bits_from(here))
+                    value, length = ac_value[code], ac_length[code]
+                    if not length.all() or (here > bound[alive]).any():
+                        raise ValueError("a scan ends early or has a code that no table has")
+                    at[alive] = here + length + (value & 15)
+                    done[alive] += np.where(value == 0, 64, (value >> 4) + 1)
             pos[:n] = at
     if (pos > limit).any():
         raise ValueError("a scan ends early")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * (max(1, -(-len(text) // jpeg.INTERVAL)) * jpeg.INTERVAL - len(text))
 
 
+@lru_cache(1 << 12)
 def _edges(length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Where n bands of nearly equal height start and end; a lower image repeats rows."""
     edges = np.arange(n + 1) * length // n
@@ -28,19 +30,20 @@ def _edges(length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return low, np.maximum(low + 1, edges[1:])
 
 
-def _cells(rows: np.ndarray, heights: np.ndarray, columns: int) -> np.ndarray:
-    """Means of the cells into which columns cut bands of rows, from the bands' sums."""
-    left, right = _edges(rows.shape[1], columns)
-    sums = np.zeros((len(rows), rows.shape[1] + 1), np.int64)
-    np.cumsum(rows, axis=1, out=sums[:, 1:])
-    return (sums[:, right] - sums[:, left]) / (heights[:, None] * (right - left))
+def _cells(so_far: np.ndarray, heights: np.ndarray, columns: int) -> np.ndarray:
+    """Means of the cells into which columns cut bands of rows, from the bands' sums up to each sample."""
+    left, right = _edges(so_far.shape[1] - 1, columns)
+    return (so_far[:, right] - so_far[:, left]) / (heights[:, None] * (right - left))
 
 
 def thumbnail_hashes(thumbnail: np.ndarray) -> tuple[str, str]:
     """Average hash and difference hash of a thumbnail, 64 bits each in hex."""
     top, bottom = _edges(len(thumbnail), 8)
-    rows = np.stack([np.add.reduce(thumbnail[a:b], axis=0, dtype=np.int64) for a, b in zip(top.tolist(), bottom.tolist(), strict=True)])
-    small, wide = (_cells(rows, bottom - top, n) for n in (8, 9))
+    so_far = np.zeros((8, thumbnail.shape[1] + 1), np.int64)
+    for k, (a, b) in enumerate(zip(top.tolist(), bottom.tolist(), strict=True)):
+        np.add.reduce(thumbnail[a:b], axis=0, dtype=np.int64, out=so_far[k, 1:])
+    np.cumsum(so_far, axis=1, out=so_far)
+    small, wide = (_cells(so_far, bottom - top, n) for n in (8, 9))
     return (np.packbits(small >= small.mean()).tobytes().hex(), np.packbits(wide[:, 1:] > wide[:, :-1]).tobytes().hex())
 
 
