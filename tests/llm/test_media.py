@@ -58,7 +58,7 @@ class Writer:
         return out.replace(b"\xff", b"\xff\x00")
 
 
-def picture(width, height, parts, restart, seed):
+def picture(width, height, parts, restart, seed, step=8, reach=128):
     """A baseline image with random coefficients in components of given sampling, and its luminance DC values by block."""
     rng = random.Random(seed)
     dc_codes = {v: format(c, f"0{n}b") for v, c, n in jpeg._codes(jpeg.DC_BITS, jpeg.DC_VALUES)}
@@ -74,7 +74,7 @@ def picture(width, height, parts, restart, seed):
         for c, (ph, pv) in enumerate(parts if len(parts) > 1 else [(1, 1)]):
             for y in range(pv):
                 for x in range(ph):
-                    value = rng.randrange(-128, 128)
+                    value = rng.randrange(-reach, reach)
                     ac = [rng.choice((0, 0, 0, rng.randrange(-1000, 1001))) if rng.random() < 0.5 else 0 for _ in range(63)]
                     w.block(value - last[c], ac, dc_codes, ac_codes)
                     last[c] = value
@@ -83,10 +83,10 @@ def picture(width, height, parts, restart, seed):
     scan += w.flush()
     segment = jpeg._segment
     frame = b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([i + 1, ph << 4 | pv, 0]) for i, (ph, pv) in enumerate(parts))
-    head = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xDB, b"\x00" + bytes([8] * 64)) + segment(0xC0, frame)
+    head = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xDB, b"\x00" + bytes([step] * 64)) + segment(0xC0, frame)
     head += segment(0xC4, b"\x00" + jpeg.DC_BITS + jpeg.DC_VALUES + b"\x10" + AC_BITS + bytes(SYMBOLS)) + (segment(0xDD, restart.to_bytes(2, "big")) if restart else b"")
     head += segment(0xDA, bytes([len(parts)]) + b"".join(bytes([i + 1, 0]) for i in range(len(parts))) + b"\x00\x3f\x00")
-    return head + scan + b"\xff\xd9", dc[: -(-height // 8), : -(-width // 8)] + 128
+    return head + scan + b"\xff\xd9", np.clip(np.rint(dc[: -(-height // 8), : -(-width // 8)] * step / 8) + 128, 0, 255)
 
 
 @pytest.mark.parametrize(("size", "parts", "restart"), [((50, 37), [(1, 1)], 0), ((64, 40), [(2, 2), (1, 1), (1, 1)], 0), ((33, 70), [(2, 1), (1, 1), (1, 1)], 3), ((20, 20), [(2, 2)], 2)])
@@ -96,6 +96,16 @@ def test_other_baseline_images(size, parts, restart):
     assert all((t == dc).all() for t, (_, dc) in zip(thumbs, made, strict=True))
 
 
+@pytest.mark.parametrize("parts", ([(1, 1)], [(2, 1), (1, 1), (1, 1)]))
+def test_differences_of_more_bits_than_one_look_shows(parts):
+    """Differences of 10 and 11 bits have codes of 8 and 9: more than the 16 bits by which the usual ones are known."""
+    known = jpeg._differences(jpeg.DC_BITS, jpeg.DC_VALUES)[1]
+    assert known.max() == 16 and (known == 0).any()
+    made = [picture(70, 66, parts, 4, seed, step=1, reach=1024) for seed in range(4)]
+    thumbs = jpeg.thumbnails([f for data, _ in made for f in jpeg.parse(data)])
+    assert all((t == dc).all() for t, (_, dc) in zip(thumbs, made, strict=True))
+
+
 def test_damaged_and_missing_values_say_why():
     good = jpeg.encode([media.padded(b"abc" * 400)])[0]
     found = media.features([None, b"", b"no image", good[:200], good, good.replace(b"\xff\xc0", b"\xff\xc2")], True)
