@@ -100,6 +100,43 @@ def test_forgetting_words_and_working_in_small_parts_changes_nothing(plain, monk
     assert len(aligner.known) <= 40 + 16
 
 
+def aligned(given):
+    """The aligner after these texts, and each text's counts and groups."""
+    aligner = al.Aligner(open(f"{al.FOLDER}/{al.FILE_A}", encoding="utf-8").read(), open(f"{al.FOLDER}/{al.FILE_B}", "rb").read())
+    return aligner, [r[:5] for r in al.align_texts(aligner, [t.encode() for t in given])]
+
+
+def counted(given, plain):
+    return [(x, y, n, len(links), g) for x, y, n, g, links in (alignment(plain(t)) for t in given)]
+
+
+def test_a_word_is_learned_once_whatever_mark_or_line_follows(plain):
+    given = [f"{w}{x}" for w in ("the tide", "la marée") for x in ("", ",", ".", "###", "'s", "\n", ".\nThe", "\n\n", "...", "-x")]
+    aligner, found = aligned(given)
+    assert found == counted(given, plain)
+    assert [w for w in aligner.known if b"tide" in w or b"mar" in w] == [b" tide", " marée".encode()]
+
+
+def test_letters_marks_digits_and_lines_in_any_order(plain):
+    rng = random.Random(11)
+    some = ("a", "Th", "é", "ß", "ñ", "ǿ", "ɑ", "Ж", "一", "×", "÷", "º", "1", ".", ",", "'", "'s", "'re", "###", "&", "-", "_", "\\", "\n", "\n", "\r\n", "\n ", " ", "  ", "\t", "\u00a0", "\u2028", "\u3000", "…", "²", "\u0301", "▁")
+    given = ["\n", "\n\n", ".", "a\n", "a.\n", ",\n,", *("".join(rng.choice(some) for _ in range(rng.randint(1, 30))) for _ in range(3000))]
+    assert aligned(given)[1] == counted(given, plain)
+    given = [t.replace("▁", "") for t in given if t.replace("▁", "")]
+    assert aligned(given)[1] == counted(given, plain)
+
+
+def test_letters_and_marks_that_a_piece_has_in_a_row_stay_together():
+    apart = al.letters_apart(["s,", "▁the", "é.", "a;", "x"])
+    assert not (apart[ord("s"), ord(",")] or apart[ord("é"), ord(".")] or apart[:, ord(";")].any())
+    assert apart[ord("e"), ord(",")] and apart[ord("s"), ord(".")] and not apart[ord("1"), ord(",")] and not apart[ord("e"), ord("1")]
+    text = " ms, me, é. è. 1, a\nb".encode()
+    data, begin = np.frombuffer(text, np.uint8), np.zeros(1, np.int64)
+    cut = lambda *x: [w.decode() for w in np.split(data, al.word_starts(data, begin, *x)[1:]) for w in [w.tobytes()]]
+    assert cut(True, apart, True) == [" ms,", " me", ",", " é.", " è", ".", " 1,", " a", "\nb"]
+    assert cut(True, apart, False)[-1] == cut()[-1] == " a\nb" and cut(False) == [text.decode()]
+
+
 def test_words_longer_than_all_limits(spark, plain):
     given = ["x" * 40_000, "é" * 3_000, "ab " * 20_000, "one"]
     found = rows(spark, given)

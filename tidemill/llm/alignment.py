@@ -12,6 +12,8 @@ is a link.
 
 Neither tokenizer has a token that goes on over a space after something that is
 no space (A's pattern and B's pieces have spaces in front only, which is checked for B), so texts are cut there into words.
+A's pattern also parts a letter from a mark after it and a line's end from what is before it. Texts are
+cut there too where no piece of B has both in a row, so that a word is the same whatever mark or line follows.
 Each worker aligns a word once and remembers it.
 
 How many documents hold a pair of ids linked is counted within each task first.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +43,17 @@ WORDS, WORD_BYTES = 1 << 19, 1 << 25
 AT_ONCE, ENCODED_AT_ONCE = 1 << 16, 1 << 14
 #: A pair of ids is a << ID | b.
 ID = 24
-#: Words that make one text for the tokenizers.
-TOGETHER = 64
+#: Words that make one text for the tokenizers, and what goes before each that has no space in front, as it can't follow every word.
+TOGETHER, LEAD = 64, b" a"
 #: The counts of so many pairs go to the workers at once; more take further passes over the stored links.
 PAIRS_AT_ONCE = 1 << 21
 #: Bytes after which a space isn't cut: white space, controls, and what may end a white-space character of several bytes.
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[*range(0x21), 0x7F]] = True
+#: Characters below this have two bytes at most. Of these, the letters; and the marks of ASCII.
+LATIN = 0x240
+_LETTERS = np.array([chr(c).isalpha() for c in range(LATIN)])
+_MARKS = np.array([0x20 < c < 0x7F and not chr(c).isalnum() for c in range(256)])
 
 
 def byte_level() -> dict[str, int]:
@@ -91,6 +97,24 @@ def _flat(lists, sizes: np.ndarray) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
 
 
+def _put(array: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    """The array with more at this place; where it is too short, a copy twice as long."""
+    if at + len(more) > len(array):
+        array, short = np.zeros((2 * (at + len(more)), *array.shape[1:]), array.dtype), array
+        array[:at] = short[:at]
+    array[at : at + len(more)] = more
+    return array
+
+
+def letters_apart(pieces: Sequence[str]) -> np.ndarray:
+    """For each character below LATIN and each of ASCII, whether the first is a letter, the second a mark, and no piece has both in a row, or LEAD's last and the mark."""
+    apart = _LETTERS[:, None] & _MARKS[:128]
+    for x, y in {pair for p in pieces for pair in zip(p, p[1:], strict=False)}:
+        if ord(x) < LATIN and ord(y) < 128:
+            apart[ord(x), ord(y)] = False
+    return apart & apart[LEAD[-1]]
+
+
 class Aligner:
     """Both tokenizers, and the words that this worker has aligned so far."""
 
@@ -107,20 +131,23 @@ class Aligner:
         self.a_bytes = Vocabulary([bytes(code[c] for c in x) if all(c in code for c in x) else x.encode() for x in entries])
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         self.b_bytes = Vocabulary([bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)])
-        # otherwise a token may go on over a space
-        self.cuts = isinstance(self.a.pre_tokenizer, pre_tokenizers.ByteLevel) and self.a.normalizer is None and not any("▁" in x.lstrip("▁") for x in pieces)
+        # otherwise a token may go on over a space, or over what the pattern parts
+        pattern = isinstance(self.a.pre_tokenizer, pre_tokenizers.ByteLevel) and self.a.pre_tokenizer.use_regex and all(x.special for x in self.a.get_added_tokens_decoder().values())
+        self.cuts = pattern and self.a.normalizer is None and not any("▁" in x.lstrip("▁") for x in pieces)
+        self.apart, self.lines = letters_apart(pieces), not any("\n" in x for x in pieces)
         most = max(len(entries), len(pieces))
         if most > 1 << ID:
             raise ValueError("a vocabulary is too large for a pair of ids")
-        self.written = np.array([[f"{i}{mark}" for i in range(most)] for mark in ",|;"], dtype=object)
+        width = len(str(most)) + 1
+        self.written = np.array([[f"{i}{mark}" for i in range(most)] for mark in ",|;"], dtype=f"S{width}").view(np.uint8).reshape(3, most, width)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}  # in the order of the numbers
         self.groups: list[str] = []
-        self.counts = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, and whether the bytes differ
-        self.starts, self.links, self.size = np.zeros(1, np.int64), np.zeros(0, np.uint64), 0
-        self.uses = np.zeros(0, np.int64)
+        # by number, longer than they are filled; of counts: tokens of A, of B, groups, links, and whether the bytes differ
+        self.counts, self.starts, self.uses = np.zeros((0, 5), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.links, self.n_links, self.size = np.zeros(0, np.uint64), 0, 0
 
     def shrink(self) -> None:
         """Keeps the words that have been used again, half of WORDS at most."""
@@ -135,16 +162,13 @@ class Aligner:
         self.forget()
         if sum(map(len, words)) <= WORD_BYTES // 2:
             self._add(words, counts, groups, links)
-            self.uses = uses
+            self.uses[: len(uses)] = uses
 
     def learn(self, words: list[bytes]) -> None:
         """Aligns words, those that end visibly in texts of TOGETHER words."""
-        plain, alone = [], []
-        for w in words:
-            if self.cuts and 0x20 < w[-1] < 0x7F:
-                plain.append(w)
-            else:
-                alone.append([w])
+        last = np.frombuffer(b"".join([w[-1:] for w in words]), np.uint8)
+        seen = ((last > 0x20) & (last < 0x7F) & self.cuts).tolist()
+        plain, alone = list(compress(words, seen)), [[w] for w, s in zip(words, seen, strict=True) if not s]
         together = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
         failed = self._learn(together + alone)
         for unit in failed:
@@ -155,13 +179,15 @@ class Aligner:
                 self._add(unit, np.array([[0, 0, 0, 0, 1]]), [""], np.zeros(0, np.uint64))
 
     def _add(self, words: list[bytes], counts: np.ndarray, groups: list[str], links: np.ndarray) -> None:
-        self.known.update(zip(words, range(len(self.groups), len(self.groups) + len(words)), strict=True))
+        n = len(self.groups)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
         self.groups += groups
         self.size += sum(map(len, words))
-        self.counts = np.concatenate([self.counts, counts])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts[:, 3])])
-        self.links = np.concatenate([self.links, links])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        self.counts = _put(self.counts, n, counts)
+        self.starts = _put(self.starts, n, self.n_links + np.cumsum(counts[:, 3]) - counts[:, 3])
+        self.uses = _put(self.uses, n, np.zeros(len(words), np.int64))
+        self.links = _put(self.links, self.n_links, links)
+        self.n_links += len(links)
 
     def _tokens(self, ids: list, spans: list, vocabulary: Vocabulary, data: np.ndarray, begin: np.ndarray, at: np.ndarray, base: np.ndarray, shift: int):
         """(ids, text, end byte) of all tokens, and which texts the tokens' bytes are."""
@@ -181,6 +207,7 @@ class Aligner:
         """Aligns the words of some texts; returns the texts whose words aren't cut by tokens, or that a tokenizer changes."""
         if not units:
             return []
+        given, units = units, [[x for w in u for x in ((w,) if w[:1] == b" " else (LEAD, w))] for u in units]
         joined = [b"".join(u) for u in units]
         texts = [x.decode() for x in joined]
         data = np.frombuffer(b"".join(joined), np.uint8)
@@ -193,41 +220,51 @@ class Aligner:
         b, b_text, b_end, b_ok = self._tokens([x["ids"] for x in by_b], [x["offsets"] for x in by_b], self.b_bytes, data, begin, at, base, 1)
 
         of_text = np.repeat(np.arange(len(units)), [len(u) for u in units])
-        word_end = np.cumsum([len(w) for u in units for w in u])
+        words = list(chain.from_iterable(units))
+        word_end = np.cumsum(list(map(len, words)))
         ok = a_ok & b_ok
         a_ends, b_ends = np.zeros((2, len(data) + 1), dtype=bool)
         a_ends[a_end[a_ok[a_text]]], b_ends[b_end[b_ok[b_text]]] = True, True
         ok[of_text[~(a_ends & b_ends)[word_end]]] = False
-        failed = [u for u, good in zip(units, ok.tolist(), strict=True) if not good]
-        word_end = word_end[ok[of_text]]
-        a, a_end, b, b_end = a[ok[a_text]], a_end[ok[a_text]], b[ok[b_text]], b_end[ok[b_text]]
+        failed = [u for u, good in zip(given, ok.tolist(), strict=True) if not good]
         if failed:
+            a, a_end, b, b_end = a[ok[a_text]], a_end[ok[a_text]], b[ok[b_text]], b_end[ok[b_text]]
             for x in (a_ends, b_ends):
                 x[1:][np.repeat(~ok, np.diff(begin))] = False
-        words = [w for u, good in zip(units, ok.tolist(), strict=True) if good for w in u]
+            words, word_end = list(compress(words, ok[of_text].tolist())), word_end[ok[of_text]]
         if not words:
             return failed
 
         ends, cuts = np.flatnonzero(a_ends | b_ends), np.flatnonzero(a_ends & b_ends)  # stretches between two ends are links, those between two cuts groups
         links = a[np.searchsorted(a_end, ends)].astype(np.uint64) << np.uint64(ID) | b[np.searchsorted(b_end, ends)].astype(np.uint64)
-        counts = [np.bincount(np.searchsorted(word_end, x), minlength=len(words)) for x in (a_end, b_end, cuts, ends)]
-        side = np.concatenate([2 * np.searchsorted(cuts, a_end), 2 * np.searchsorted(cuts, b_end) + 1])
+        # how many cuts are before each byte says which group a token is in, as ends in order say which word
+        before = np.cumsum((a_ends & b_ends)[:-1])
+        counts = np.stack([np.diff(np.searchsorted(x, word_end, side="right"), prepend=0) for x in (a_end, b_end, cuts, ends)] + [np.zeros(len(words), np.int64)], axis=1)
+        side = np.concatenate([2 * before[a_end - 1], 2 * before[b_end - 1] + 1])
         order = np.argsort(side, kind="stable")
         side, ids = side[order], np.concatenate([a, b])[order]
         closes = np.append(side[1:] != side[:-1], True)
-        pieces = self.written[np.where(closes, 1 + side % 2, 0), ids].tolist()
-        stop = np.cumsum(counts[0] + counts[1]).tolist()
-        groups = ["".join(pieces[x:y]) for x, y in zip([0, *stop[:-1]], stop, strict=True)]
-        self._add(words, np.stack([*counts, np.zeros_like(counts[0])], axis=1), groups, links)
+        written = self.written[np.where(closes, 1 + side % 2, 0), ids]
+        stop = np.cumsum(np.count_nonzero(written, axis=1))[np.cumsum(counts[:, 0] + counts[:, 1]) - 1].tolist()
+        text = written[written != 0].tobytes().decode()
+        groups = [text[x:y] for x, y in zip([0, *stop[:-1]], stop, strict=True)]
+        lead = np.array([w[0] != 0x20 for w in words[1:]] + [False])  # only LEAD goes before such words
+        if lead.any():
+            links, counts = links[np.repeat(~lead, counts[:, 3])], counts[~lead]
+            words, groups = (list(compress(x, (~lead).tolist())) for x in (words, groups))
+        self._add(words, counts, groups, links)
         return failed
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """The numbers of words, of which new ones are learned first."""
         found = list(map(self.known.get, words))
-        new = list({w for w, k in zip(words, found, strict=True) if k is None})
+        missing = [i for i, k in enumerate(found) if k is None]
+        new = list(dict.fromkeys([words[i] for i in missing]))
         for k in range(0, len(new), ENCODED_AT_ONCE):
             self.learn(new[k : k + ENCODED_AT_ONCE])
-        out = np.fromiter(map(self.known.__getitem__, words) if new else found, np.int64, len(words))
+        for i in missing:
+            found[i] = self.known[words[i]]
+        out = np.fromiter(found, np.int64, len(words))
         self.uses += np.bincount(out, minlength=len(self.uses))
         return out
 
@@ -238,17 +275,30 @@ class Aligner:
         return self.links[at]
 
 
-def word_starts(data: np.ndarray, begin: np.ndarray, cuts: bool = True) -> np.ndarray:
-    """Where words begin: with each text, and at spaces that follow something visible and aren't a text's last byte. Texts begin with a space."""
+def word_starts(data: np.ndarray, begin: np.ndarray, cuts: bool = True, apart: np.ndarray | None = None, lines: bool = False) -> np.ndarray:
+    """Where words begin: with each text, and at spaces that follow something visible and aren't a text's last byte. Texts begin with a space.
+
+    lines: also at line ends that follow something visible. apart: also at marks
+    that follow a letter, where this table says so.
+    """
     if not cuts:
         return begin
     space = data == 0x20
-    space[0], space[begin[1:] - 1], space[-1] = False, False, False
-    p = np.flatnonzero(space)
+    space[begin[1:] - 1], space[-1] = False, False
+    p = np.flatnonzero(space | (data == 0x0A) if lines else space)
     p = p[~_BLANK[data[p - 1]]]
     # of the white space in several bytes, one of these bytes is the first
     long = (data[p - 1] >= 0x80) & ((data[np.maximum(p - 2, 0)] == 0xC2) | np.isin(data[np.maximum(p - 3, 0)], (0xE1, 0xE2, 0xE3)))
-    return np.union1d(begin, p[~long])
+    starts = np.zeros(len(data), dtype=bool)
+    starts[p[~long]] = True
+    if apart is not None:
+        p = np.flatnonzero(_MARKS[data])
+        c, first = data[p - 1].astype(np.int64), data[p - 2].astype(np.int64)  # no text begins with a mark
+        two = (c >= 0x80) & (first >= 0xC2) & (first < 0xC0 | LATIN >> 6)
+        c = np.where(two, (first & 0x1F) << 6 | c & 0x3F, np.where(c < 0x80, c, 0))
+        starts[p[apart[c, data[p]]]] = True
+    starts[begin] = True
+    return np.flatnonzero(starts)
 
 
 def pack(pairs: np.ndarray, times: np.ndarray) -> bytes:
@@ -290,7 +340,7 @@ def align_texts(aligner: Aligner, texts: Sequence[bytes]) -> list[tuple]:
     rows = [(row, b" " + text) for row, text in zip(out, texts, strict=True) if text]
     whole = b"".join([x for _, x in rows])
     begin = np.cumsum([0, *(len(x) for _, x in rows)])[:-1]
-    starts = word_starts(np.frombuffer(whole, np.uint8), begin, aligner.cuts) if rows else begin
+    starts = word_starts(np.frombuffer(whole, np.uint8), begin, aligner.cuts, aligner.apart, aligner.lines) if rows else begin
     for k in range(0, len(starts), AT_ONCE):
         some = starts[k : k + AT_ONCE]
         edges = [*some.tolist(), int(starts[k + AT_ONCE]) if k + AT_ONCE < len(starts) else len(whole)]
