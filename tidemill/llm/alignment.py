@@ -255,17 +255,16 @@ class Aligner:
         self._add(words, counts, groups, links)
         return failed
 
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        """The numbers of words, of which new ones are learned first."""
+    def look_up(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
+        """The numbers of distinct words, which are used so many times; new ones are learned first."""
         found = list(map(self.known.get, words))
         missing = [i for i, k in enumerate(found) if k is None]
-        new = list(dict.fromkeys([words[i] for i in missing]))
-        for k in range(0, len(new), ENCODED_AT_ONCE):
-            self.learn(new[k : k + ENCODED_AT_ONCE])
+        for k in range(0, len(missing), ENCODED_AT_ONCE):
+            self.learn([words[i] for i in missing[k : k + ENCODED_AT_ONCE]])
         for i in missing:
             found[i] = self.known[words[i]]
         out = np.fromiter(found, np.int64, len(words))
-        self.uses += np.bincount(out, minlength=len(self.uses))
+        self.uses[out] += times
         return out
 
     def links_of(self, words: np.ndarray) -> np.ndarray:
@@ -343,9 +342,14 @@ def align_texts(aligner: Aligner, texts: Sequence[bytes]) -> list[tuple]:
     starts = word_starts(np.frombuffer(whole, np.uint8), begin, aligner.cuts, aligner.apart, aligner.lines) if rows else begin
     for k in range(0, len(starts), AT_ONCE):
         some = starts[k : k + AT_ONCE]
-        edges = [*some.tolist(), int(starts[k + AT_ONCE]) if k + AT_ONCE < len(starts) else len(whole)]
+        edges = np.append(some, starts[k + AT_ONCE] if k + AT_ONCE < len(starts) else len(whole))
+        distinct = pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(edges), pa.py_buffer(whole)]).dictionary_encode()
+        place = distinct.indices.to_numpy()
         aligner.shrink()
-        words = aligner.look_up([whole[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)])
+        data, at = kernel.buffers(distinct.dictionary)
+        data, at = data.tobytes(), at.tolist()
+        numbers = aligner.look_up([data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], np.bincount(place))
+        words = numbers[place]
         row = np.searchsorted(begin, some, side="right") - 1
         low, counts = int(row[0]), aligner.counts[words]
         edge = np.searchsorted(row, np.arange(low, int(row[-1]) + 2)).tolist()
@@ -355,11 +359,11 @@ def align_texts(aligner: Aligner, texts: Sequence[bytes]) -> list[tuple]:
         key = key[new]
         cut = np.searchsorted(key, np.arange(len(edge), dtype=np.uint64) << np.uint64(2 * ID)).tolist()
         total, key = np.add.reduceat(counts, edge[:-1], axis=0), key & np.uint64((1 << 2 * ID) - 1)
-        groups = list(map(aligner.groups.__getitem__, words.tolist()))
+        written, at = kernel.buffers(pa.array([aligner.groups[n] for n in numbers.tolist()], pa.large_string()).take(distinct.indices))
         for j, (x, y, u, v) in enumerate(zip(edge[:-1], edge[1:], cut[:-1], cut[1:], strict=True)):
             text = rows[low + j][0]
             text.total += total[j]
-            text.groups += groups[x:y]
+            text.groups.append(written[at[x] : at[y]].tobytes().decode())
             text.links.append((key[u:v], times[u:v]))
     return [text.row() for text in out]
 
